@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.exprs import title_trim
 from tabulon.plans.ordering import exact_quantiles, running_totals
+from tabulon.session import cut_lineage
 
 
 # ---------------------------------------------------------------- #22
 def dedupe_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Keep one row per ``key``: the first by ``order`` (file order by default).
 
-    Rows with a NULL key are all kept (pandas ``duplicated`` treats NULL ids
-    as equal, so only the first NULL-key row survives there: pass
-    ``null_as_value=True`` semantics by filling the key before calling).
+    NULL keys count as one value (pandas ``duplicated``), so only the first
+    NULL-key row survives.
     """
     cols = [c for c in df.columns]
     okey = F.struct(*[F.col(o) for o in order])
@@ -96,6 +96,9 @@ def knn_impute(df: DataFrame, cols: tuple[str, str], id_col: str, k: int = 5) ->
     takes the column means.  Per receiver at most 2k donors are touched.
     """
     a, b = cols
+    missing = df.where(F.col(a).isNull() | F.col(b).isNull()).limit(1).count()
+    if missing == 0:
+        return df.withColumns({a: F.col(a).cast("double"), b: F.col(b).cast("double")})
     out = df
     means = df.agg(F.avg(F.col(a).cast("double")).alias("ma"), F.avg(F.col(b).cast("double")).alias("mb")).first()
     for target, feature, mean in ((a, b, means["ma"]), (b, a, means["mb"])):
@@ -171,9 +174,10 @@ def clean_data(df: DataFrame, *, id_col: str, order: Sequence[str], categories:
     out = binary_encode(out, binary)
     out = knn_impute(out, numeric, id_col, k)
     out = mode_impute(out, list(categories))
+    out = cut_lineage(out)   # reused by the outlier fit, scoring, fences and casts
     if outlier_flag:
         out = isolation_forest_flag(out, list(numeric), out_col=outlier_flag, **(outlier_kwargs or {}))
         if out.where(F.col(outlier_flag)).limit(1).count() > 0:
             out = iqr_clip(out, list(numeric))
     out = cast_columns(out, integer=[id_col, *numeric], string=list(categories))
-    return out
+    return out.drop(*[o for o in order if o not in (id_col, *categories, *numeric)])

@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.plans.ordering import running_totals
+from tabulon.session import cut_lineage
 
 FEATURES = "features"
 
@@ -39,6 +41,8 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
     h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)).cast("double")).withColumn("_one", F.lit(1))
     rt = running_totals(h, "_h", ["_one"], by=[label], tiebreak=[F.col(key).asc()])
     rt = rt.withColumn("_test", F.col("_one_cum") <= F.ceil(F.col("_one_total") * test_fraction))
+    # both halves feed many fits: materialise the assignment once in the shared checkpoint folder
+    rt = cut_lineage(rt)
     cols = df.columns
     return rt.where(~F.col("_test")).select(*cols), rt.where(F.col("_test")).select(*cols)
 
@@ -92,22 +96,26 @@ def rbf_svm_stages(n_features: int, components: int = 200, gamma: float | None =
 
 
 class _RandomFourier:
-    """A Transformer-like stage: z = sqrt(2/D) cos(W x + b), as native array expressions."""
+    """Stage computing z = sqrt(2/D) cos(W x + b) for a batch of rows with one matrix product.
+
+    Arrow-batched pandas UDF: the (D x d) projection is a closure constant
+    (bounded by the component count), and each batch is one numpy matmul.
+    """
 
     def __init__(self, W: np.ndarray, b: np.ndarray, input_col: str, output_col: str):
         self.W, self.b, self.input_col, self.output_col = W, b, input_col, output_col
 
     def transform(self, df: DataFrame) -> DataFrame:
-        x = vector_to_array(F.col(self.input_col))
-        d = self.W.shape[1]
-        scale = math.sqrt(2.0 / self.W.shape[0])
-        comps = []
-        for k in range(self.W.shape[0]):
-            dot = F.lit(float(self.b[k]))
-            for j in range(d):
-                dot = dot + x[j] * F.lit(float(self.W[k, j]))
-            comps.append(F.cos(dot) * F.lit(scale))
-        return df.withColumn(self.output_col, array_to_vector(F.array(*comps)))
+        W, b = self.W, self.b
+        scale = math.sqrt(2.0 / W.shape[0])
+
+        @F.pandas_udf("array<double>")
+        def project(x: pd.Series) -> pd.Series:
+            X = np.stack(x.to_numpy()) if len(x) else np.zeros((0, W.shape[1]))
+            Z = scale * np.cos(X @ W.T + b)
+            return pd.Series(list(Z))
+
+        return df.withColumn(self.output_col, array_to_vector(project(vector_to_array(F.col(self.input_col)))))
 
 
 def fit_rbf_svm(train: DataFrame, n_features: int, **kw):

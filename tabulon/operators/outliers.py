@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tabulon.plans.ordering import exact_quantiles
+from tabulon.session import cut_lineage
 
 _EULER = 0.5772156649015329
 
@@ -65,7 +66,10 @@ def _grow(pdf: pd.DataFrame, features: list[str], seed: int, max_depth: int) ->
         return node
 
     build(np.arange(len(X)), 0)
-    return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+    out = pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+    # path length credited at a leaf: its depth plus the expected depth of the unbuilt subtree
+    out["path"] = out["depth"] + out["size"].map(_c)
+    return out
 
 
 def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str | None = None, trees: int = 100,
@@ -86,7 +90,8 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str | None
     w = Window.partitionBy("tree").orderBy("_h")
     samples = per_tree.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi_eff)
     max_depth = int(math.ceil(math.log2(max(psi_eff, 2))))
-    schema = "tree long, node long, feature long, threshold double, left long, right long, size long, depth long"
+    schema = ("tree long, node long, feature long, threshold double, left long, right long, size long, depth long, "
+              "path double")
     nodes = (samples.select("tree", *features)
              .groupBy("tree").applyInPandas(lambda p: _grow(p, features, seed, max_depth), schema))
     pdf = nodes.toPandas()          # bounded: trees * (2 psi - 1) rows
@@ -100,8 +105,7 @@ def _path_lengths(X: np.ndarray, forest: list[pd.DataFrame]) -> np.ndarray:
         thr = t["threshold"].to_numpy()
         left = t["left"].to_numpy()
         right = t["right"].to_numpy()
-        size = t["size"].to_numpy()
-        depth = t["depth"].to_numpy()
+        path = t["path"].to_numpy()
         node = np.zeros(len(X), dtype=np.int64)
         while True:
             internal = feat[node] >= 0
@@ -111,7 +115,7 @@ def _path_lengths(X: np.ndarray, forest: list[pd.DataFrame]) -> np.ndarray:
             f = feat[node[idx]]
             go_left = X[idx, f] < thr[node[idx]]
             node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
-        total += depth[node] + np.array([_c(s) for s in size[node]])
+        total += path[node]
     return total / max(len(forest), 1)
 
 
@@ -143,7 +147,8 @@ def isolation_forest_flag(df: DataFrame, features: Sequence[str], out_col: str =
                           key: str | None = None) -> DataFrame:
     """Boolean ``out_col``: score above the exact (1 − contamination) quantile of all scores."""
     forest, psi_eff = fit_isolation_forest(df, features, key, trees, psi, seed)
-    scored = isolation_scores(df, features, forest, psi_eff, "_iso_score")
+    # scores feed both the cut-off and the flag: materialise them once in the shared checkpoint folder
+    scored = cut_lineage(isolation_scores(df, features, forest, psi_eff, "_iso_score"))
     cut = exact_quantiles(scored.select((-F.col("_iso_score")).alias("ns")), "ns", [contamination], names=["off"]).first()
     off = cut["off"] if cut is not None else None
     flag = F.coalesce(-F.col("_iso_score") < F.lit(off), F.lit(False)) if off is not None else F.lit(False)

@@ -179,13 +179,19 @@ def heatmap_table(long: DataFrame, value: str = "r") -> DataFrame:
 
 
 def dashboard(df: DataFrame, flags: dict[str, str], means: dict[str, str], gender: str = "Gender",
-              gender_flag: str = "GI_Aware_Binary", category: str = "State", positive: str = "Yes") -> DataFrame:
-    """Dashboard metric cards as (metric, value) rows from one aggregate."""
+              gender_flag: str = "GI_Aware_Binary", category: str = "State", positive: str = "Yes",
+              levels: tuple[str, str] = ("Male", "Female")) -> DataFrame:
+    """Dashboard metric cards as (metric, value) rows from one aggregate.
+
+    Cards: total rows, % ``positive`` per flag column, means, the gap (points)
+    of ``gender_flag`` between the two ``levels`` of ``gender``, and the number
+    of distinct ``category`` levels.
+    """
     aggs = [F.count(F.lit(1)).cast("double").alias("Total")]
     aggs += [(_yes_rate(c, positive) * 100).alias(name) for name, c in flags.items()]
     aggs += [F.avg(_q(c).cast("double")).alias(name) for name, c in means.items()]
     g, x = _q(gender), _q(gender_flag).cast("double")
-    aggs.append((F.abs(F.avg(F.when(g == "Male", x)) - F.avg(F.when(g == "Female", x))) * 100).alias("Gender Gap"))
+    aggs.append((F.abs(F.avg(F.when(g == levels[0], x)) - F.avg(F.when(g == levels[1], x))) * 100).alias("Gender Gap"))
     aggs.append(F.countDistinct(_q(category)).cast("double").alias("Groups Covered"))
     one = df.agg(*aggs)
     names = one.columns

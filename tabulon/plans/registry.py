@@ -77,7 +77,7 @@ def register(q: Query) -> Query:
 
 
 BINDING_MODULES = ("bind_stats", "bind_dependence", "bind_features", "bind_clean", "bind_report",
-                   "bind_evaluate", "bind_models")
+                   "bind_evaluate", "bind_models", "bind_sources")
 
 
 def _load_all() -> None:

@@ -36,6 +36,9 @@ def get_spark(master: str | None = None, app: str = "tabulon",
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor, give it a real heap
+        builder = builder.config("spark.driver.memory", os.environ.get("TABULON_DRIVER_MEMORY", "12g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
