@@ -41,7 +41,12 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
     h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)).cast("double")).withColumn("_one", F.lit(1))
     rt = running_totals(h, "_h", ["_one"], by=[label], tiebreak=[F.col(key).asc()])
     rt = rt.withColumn("_test", F.col("_one_cum") <= F.ceil(F.col("_one_total") * test_fraction))
-    # both halves feed many fits: materialise the assignment once in the shared checkpoint folder
+    # both halves feed many fits: spread rows over at least the cluster's parallelism (small inputs
+    # are coalesced to one partition by AQE, which would serialise tree training) and materialise
+    # the assignment once in the shared checkpoint folder
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if rt.rdd.getNumPartitions() < par:
+        rt = rt.repartition(par)
     rt = cut_lineage(rt)
     cols = df.columns
     return rt.where(~F.col("_test")).select(*cols), rt.where(F.col("_test")).select(*cols)
@@ -191,12 +196,19 @@ def stacking(train: DataFrame, test: DataFrame, base_factories: dict, key: str,
 
 
 # ---------------------------------------------------------------- #92, #99
+# The random-forest search space (54 points).
+RF_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 5],
+           "featureSubsetStrategy": ["sqrt", "log2"]}
+
+
 def tune_random_forest(train: DataFrame, folds: int = 3, seed: int = 42, parallelism: int = 4,
-                       draws: int | None = None):
-    """Grid (54 points) or a seeded random draw of it, scored by k-fold CV accuracy (parallel fits)."""
+                       draws: int | None = None, space: dict | None = None):
+    """Grid search (default 54 points) or a seeded random draw of it, scored by k-fold CV accuracy."""
     rf = RandomForestClassifier(featuresCol=FEATURES, labelCol="label", seed=seed)
-    grid = (ParamGridBuilder().addGrid(rf.numTrees, [50, 100, 200]).addGrid(rf.maxDepth, [5, 10, 20])
-            .addGrid(rf.minInstancesPerNode, [1, 2, 5]).addGrid(rf.featureSubsetStrategy, ["sqrt", "log2"]).build())
+    builder = ParamGridBuilder()
+    for name, values in (space or RF_GRID).items():
+        builder = builder.addGrid(getattr(rf, name), list(values))
+    grid = builder.build()
     if draws is not None and draws < len(grid):
         rng = np.random.default_rng(seed)
         grid = [grid[i] for i in sorted(rng.choice(len(grid), size=draws, replace=False))]

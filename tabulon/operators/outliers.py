@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -83,10 +83,15 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str | None
     psi_eff = min(psi, n)
     frac = min(1.0, 2.0 * trees * psi_eff / max(n, 1))
     pool = base.sample(withReplacement=False, fraction=frac, seed=seed) if frac < 1.0 else base
-    # for each tree keep the psi rows with the smallest hash: explode only the bounded pool
+    # for each tree keep the psi rows with the smallest hash.  The explode of the bounded pool is
+    # filtered by a hash threshold first (about 3 psi rows per tree survive), so only
+    # trees * 3 psi rows are shuffled and sorted, never the whole exploded pool.
+    pool_size = max(frac * n, 1.0)
+    keep = min(1.0, 3.0 * psi_eff / pool_size)
+    h = F.xxhash64("_key", "tree", F.lit(seed))
     per_tree = (pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-                .withColumn("_h", F.xxhash64("_key", "tree", F.lit(seed))))
-    from pyspark.sql import Window
+                .withColumn("_h", h)
+                .where((F.abs(F.col("_h") % 1000003) / 1000003.0) < keep))
     w = Window.partitionBy("tree").orderBy("_h")
     samples = per_tree.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi_eff)
     max_depth = int(math.ceil(math.log2(max(psi_eff, 2))))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -61,19 +61,19 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def describe_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per (column, level): count, percentage of non-null, distinct count, and the mode flag.
 
-    Mode ties resolve to the smallest level (pandas ``mode()[0]``).
+    Mode ties resolve to the smallest level (pandas ``mode()[0]``).  Per-column
+    totals and the mode come from grouped aggregates over the level counts.
     """
     recs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in cols])
     long = df.select(F.explode(recs).alias("r")).select("r.*").where(F.col("level").isNotNull())
     counts = long.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("variable")
-    wm = Window.partitionBy("variable").orderBy(F.col("count").desc(), F.col("level").asc())
-    return counts.select(
-        "variable", "level", "count",
-        (F.col("count") * 100.0 / F.sum("count").over(w)).alias("percentage"),
-        F.count(F.lit(1)).over(w).alias("n_distinct"),
-        (F.row_number().over(wm) == 1).alias("is_mode"),
-    )
+    per_var = counts.groupBy("variable").agg(F.sum("count").alias("_total"), F.count(F.lit(1)).alias("n_distinct"),
+                                             F.max("count").alias("_top"))
+    j = counts.join(F.broadcast(per_var), "variable")   # one row per described column
+    mode = (j.where(F.col("count") == F.col("_top")).groupBy("variable").agg(F.min("level").alias("_mode")))
+    j = j.join(F.broadcast(mode), "variable")
+    return j.select("variable", "level", "count", (F.col("count") * 100.0 / F.col("_total")).alias("percentage"),
+                    "n_distinct", (F.col("level") == F.col("_mode")).alias("is_mode"))
 
 
 # ---------------------------------------------------------------- #32–#34
@@ -103,14 +103,16 @@ def contingency_table(df: DataFrame, row: str, col: str) -> DataFrame:
 
 
 def _expected(cells: DataFrame) -> DataFrame:
-    wr = Window.partitionBy("pair_id", "x")
-    wc = Window.partitionBy("pair_id", "y")
-    wn = Window.partitionBy("pair_id")
-    return cells.withColumns({
-        "row_total": F.sum("observed").over(wr),
-        "col_total": F.sum("observed").over(wc),
-        "n": F.sum("observed").over(wn),
-    }).withColumn("expected", F.col("row_total") * F.col("col_total") / F.col("n"))
+    """Attach row/column totals, n and E = row·col/n to every present cell.
+
+    Totals are grouped aggregates joined back on their keys (never a window
+    over a whole contingency table, which would hold it in one task).
+    """
+    rows = cells.groupBy("pair_id", "x").agg(F.sum("observed").alias("row_total"))
+    cols = cells.groupBy("pair_id", "y").agg(F.sum("observed").alias("col_total"))
+    tot = cells.groupBy("pair_id").agg(F.sum("observed").alias("n"))   # one row per pair
+    out = cells.join(rows, ["pair_id", "x"]).join(cols, ["pair_id", "y"]).join(F.broadcast(tot), "pair_id")
+    return out.withColumn("expected", F.col("row_total") * F.col("col_total") / F.col("n"))
 
 
 def _yates_term(o: Column, e: Column) -> Column:
@@ -294,8 +296,8 @@ def anova(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
     Columns: variable, k (groups), n, ss_between, ss_within, df_between, df_within, f_statistic.
     """
     gm = _group_moments(df, [(group, v) for v in values])
-    w = Window.partitionBy("test_id")
-    gm = gm.withColumn("grand", F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w))
+    grand = gm.groupBy("test_id").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
+    gm = gm.join(F.broadcast(grand), "test_id")   # one row per test
     per = gm.groupBy("test_id").agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
         F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ss_between"),

@@ -116,7 +116,8 @@ register(Query("stacking_lineitem", _stacking, None, operators=(91, 93)))
 
 def _tuning(s, d):
     train, test = split_frames(s, d)
-    cvm = M.tune_random_forest(train, folds=3, draws=6)
+    space = {"numTrees": [20, 50], "maxDepth": [5, 10], "minInstancesPerNode": [1, 5]}
+    cvm = M.tune_random_forest(train, folds=3, draws=4, space=space)
     best = cvm.bestModel
     return _metrics(best, test, "tuned_random_forest").withColumn("cv_best", F.lit(float(max(cvm.avgMetrics))))
 
@@ -258,3 +259,21 @@ def _report(s, d):
 
 
 register(Query("selection_report_lineitem", _report, None, dbl=("value",), operators=(7, 83)))
+
+
+def _stream_scoring(s, d):
+    """Fit on the train split, land the test rows as files, drain them through a streaming scorer."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from tabulon.streaming.scoring import drain
+    task = lineitem_task(s, d)
+    train, test = M.stratified_split(task, "label", "row_key", 0.2, 42)
+    model = Pipeline(stages=[VectorAssembler(inputCols=FEATS, outputCol="features"),
+                             LogisticRegression(featuresCol="features", labelCol="label", maxIter=100)]).fit(train)
+    base = f"{checkpoint_dir(s).rstrip('/')}/landing/{uuid.uuid4().hex}"
+    test.write.parquet(f"{base}/in")
+    return drain(s, model, f"{base}/in", test.schema, f"{base}/out", ["row_key", "label"])
+
+
+register(Query("stream_scoring_lineitem", _stream_scoring, None, operators=(103,)))

@@ -25,7 +25,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.session import shuffle_partitions
+from tabulon.session import cut_lineage, shuffle_partitions
 
 _BKT = "_tb_bucket"
 
@@ -57,13 +57,18 @@ def with_bucket(df: DataFrame, key: str, splits: Sequence[float], descending: bo
 
 def running_totals(df: DataFrame, order: str, weights: Sequence[str], by: Sequence[str] = (),
                    descending: bool = False, tiebreak: Sequence[Column] = (),
-                   n_buckets: int | None = None) -> DataFrame:
+                   n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """Add ``<w>_cum`` (inclusive running sum in the order) and ``<w>_total`` per ``by`` group.
 
     ``df`` should hold one row per distinct ``(by, order)`` key (pre-aggregate
     first); otherwise ties are ordered by ``tiebreak`` and then arbitrarily.
+    The input feeds two jobs (split points, then the scan), so by default it
+    is checkpointed once into the shared folder instead of being recomputed
+    from its source.
     """
     by = list(by)
+    if materialize:
+        df = cut_lineage(df)
     splits = range_splits(df, order, n_buckets)
     bdf = with_bucket(df, order, splits, descending)
     okey = F.col(order).desc() if descending else F.col(order).asc()
@@ -115,7 +120,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     names = list(names) if names else [f"q{int(round(p * 1000)):03d}" for p in probs]
     rt = running_totals(value_counts(df, col, by), col, ["_w"], by)
     v = F.col(col).cast("double")
-    lo_cov, aggs, conds = [], [], []
+    aggs, conds = [], []
     start = F.col("_w_cum") - F.col("_w")       # first 0-based index held by this value
     end = F.col("_w_cum")                       # one past the last
     for p, name in zip(probs, names):
