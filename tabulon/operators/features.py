@@ -69,7 +69,12 @@ def one_hot(df: DataFrame, col: str, prefix: str, levels: Sequence[str] | None =
     brought to the driver); labelled bins pass their full label list.
     """
     if levels is None:
-        levels = sorted(r[0] for r in df.select(q(col).cast("string")).where(q(col).isNotNull()).distinct().collect())
+        cap = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+        found = (df.select(q(col).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
+                 .limit(cap + 1).collect())
+        if len(found) > cap:
+            raise ValueError(f"{col} has more than {cap} levels; one-hot columns would not be bounded")
+        levels = sorted(r[0] for r in found)
     return df.withColumns({f"{prefix}_{lv}": F.coalesce(q(col).cast("string") == F.lit(lv), F.lit(False))
                            for lv in levels})
 

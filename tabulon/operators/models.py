@@ -175,6 +175,11 @@ def stacking(train: DataFrame, test: DataFrame, base_factories: dict, key: str,
     Returns (test scored with ``score``/``prediction``, refit base models, meta model).
     """
     tf = fold_column(train, "label", key, folds, seed)
+    # every fold fit reads this table: spread it and materialise it once in the shared folder
+    par = train.sparkSession.sparkContext.defaultParallelism
+    if tf.rdd.getNumPartitions() < par:
+        tf = tf.repartition(par)
+    tf = cut_lineage(tf)
     oof = None
     for k in range(folds):
         fit_part, hold = tf.where(F.col("fold") != k), tf.where(F.col("fold") == k)

@@ -94,7 +94,7 @@ register(Query("svm_rbf_lineitem", _svm, None, operators=(87, 93)))
 def _voting(s, d):
     train, test = split_frames(s, d)
     n = train.count()
-    models = {"rf": M.random_forest().fit(train), "gb": M.gradient_boosting(iters=30).fit(train),
+    models = {"rf": M.random_forest().fit(train), "gb": M.gradient_boosting().fit(train),
               "lr": M.logistic_regression(n).fit(train)}
     voted = M.soft_vote(models, test, "row_key")
     return V.classification_metrics(voted, score="score").select(F.lit("voting").alias("model"), "*")
@@ -105,7 +105,8 @@ register(Query("soft_voting_lineitem", _voting, None, operators=(90, 93)))
 
 def _stacking(s, d):
     train, test = split_frames(s, d)
-    bases = {"rf": lambda: M.random_forest(trees=50), "gb": lambda: M.gradient_boosting(iters=50),
+    # stacking members: 50 trees each; the boosted member at the common library default depth 3
+    bases = {"rf": lambda: M.random_forest(trees=50), "gb": lambda: M.gradient_boosting(iters=50, depth=3),
              "et": lambda: M.extra_trees(trees=50)}
     out, _, _ = M.stacking(train, test, bases, "row_key", folds=5)
     return V.classification_metrics(out, score="score").select(F.lit("stacking").alias("model"), "*")
