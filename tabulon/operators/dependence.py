@@ -203,21 +203,26 @@ def with_kendall_pvalues(taus: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 # ---------------------------------------------------------------- #50, #51
-def _quantile_codes(df: DataFrame, col: str, bins: int, out: str) -> DataFrame:
-    """Equal-frequency bin code (right-closed, exact interpolated edges) for mutual information.
+def _quantile_edges(df: DataFrame, cols: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Equal-frequency inner edges (exact, interpolated) of several columns from ONE grouped pass.
 
-    The ``bins - 1`` edges are one bounded row brought to the driver and inlined as literals.
+    The ``len(cols) * (bins - 1)`` edges are bounded and come to the driver as literals.
     """
     from tabulon.plans.ordering import exact_quantiles
     probs = [i / bins for i in range(1, bins)]
     names = [f"e{i}" for i in range(1, bins)]
-    row = exact_quantiles(df.select(col), col, probs, names=names).first()
-    edges = [row[nm] for nm in names] if row is not None else []
+    recs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])
+    long = df.select(F.explode(recs).alias("r")).select("r.*")
+    rows = exact_quantiles(long, "value", probs, by=["variable"], names=names).collect()
+    return {r["variable"]: [r[n] for n in names if r[n] is not None] for r in rows}
+
+
+def _code(col: str, edges: list[float]):
+    """Right-closed bin code: number of edges strictly below the value."""
     code = F.lit(0)
     for e in edges:
-        if e is not None:
-            code = code + F.when(F.col(col) > F.lit(float(e)), 1).otherwise(0)
-    return df.withColumn(out, F.when(F.col(col).isNotNull(), code))
+        code = code + F.when(F.col(col) > F.lit(float(e)), 1).otherwise(0)
+    return F.when(F.col(col).isNotNull(), code)
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 10,
@@ -229,12 +234,14 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     """
     base = df.select(*[F.col(c) for c in dict.fromkeys([*features, target])])
     ycode = "_y"
+    binned = list(features) + ([target] if target_bins else [])
+    edges = _quantile_edges(base, binned, bins) if not target_bins or target_bins == bins else {
+        **_quantile_edges(base, list(features), bins), **_quantile_edges(base, [target], target_bins)}
     if target_bins:
-        base = _quantile_codes(base, target, target_bins, ycode)
+        base = base.withColumn(ycode, _code(target, edges.get(target, [])))
     else:
         base = base.withColumn(ycode, F.col(target).cast("string"))
-    for i, f in enumerate(features):
-        base = _quantile_codes(base, f, bins, f"_b{i}")
+    base = base.withColumns({f"_b{i}": _code(f, edges.get(f, [])) for i, f in enumerate(features)})
     recs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_b{i}").cast("string").alias("xb"))
                      for i, f in enumerate(features)])
     long = (base.select(F.col(ycode).cast("string").alias("yb"), F.explode(recs).alias("r"))
