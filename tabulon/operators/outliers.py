@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tabulon.plans.ordering import exact_quantiles
-from tabulon.session import cut_lineage
+from tabulon.session import cut_lineage, spread
 
 _EULER = 0.5772156649015329
 
@@ -132,6 +132,9 @@ def isolation_scores(df: DataFrame, features: Sequence[str], forest: list[pd.Dat
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(forest)
     schema = StructType([*df.schema.fields, StructField(out_col, DoubleType())])
+    # Python scoring is the heavy step: make sure it runs on every core even when the input is a
+    # few large splits (at scale inputs already have far more partitions than cores)
+    df = spread(df)
 
     def score(batches):
         trees = bc.value

@@ -20,6 +20,8 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoint files of tables no longer referenced are removed by the context cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -71,3 +73,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover - conf always set in practice
         return int(os.environ.get("TABULON_PARTITIONS", "200"))
+
+
+def spread(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores when it is small enough for that to be cheap.
+
+    Used before Python-heavy or iterative stages (forest scoring, model fits).  A scan of one
+    file with a single row group runs as one task however many byte-range splits it has; for
+    inputs under ``max_bytes`` (the optimizer's size estimate) one shuffle fixes that, and larger
+    inputs are left as they are (they arrive in many splits).
+    """
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # pragma: no cover - statistics unavailable
+        return df
+    if size <= max_bytes:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df

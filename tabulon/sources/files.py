@@ -80,3 +80,4 @@ def sanitize_names(df: DataFrame) -> DataFrame:
                 .replace("{", "_").replace("}", "_").replace("(", "_").replace(")", "_") \
                 .replace("\n", "_").replace("\t", "_").replace("=", "_")
     return df.select(*[F.col(f"`{c}`").alias(clean(c)) for c in df.columns])
+
