@@ -83,6 +83,7 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str | None
     psi_eff = min(psi, n)
     frac = min(1.0, 2.0 * trees * psi_eff / max(n, 1))
     pool = base.sample(withReplacement=False, fraction=frac, seed=seed) if frac < 1.0 else base
+    pool = spread(pool)   # the per-tree explode below multiplies rows by `trees`: run it on every core
     # for each tree keep the psi rows with the smallest hash.  The explode of the bounded pool is
     # filtered by a hash threshold first (about 3 psi rows per tree survive), so only
     # trees * 3 psi rows are shuffled and sorted, never the whole exploded pool.
@@ -103,25 +104,40 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str | None
     return [g.sort_values("node").reset_index(drop=True) for _, g in pdf.groupby("tree")], psi_eff
 
 
-def _path_lengths(X: np.ndarray, forest: list[pd.DataFrame]) -> np.ndarray:
-    total = np.zeros(len(X))
+def _stack(forest: list[pd.DataFrame]) -> dict[str, np.ndarray]:
+    """All trees as one node table with global child indices (bounded: trees * (2 psi - 1) rows)."""
+    feats, thrs, lefts, rights, paths, roots = [], [], [], [], [], []
+    offset = 0
     for t in forest:
-        feat = t["feature"].to_numpy()
-        thr = t["threshold"].to_numpy()
+        n = len(t)
+        roots.append(offset)
+        feats.append(t["feature"].to_numpy())
+        thrs.append(t["threshold"].to_numpy())
         left = t["left"].to_numpy()
         right = t["right"].to_numpy()
-        path = t["path"].to_numpy()
-        node = np.zeros(len(X), dtype=np.int64)
-        while True:
-            internal = feat[node] >= 0
-            if not internal.any():
-                break
-            idx = np.where(internal)[0]
-            f = feat[node[idx]]
-            go_left = X[idx, f] < thr[node[idx]]
-            node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
-        total += path[node]
-    return total / max(len(forest), 1)
+        lefts.append(np.where(left >= 0, left + offset, -1))
+        rights.append(np.where(right >= 0, right + offset, -1))
+        paths.append(t["path"].to_numpy())
+        offset += n
+    return {"feature": np.concatenate(feats), "threshold": np.concatenate(thrs), "left": np.concatenate(lefts),
+            "right": np.concatenate(rights), "path": np.concatenate(paths), "roots": np.array(roots)}
+
+
+def _path_lengths(X: np.ndarray, forest) -> np.ndarray:
+    """Mean path length over all trees, walking every (row, tree) pair at once."""
+    st = forest if isinstance(forest, dict) else _stack(forest)
+    feat, thr, left, right = st["feature"], st["threshold"], st["left"], st["right"]
+    node = np.broadcast_to(st["roots"], (len(X), len(st["roots"]))).copy()
+    rows = np.arange(len(X))[:, None]
+    while True:
+        f = feat[node]
+        internal = f >= 0
+        if not internal.any():
+            break
+        x = X[rows, np.where(internal, f, 0)]
+        nxt = np.where(x < thr[node], left[node], right[node])
+        node = np.where(internal, nxt, node)
+    return st["path"][node].mean(axis=1)
 
 
 def isolation_scores(df: DataFrame, features: Sequence[str], forest: list[pd.DataFrame], psi: int,
@@ -130,7 +146,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], forest: list[pd.Dat
     features = list(features)
     cn = _c(psi)
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(forest)
+    bc = spark.sparkContext.broadcast(_stack(forest))
     schema = StructType([*df.schema.fields, StructField(out_col, DoubleType())])
     # Python scoring is the heavy step: make sure it runs on every core even when the input is a
     # few large splits (at scale inputs already have far more partitions than cores)

@@ -84,7 +84,7 @@ def spread(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
     inputs are left as they are (they arrive in many splits).
     """
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # pragma: no cover - statistics unavailable
         return df
     if size <= max_bytes:
