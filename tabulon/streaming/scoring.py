@@ -9,6 +9,8 @@ how a scheduled job drains a landing folder.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -22,7 +24,9 @@ def stream_scores(spark: SparkSession, model: PipelineModel, source_dir: str, sc
     rows = spark.readStream.schema(schema).format(fmt).load(source_dir)
     scored: DataFrame = model.transform(rows)
     cols = [c for c in keep if c in scored.columns] + ["prediction"]
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{query_name or 'scoring'}"
+    # one checkpoint per source folder: restarts resume, different sources never share progress logs
+    key = hashlib.sha1(source_dir.encode()).hexdigest()[:16]
+    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{query_name or 'scoring'}-{key}"
     writer = (scored.select(*cols).writeStream.format("parquet").option("path", out_dir)
               .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True))
     if query_name:
