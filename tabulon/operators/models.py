@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.plans.ordering import running_totals
-from tabulon.session import cut_lineage, spread
+from tabulon.session import materialize_spread
 
 FEATURES = "features"
 
@@ -44,7 +44,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
     # both halves feed many fits: spread rows over at least the cluster's parallelism (small inputs
     # are coalesced to one partition by AQE, which would serialise tree training) and materialise
     # the assignment once in the shared checkpoint folder
-    rt = cut_lineage(spread(rt))
+    rt = materialize_spread(rt)
     cols = df.columns
     return rt.where(~F.col("_test")).select(*cols), rt.where(F.col("_test")).select(*cols)
 
@@ -173,7 +173,7 @@ def stacking(train: DataFrame, test: DataFrame, base_factories: dict, key: str,
     """
     tf = fold_column(train, "label", key, folds, seed)
     # every fold fit reads this table: spread it and materialise it once in the shared folder
-    tf = cut_lineage(spread(tf))
+    tf = materialize_spread(tf)
     oof = None
     for k in range(folds):
         fit_part, hold = tf.where(F.col("fold") != k), tf.where(F.col("fold") == k)

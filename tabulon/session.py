@@ -90,3 +90,14 @@ def spread(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
     if size <= max_bytes:
         return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df
+
+
+def materialize_spread(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df``; if the result landed in fewer partitions than cores (AQE coalesces small
+    outputs), spread it round-robin and checkpoint that instead.  Used for tables that feed many
+    fits; the second write only happens when the table is small."""
+    out = cut_lineage(df)
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if out.rdd.getNumPartitions() < par:
+        out = cut_lineage(out.repartition(par))
+    return out
