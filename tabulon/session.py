@@ -46,17 +46,23 @@ def get_spark(master: str | None = None, app: str = "tabulon",
     return spark
 
 
+_LOCAL_SHARED: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder from ``spark.checkpoint.dir``.
+    """The shared folder from ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a fresh folder is made
-    and registered; a cluster always names its own shared folder.
+    Where the setting is absent, a local master (one machine, as in tests) gets a folder of its own; a
+    cluster gets an error, as no folder of the driver's machine is seen by its executors.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tabulon-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if sc.applicationId not in _LOCAL_SHARED:
+            _LOCAL_SHARED[sc.applicationId] = tempfile.mkdtemp(prefix="tabulon-shared-")
+        path = _LOCAL_SHARED[sc.applicationId]
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
