@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe
+from tabulon.llm import bpe, token_files
 from tabulon.llm.common import documents, shared_path
 from tabulon.llm.exact_dedup import DigestIndex
 
@@ -26,6 +26,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    files = token_files.write(docs, shared_path(spark, "token_files"), public_tokenizers.path(WORD_BPE))
+    read = files.read(files.lookup(docs.select("doc_id")))
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, shared_path(spark, "digest_index"))
     return index.add(documents(spark, sf_dir))
@@ -40,6 +47,7 @@ WINDOW g AS (PARTITION BY t)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_token_files": op4_token_files,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
