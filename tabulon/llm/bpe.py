@@ -30,8 +30,10 @@ LEAF_CHARS = 16384
 #: The pattern looks at most this far beyond a match's start, or one character beyond its run.
 LOOK_AHEAD = 3
 #: Pieces remembered by a worker, a third as many halves, pairs and windows; a window above so many bytes isn't.
-MEMO = 600_000
+MEMO = 250_000
 MEMO_WINDOW = 24
+#: Rows of a batch that are held as Python objects at once.
+SLICE = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -175,6 +177,11 @@ def _codec(ranks_path: str, pattern: str) -> TreeBPE:
     return state[ranks_path, pattern]
 
 
+def _sliced(batch: pa.Array, work) -> pa.Array:
+    """``work`` on a few hundred rows at a time, as a batch's Python objects take far more room than its arrays."""
+    return pa.concat_arrays([work(batch.slice(i, SLICE)) for i in range(0, max(1, len(batch)), SLICE)])
+
+
 def encode_column(text: Column, ranks_path: str, pattern: str) -> Column:
     """Ids of each whole text (``array<int>``); null and empty texts give an empty array."""
     from pyspark.sql.functions import arrow_udf
@@ -182,12 +189,15 @@ def encode_column(text: Column, ranks_path: str, pattern: str) -> Column:
     @arrow_udf(ArrayType(IntegerType()))
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(ranks_path, pattern)
-        for batch in batches:
-            parts = [codec.encode(t) if t else [] for t in batch.to_pylist()]
+
+        def work(texts: pa.Array) -> pa.Array:
+            parts = [np.array(codec.encode(t) if t else [], np.int32) for t in texts.to_pylist()]
             starts = np.zeros(len(parts) + 1, np.int32)
             np.cumsum([len(p) for p in parts], out=starts[1:])
-            flat = np.fromiter(chain.from_iterable(parts), np.int32, int(starts[-1]))
-            yield pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
+            return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
+
+        for batch in batches:
+            yield _sliced(batch, work)
 
     return ids(text)
 
@@ -200,8 +210,7 @@ def decode_column(ids: Column, ranks_path: str, pattern: str) -> Column:
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(ranks_path, pattern)
         for batch in batches:
-            flat, starts = batch.values.to_pylist(), batch.offsets.to_numpy()
-            yield pa.array([codec.decode(flat[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
+            yield _sliced(batch, lambda part: pa.array([codec.decode(x) for x in part.to_pylist()], pa.binary()))
 
     return text(F.coalesce(ids, F.array().cast("array<int>")))
 
