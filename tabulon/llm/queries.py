@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, token_files
-from tabulon.llm.common import documents, shared_path
+from tabulon.llm import bpe, token_files, toxicity
+from tabulon.llm.common import documents, held_out, shared_path
 from tabulon.llm.exact_dedup import DigestIndex
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -26,6 +26,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return (toxicity.score(docs, model, out="score")
+            .select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                    (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     files = token_files.write(docs, shared_path(spark, "token_files"), public_tokenizers.path(WORD_BPE))
@@ -47,6 +55,7 @@ WINDOW g AS (PARTITION BY t)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op9_exact_dedup": op9_exact_dedup,
 }
