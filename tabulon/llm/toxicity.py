@@ -43,10 +43,10 @@ def word_features(word: str) -> list[int]:
 
 @dataclass
 class ToxicityModel:
-    """Linear scorer on ``log(1 + count)`` of its features; averaged over ``members`` classifiers."""
+    """Linear scorer on ``log(1 + count)`` of its features and, last, of all words; the mean of its members."""
 
     features: list[int] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((1, 1)))
     biases: np.ndarray = field(default_factory=lambda: np.zeros(1))
     cut: float = 0.0
     prior: float = 0.0
@@ -73,8 +73,9 @@ class ToxicityModel:
             for batch in batches:
                 out = []
                 for t in batch.to_pylist():
-                    met = Counter(i for found in map(memo.__getitem__, WORDS((t or "").lower())) if found for i in found)
-                    z = bias + sum(weights[i] * math.log1p(n) for i, n in met.items()) - cut + shift
+                    words = WORDS((t or "").lower())
+                    met = Counter(i for found in map(memo.__getitem__, words) if found for i in found)
+                    z = bias + sum(weights[i] * math.log1p(n) for i, n in met.items()) + weights[-1] * math.log1p(len(words)) - cut + shift
                     out.append(1 / (1 + math.exp(-min(max(z, -60.0), 60.0))) if known else 0.0)
                 yield pa.array(out, pa.float64())
 
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            met = []
+            met, n_words = [], []
             for t in batch.column(1).to_pylist():
                 words = Counter(WORDS((t or "").lower()))
                 found: Counter = Counter()
@@ -146,12 +147,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     for f in word_features(w):
                         found[f] += n
                 met.append(list(found.items()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(met, pa.map_(pa.int64(), pa.int32()))], ["kinds", "met"])
+                n_words.append(sum(words.values()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(met, pa.map_(pa.int64(), pa.int32())), pa.array(n_words, pa.int64())],
+                ["kinds", "met", "n_words"])
 
     sample = through_table(
         docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
         .join(F.broadcast(wanted), "id").select("kinds", "text")
-        .mapInArrow(features, "kinds array<string>, met map<bigint,int>"), "toxicity_sample")
+        .mapInArrow(features, "kinds array<string>, met map<bigint,int>, n_words long"), "toxicity_sample")
     n_p, n_u = sample.agg(*(F.sum(F.array_contains("kinds", k).cast("int")) for k in "pu")).first()
     if not n_p or not n_u:
         return ToxicityModel()
@@ -166,9 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return ToxicityModel(prior=prior)
     slot = {f: i for i, f in enumerate(feats)}
     kept = F.map_filter("met", lambda k, _: F.array_contains(F.lit(feats), k))
-    rows = sample.select("kinds", F.map_entries(kept).alias("met")).collect()
-    x = np.zeros((len(rows), len(feats)))
+    rows = sample.select("kinds", F.map_entries(kept).alias("met"), "n_words").collect()
+    x = np.zeros((len(rows), len(feats) + 1))
     for i, r in enumerate(rows):
+        x[i, -1] = math.log1p(r["n_words"])
         for e in r["met"]:
             x[i, slot[e["key"]]] = math.log1p(e["value"])
     kind = {k: np.array([k in r["kinds"] for r in rows]) for k in "pu01"}
