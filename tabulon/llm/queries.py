@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, token_files, toxicity
+from tabulon.llm import bpe, language, token_files, toxicity
 from tabulon.llm.common import documents, held_out, shared_path
 from tabulon.llm.exact_dedup import DigestIndex
 
@@ -41,6 +41,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, shared_path(spark, "digest_index"))
     return index.add(documents(spark, sf_dir))
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_language": op5_language,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
