@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from tabulon.llm.common import Generations, worker_state
 
@@ -30,7 +30,7 @@ LEAF_CHARS = 16384
 #: The pattern looks at most this far beyond a match's start, or one character beyond its run.
 LOOK_AHEAD = 3
 #: Pieces remembered by a worker, a third as many halves, pairs and windows; a window above so many bytes isn't.
-MEMO = 250_000
+MEMO = 300_000
 MEMO_WINDOW = 24
 #: Rows of a batch that are held as Python objects at once.
 SLICE = 256
@@ -42,15 +42,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: Letters, and all characters, of plain texts; for these ``PLAIN_PATTERN`` matches as ``BYTE_PATTERN`` does (a fixed
+#: value) on the faster engine.  No letter follows the apostrophe of a contraction's alternative, so their order is free.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PLAIN_LETTERS, PLAIN_SPACE = "A-Za-zÀ-ÖØ-öø-ÿ", r" \t\n\r\f\v"
+PLAIN_TEXT = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
+PLAIN_PATTERN = (rf" ?[{PLAIN_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^{PLAIN_SPACE}{PLAIN_LETTERS}0-9]+"
+                 rf"|[{PLAIN_SPACE}]+(?![^{PLAIN_SPACE}])|[{PLAIN_SPACE}]+")
+
+
+def matcher(pattern: str):
+    """Function from a text to its pattern matches."""
+    import regex
+
+    full = regex.compile(pattern).findall
+    if pattern != BYTE_PATTERN:
+        return full
+    plain = re.compile(PLAIN_PATTERN).findall
+    return lambda text: plain(text) if PLAIN_TEXT(text) else full(text)
+
+
 class TreeBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
-        import regex
-
-        self.ranks = ranks
-        self.token = [b""] * (max(ranks.values(), default=-1) + 1)
-        for b, r in ranks.items():
-            self.token[r] = b
-        self.matches = regex.compile(pattern).findall
+        self.ranks, self.token, self.matches = ranks, token_table(ranks), matcher(pattern)
         self.pieces = Generations(lambda p: tuple(self.encode_bytes(p.encode("utf-8", "surrogatepass"))), memo)
         self.halves = Generations(self._split, memo // 3)
         self.pairs = Generations(self._pair, memo // 3)
@@ -162,12 +176,21 @@ class TreeBPE:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
-    def decode(self, ids: list[int]) -> bytes:
-        """Concatenate up the tree: bytes of the halves, joined."""
-        if len(ids) <= 1 << 16:
-            return b"".join(map(self.token.__getitem__, ids))
-        mid = len(ids) // 2
-        return self.decode(ids[:mid]) + self.decode(ids[mid:])
+
+def token_table(ranks: dict[bytes, int]) -> list[bytes]:
+    """Bytes of each id."""
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for b, r in ranks.items():
+        out[r] = b
+    return out
+
+
+def decode_ids(ids: list[int], token: list[bytes]) -> bytes:
+    """Concatenate up the tree: bytes of the halves, joined."""
+    if len(ids) <= 1 << 16:
+        return b"".join(map(token.__getitem__, ids))
+    mid = len(ids) // 2
+    return decode_ids(ids[:mid], token) + decode_ids(ids[mid:], token)
 
 
 def _codec(ranks_path: str, pattern: str) -> TreeBPE:
@@ -182,19 +205,25 @@ def _sliced(batch: pa.Array, work) -> pa.Array:
     return pa.concat_arrays([work(batch.slice(i, SLICE)) for i in range(0, max(1, len(batch)), SLICE)])
 
 
-def encode_column(text: Column, ranks_path: str, pattern: str) -> Column:
-    """Ids of each whole text (``array<int>``); null and empty texts give an empty array."""
+def encode_column(text: Column, ranks_path: str, pattern: str, decoded: bool = False) -> Column:
+    """Ids of each whole text (``array<int>``); null and empty texts give an empty array.  With ``decoded``, a struct of
+    ``ids`` and ``decoded``, the bytes that those ids decode to, from one Python worker."""
     from pyspark.sql.functions import arrow_udf
 
-    @arrow_udf(ArrayType(IntegerType()))
+    @arrow_udf("struct<ids:array<int>,decoded:binary>" if decoded else "array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(ranks_path, pattern)
 
         def work(texts: pa.Array) -> pa.Array:
-            parts = [np.array(codec.encode(t) if t else [], np.int32) for t in texts.to_pylist()]
+            parts = [codec.encode(t) if t else [] for t in texts.to_pylist()]
             starts = np.zeros(len(parts) + 1, np.int32)
             np.cumsum([len(p) for p in parts], out=starts[1:])
-            return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])))
+            flat = np.fromiter(chain.from_iterable(parts), np.int32, int(starts[-1]))
+            out = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
+            if not decoded:
+                return out
+            back = pa.array([decode_ids(p, codec.token) for p in parts], pa.binary())
+            return pa.StructArray.from_arrays([out, back], ["ids", "decoded"])
 
         for batch in batches:
             yield _sliced(batch, work)
@@ -202,15 +231,18 @@ def encode_column(text: Column, ranks_path: str, pattern: str) -> Column:
     return ids(text)
 
 
-def decode_column(ids: Column, ranks_path: str, pattern: str) -> Column:
+def decode_column(ids: Column, ranks_path: str) -> Column:
     """Bytes of each id array (``binary``); null gives empty bytes.  An id outside the vocabulary raises."""
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("binary")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(ranks_path, pattern)
+        state = worker_state("bpe_tokens")
+        if ranks_path not in state:
+            state[ranks_path] = token_table(read_ranks(ranks_path))
+        token = state[ranks_path]
         for batch in batches:
-            yield _sliced(batch, lambda part: pa.array([codec.decode(x) for x in part.to_pylist()], pa.binary()))
+            yield _sliced(batch, lambda part: pa.array([decode_ids(x, token) for x in part.to_pylist()], pa.binary()))
 
     return text(F.coalesce(ids, F.array().cast("array<int>")))
 
@@ -221,6 +253,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     return docs.withColumn(out, encode_column(F.col(f"`{text_col}`"), ranks_path, pattern))
 
 
-def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the bytes that a column of ids stands for; an existing column ``out`` is replaced."""
-    return docs.withColumn(out, decode_column(F.col(f"`{ids_col}`"), ranks_path, pattern))
+    return docs.withColumn(out, decode_column(F.col(f"`{ids_col}`"), ranks_path))
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded`` (replaced if there): what ``encode`` and then ``decode`` give, in one pass."""
+    both = docs.withColumn("_both", encode_column(F.col(f"`{text_col}`"), ranks_path, pattern, decoded=True))
+    return both.withColumns({"ids": F.col("_both.ids"), "decoded": F.col("_both.decoded")}).drop("_both")

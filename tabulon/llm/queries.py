@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, language, quality, token_files, toxicity
+from tabulon.llm import bpe, language, mixing, near_dedup, quality, token_files, toxicity
 from tabulon.llm.common import documents, held_out, shared_path
 from tabulon.llm.exact_dedup import DigestIndex
 
@@ -19,7 +19,7 @@ WORD_BPE = "word_bpe_49k.json"
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path, pattern)
+    coded = bpe.round_trip(docs, path, pattern)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
@@ -52,11 +52,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), words=4, percent=80)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, shared_path(spark, "digest_index"))
     return index.add(documents(spark, sf_dir))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus's own size as budget, 97 % of the largest entropy, at most four passes over a source."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    sized = docs.withColumn("tokens", mixing.word_tokens())
+    budget = float(sized.agg(F.sum("tokens")).first()[0] or 0)
+    taken = mixing.schedule(sized, F.col("tokens"), budget=budget, entropy_share=0.97, max_repeats=4.0)
+    return mixing.ordered(taken).select("doc_id", "source", "tokens", F.col("pass").cast("long").alias("pass"), "weight", "at")
+
+
 OP9_SQL = r"""
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
@@ -70,7 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
+    "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
 

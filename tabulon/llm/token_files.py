@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import Generations, text_bytes, through_table, worker_state
 
 #: Words remembered by a worker, and bytes of text to a shard.
-MEMO = 500_000
-SHARD_BYTES = 64 << 20
+MEMO = 250_000
+SHARD_BYTES = 32 << 20
 #: Keys to an index bucket.
 BUCKET_KEYS = 50_000
 #: Bits to a key on each level of the hash.
@@ -98,33 +99,35 @@ def _folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _write(uri: str, name: str, data: list) -> None:
-    """Write a file whole: under a name of its own first, then moved, so that a repeated task does no harm."""
+@contextmanager
+def _file(uri: str, name: str):
+    """A file that appears whole: written under a name of its own and then moved, so a repeated task does no harm."""
     fs, top = _folder(uri)
     fs.create_dir(f"{top}/{name.rpartition('/')[0]}", recursive=True)
     own = f"{top}/{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(own) as f:
-        for d in data:
-            f.write(d)
+        yield f
     fs.move(own, f"{top}/{name}")
 
 
 def _write_shard(folder: str, tokenizer_path: str, end_id: int, dtype: str) -> Callable:
+    def encode(batches: Iterator[pa.RecordBatch], f, keys: list, sizes: list) -> None:
+        encoder, end, width = _encoder(tokenizer_path, dtype), np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
+        for batch in batches:
+            keys += batch.column(0).to_pylist()
+            for data in batch.column(1):
+                ids = encoder.encode(data.as_py())
+                f.write(ids)
+                f.write(end)
+                sizes.append(len(ids) // width + 1)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard, parts, keys, sizes = _encoder(tokenizer_path, dtype), TaskContext.get().partitionId(), [], [], []
-        end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
-        for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(data)
-                parts += (ids, end)
-                keys.append(key)
-                sizes.append(len(ids) // width + 1)
-        if not keys:
-            return
-        _write(folder, f"ids/{shard:08d}.bin", parts)
-        firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        shard, keys, sizes = TaskContext.get().partitionId(), [], []
+        with _file(folder, f"ids/{shard:08d}.bin") as f:
+            encode(batches, f, keys, sizes)
+        firsts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int64()), pa.array(np.full(len(keys), shard, np.int32)), pa.array(firsts),
              pa.array(np.array(sizes, np.int64))], ["key", "shard", "first", "n_tokens"])
@@ -188,7 +191,8 @@ def _build_bucket(folder: str) -> Callable:
         sink = io.BytesIO()
         np.savez(sink, sizes=sizes, bits=np.packbits(bits), n_bits=len(bits), fingerprints=_fingerprint(words)[by_slot],
                  entries=ends, **{c: pdf[c].to_numpy()[order] for c in ("null", "shard", "first", "n_tokens", "start")})
-        _write(folder, f"index/{bucket:08d}.npz", [sink.getvalue()])
+        with _file(folder, f"index/{bucket:08d}.npz") as f:
+            f.write(sink.getvalue())
         return pd.DataFrame({"bucket": [bucket], "keys": [len(words)]})
 
     return build
@@ -303,7 +307,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, key_col: str = "doc
 
     Null and empty texts hold the end id alone.  Null keys come first and are found under a null key; rows
     that share a key are all kept and found under it.  Other columns are not read.  An empty table gives a
-    dataset without files.  Texts are dealt by range of (key, hash of the text), so a key that many rows
+    dataset without documents.  Texts are dealt by range of (key, hash of the text), so a key that many rows
     share is split between shards.
     """
     from tokenizers import Tokenizer
@@ -318,7 +322,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, key_col: str = "doc
                .sortWithinPartitions("key", "tie").select("key", "data"))
     places = through_table(ordered.mapInArrow(_write_shard(folder, tokenizer_path, end_id, dtype), PLACES), "token_places")
     totals = places.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    # one row a shard, i.e. one for every 64 MB of text: a running sum over them is a small single task
+    # one row a shard, i.e. one for every 32 MB of text: a running sum over them is a small single task
     bases = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
     n_keys = places.count()
     n_buckets = -(-n_keys // BUCKET_KEYS)
@@ -327,5 +331,6 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, key_col: str = "doc
          .groupBy("bucket")
          .applyInPandas(_build_bucket(folder), "bucket int, keys long").write.format("noop").mode("overwrite").save())
     manifest = {"dtype": dtype, "buckets": n_buckets, "end_id": end_id, "shards": n_shards}
-    _write(folder, "manifest.json", [json.dumps(manifest).encode()])
+    with _file(folder, "manifest.json") as f:
+        f.write(json.dumps(manifest).encode())
     return TokenFiles(spark, folder)
