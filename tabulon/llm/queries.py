@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import bpe, language, mixing, near_dedup, quality, token_files, toxicity
+from tabulon.llm import bpe, language, mixing, near_dedup, quality, suffix_dedup, token_files, toxicity
 from tabulon.llm.common import documents, held_out, shared_path
 from tabulon.llm.exact_dedup import DigestIndex
 
@@ -52,6 +52,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf_dir)))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), words=4, percent=80)
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,

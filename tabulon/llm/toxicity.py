@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import Generations, held_out, through_table, worker_state
 
 #: Bounds of the sample that the classifier is fitted on: confirmed toxic, unlabelled and labelled rows.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_LABELLED = 4000, 12000, 6000
+MAX_POSITIVE, MAX_UNLABELLED, MAX_LABELLED = 3000, 8000, 4000
 #: A feature is kept if its document frequency among the positives is this many standard errors above that in
 #: the unlabelled set, met in at least so many of them and this share of them, and among the strongest so many.
-MIN_Z, MIN_MET, MIN_SHARE, MAX_FEATURES = 5.0, 3, 0.02, 2048
+MIN_Z, MIN_MET, MIN_SHARE, MAX_FEATURES = 5.0, 3, 0.02, 512
 #: Lengths of word beginnings that are features beside the word itself.
 BEGINNINGS = (3, 4, 5, 6)
 MEMO = 400_000
@@ -169,13 +169,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not feats:
         return ToxicityModel(prior=prior)
     slot = {f: i for i, f in enumerate(feats)}
-    kept = F.map_filter("met", lambda k, _: F.array_contains(F.lit(feats), k))
-    rows = sample.select("kinds", F.map_entries(kept).alias("met"), "n_words").collect()
-    x = np.zeros((len(rows), len(feats) + 1))
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = []
+            for met in batch.column(1).to_pylist():
+                values.append([y for f, n in met if f in slot for y in (slot[f], n)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int32())), batch.column(2)], ["kinds", "met", "n_words"])
+
+    # at most the sample's rows, each with its hits among the features
+    rows = sample.mapInArrow(reduce, "kinds array<string>, met array<int>, n_words long").collect()
+    x = np.zeros((len(rows), len(feats) + 1), np.float32)
     for i, r in enumerate(rows):
         x[i, -1] = math.log1p(r["n_words"])
-        for e in r["met"]:
-            x[i, slot[e["key"]]] = math.log1p(e["value"])
+        x[i, r["met"][0::2]] = np.log1p(r["met"][1::2])
     kind = {k: np.array([k in r["kinds"] for r in rows]) for k in "pu01"}
     rng = np.random.default_rng(0)
     fits = []

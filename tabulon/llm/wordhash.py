@@ -35,27 +35,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def power(n: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """``table``'s base to the power of each n, for any n below 2**32."""
+    """``table``'s base to the power of each n (ascending), for any n below 2**32."""
+    if not len(n) or n[-1] <= _CHUNK:
+        return table[n]
     low, high = table[n % _CHUNK], n // _CHUNK
-    if not len(n) or high.max() == 0:
-        return low
-    steps = np.ones(int(high.max()) + 1, np.uint64)
+    steps = np.ones(int(high[-1]) + 1, np.uint64)
     steps[1:] = table[_CHUNK]
     return low * np.cumprod(steps)[high]
 
 
+def first_powers(n: int, table: np.ndarray) -> np.ndarray:
+    """Powers 0 to n - 1."""
+    return table[:n] if n <= len(table) else power(np.arange(n), table)
+
+
 def running(raw: np.ndarray) -> np.ndarray:
-    """Running sums of the byte hash: entry i covers the first i bytes."""
+    """Running sums of the hash of bytes, or of 64-bit words: entry i covers the first i."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLE[raw] * power(np.arange(len(raw)), _POWER), out=out[1:])
+    np.cumsum((_TABLE[raw] if raw.dtype == np.uint8 else raw) * first_powers(len(raw), _POWER), out=out[1:])
     return out
 
 
 def pieces(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges ``[start, end)`` of a text with running sums ``sums``."""
+    """Hashes of the ranges ``[start, end)`` (ascending) of a sequence with running sums ``sums``."""
     return mix((sums[ends] - sums[starts]) * power(starts, _INVERSE) + (ends - starts).astype(np.uint64))
 
 
+def all_pieces(sums: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every range of n, by start."""
+    count = max(0, len(sums) - n)
+    x = (sums[n:] - sums[:count]) * first_powers(count, _INVERSE)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word."""
     black = np.zeros(len(raw) + 2, bool)
