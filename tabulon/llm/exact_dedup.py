@@ -74,7 +74,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     repeats no other text, and rows that repeat id and text leave one row.
     """
     decided = index.add(docs, id_col, text_col)
-    kept = through_table(decided.filter("kept").select(F.col("doc_id").alias("_kept_id"), "text_sha256"), "kept_ids")
+    kept = through_table(decided.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")), "kept_ids")
     same_id = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id"))
     repeats = through_table(decided.groupBy("doc_id").count().filter("count > 1").select(
         F.col("doc_id").alias("_rep_id")), "repeated_ids")
@@ -83,6 +83,6 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     rep = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_rep_id"))
     sha = F.sha2(normalised(F.col(f"`{text_col}`")).cast("binary"), 256)
     alone = docs.join(repeats, rep, "left_anti").join(kept, same_id, "left_semi")
-    again = docs.join(repeats, rep, "left_semi").join(kept, same_id & (sha == F.col("text_sha256")), "left_semi")
+    again = docs.join(repeats, rep, "left_semi").join(kept, same_id & (sha == F.col("_kept_sha")), "left_semi")
     again = again.withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
     return alone.unionByName(again)
