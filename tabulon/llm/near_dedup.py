@@ -4,9 +4,11 @@ A document is the set of its word shingles.  Documents with equal sets are one n
 signatures; bands of them give buckets.  Candidates are compared by signature first and then on their full sets, and
 links join into components by large-star and small-star.
 
-A bucket's members are not all paired.  First each is compared with the bucket's least member.  Then only what is left
-open is compared: members outside the largest part that is already connected, against the members of other parts, in
-blocks.  Pairs inside one part need no comparison, as more links there would change nothing.
+A bucket's members are not all paired.  First each is compared with the bucket's least member.  Then, in rounds, only what
+is left open: members outside the bucket's largest connected part against the members of other parts, in blocks; a member
+asks for its most alike few of each other part, and in the last round for all that its signature leaves possible; those
+are compared where they are, and only links leave the block.  Pairs inside one part need no comparison, as more links there
+would change nothing.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from tabulon.llm.wordhash import mix, windows, word_hashes
 
 #: 40 bands of 5 minima: of pairs with similarity 0.8, one in 8 million shares no bucket.
 BANDS, ROWS = 40, 5
-#: A pair whose signatures agree in less than the threshold minus this is not compared in full (6 standard errors).
-SLACK = 0.17
-#: Members of a bucket that are compared in one block.
-BLOCK = 1024
+#: A pair whose signatures agree in less than the threshold minus this is not compared in full (5 standard errors).
+SLACK = 0.14
+#: Members of a bucket that are compared in one block, and how many of each part a member asks for in the first rounds.
+BLOCK, ASKS = 1024, (1,)
 _RNG = np.random.default_rng(86028157)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64)
@@ -109,6 +111,19 @@ def _similar(percent: int):
     return similar
 
 
+def _set_rows(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """``id, set``: the full shingle sets of some documents."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([shingles(x.as_py(), n).tobytes() for x in part.column(1)], pa.binary())], ["id", "set"])
+
+    return docs.select("id", "data").join(ids, "id", "left_semi").mapInArrow(sets, "id long, set binary")
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs ``u, v`` whose full sets are similar; signatures that differ too much are dropped first."""
     sig = signatures.select("id", "sig", "n")
@@ -119,49 +134,99 @@ def _confirm(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, n: int, p
         .filter(_agreement()(F.col("a.sig"), F.col("b.sig")) >= percent / 100 - SLACK).select("u", "v"), "close_pairs")
     ids = close.select(F.col("u").alias("id")).unionByName(close.select(F.col("v").alias("id"))).distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([shingles(x.as_py(), n).tobytes() for x in part.column(1)], pa.binary())], ["id", "set"])
-
-    full = docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, set binary")
+    full = _set_rows(docs, ids, n)
     return (close.join(full.select(F.col("id").alias("u"), F.col("set").alias("s")), "u")
             .join(full.select(F.col("id").alias("v"), F.col("set").alias("t")), "v")
             .filter(_similar(percent)(F.col("s"), F.col("t"))).select("u", "v"))
 
 
-def _open_pairs(members: DataFrame, parts: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of one bucket but of two parts; ``members`` has ``band, id`` of buckets of three or more."""
+def _open_blocks(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Blocks of the buckets that hold several parts: ``band, across, down, id, part, asks, asker``.
+
+    ``members`` has ``band, id`` of buckets of three or more.  Members outside a bucket's largest part ask; askers and
+    members are cut into blocks, and every block of askers meets every block of members.
+    """
     placed = members.join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
     sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("k", "part"))["part"].alias("main"), F.sum("k").alias("size"),
-                                     F.count(F.lit(1)).alias("parts"))
-    open_ = placed.join(main.filter("parts > 1"), "band")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = open_.select("band", "id", "part", own.alias("block"), F.lit(False).alias("asks"))
-    asks = open_.filter("part <> main").select("band", "id", "part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
-                                               F.lit(True).alias("asks"))
-    told = rows.unionByName(asks).join(signatures.select("id", "sig", "n"), "id")
-    least = percent / 100 - SLACK
+    main = sizes.groupBy("band").agg(F.max(F.struct("k", "part")).alias("main"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts"))
+    main = main.filter("parts > 1").select(
+        "band", F.col("main.part").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("downs"),
+        F.ceil((F.col("size") - F.col("main.k")) / BLOCK).cast("int").alias("acrosses"))
+    open_ = placed.join(main, "band").withColumn("asker", F.col("part") != F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = open_.select("band", every("acrosses").alias("across"), place("downs").alias("down"), "id", "part", F.lit(False).alias("asks"), "asker")
+    asks = open_.filter("asker").select("band", place("acrosses").alias("across"), every("downs").alias("down"), "id", "part",
+                                        F.lit(True).alias("asks"), "asker")
+    return rows.unionByName(asks)
+
+
+class _Block:
+    """One block of askers against one block of members."""
+
+    def __init__(self, pdf: pd.DataFrame, percent: int):
+        self.q, self.r, self.percent = pdf[pdf["asks"]], pdf[~pdf["asks"]], percent
+        self.sig = np.frombuffer(b"".join(self.r["sig"]), np.uint8).reshape(len(self.r), -1) if len(self.r) else None
+        self.ids, self.part, self.size, self.asker = (self.r[c].to_numpy() for c in ("id", "part", "n", "asker"))
+
+    def candidates(self, i: int, part: int, sig: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members of other parts whose sizes and signatures leave a link possible, and how far the signatures agree; of
+        two askers one is enough."""
+        fit = (self.part != part) & (100 * np.minimum(self.size, n) >= self.percent * np.maximum(self.size, n))
+        fit = np.flatnonzero(fit & (~self.asker | (self.ids > i)))
+        alike = (self.sig[fit] == np.frombuffer(sig, np.uint8)).mean(axis=1)
+        possible = alike >= self.percent / 100 - SLACK
+        return fit[possible], alike[possible]
+
+
+def _pairs(u: list, v: list) -> pd.DataFrame:
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (u, v))
+    return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)})
+
+
+def _open_pairs(blocks: DataFrame, signatures: DataFrame, percent: int, most: int) -> DataFrame:
+    """Candidate pairs of one bucket but of two parts: for each asker, block and part the ``most`` alike."""
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, r = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if not len(q) or not len(r):
-            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        sig = np.frombuffer(b"".join(r["sig"]), np.uint8).reshape(len(r), -1)
-        ids, part, size = r["id"].to_numpy(), r["part"].to_numpy(), r["n"].to_numpy()
-        u, v = [], []
-        for i, p, s, k in zip(q["id"], q["part"], q["sig"], q["n"], strict=True):
-            fit = np.flatnonzero((part != p) & (100 * np.minimum(size, k) >= percent * np.maximum(size, k)))
-            fit = fit[(sig[fit] == np.frombuffer(s, np.uint8)).mean(axis=1) >= least]
-            u.append(np.minimum(ids[fit], i))
-            v.append(np.maximum(ids[fit], i))
-        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
-
-    return told.groupBy("band", "block").applyInPandas(pair, "u long, v long").distinct()
+        block, u, v = _Block(pdf, percent), [], []
+        for i, p, s, n in zip(*(block.q[c] for c in ("id", "part", "sig", "n")), strict=True):
+            fit, alike = block.candidates(i, p, s, n) if len(block.r) else (np.zeros(0, int), np.zeros(0))
+            fit = fit[np.lexsort((-alike, block.part[fit]))]
+            new = np.flatnonzero(np.concatenate([[True], np.diff(block.part[fit]) != 0])) if len(fit) else fit
+            place = np.arange(len(fit)) - np.repeat(new, np.diff(np.append(new, len(fit))))
+            v.append(block.ids[fit[place < most]])
+            u.append(np.full(len(v[-1]), i))
+        return _pairs(u, v)
+
+    told = blocks.join(signatures.select("id", "sig", "n"), "id")
+    return told.groupBy("band", "across", "down").applyInPandas(pair, "u long, v long").distinct()
+
+
+def _open_links(blocks: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between parts of one bucket: every pair that its signatures leave possible is compared on the full sets inside
+    its block, and one link for each asker, block and part comes out."""
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        block, u, v = _Block(pdf, percent), [], []
+        if not len(block.r):
+            return _pairs(u, v)
+        held = [np.frombuffer(x, np.uint64) for x in block.r["set"]]
+        for i, p, s, n, own in zip(*(block.q[c] for c in ("id", "part", "sig", "n", "set")), strict=True):
+            fit, _ = block.candidates(i, p, s, n)
+            if not len(fit):
+                continue
+            mine = np.frombuffer(own, np.uint64)
+            theirs = np.concatenate([held[k] for k in fit])
+            met = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            both = np.add.reduceat(met.astype(np.int64), np.cumsum([0, *(len(held[k]) for k in fit[:-1])]))
+            fit = fit[100 * both >= percent * (n + block.size[fit] - both)]
+            _, first = np.unique(block.part[fit], return_index=True)
+            v.append(block.ids[fit[first]])
+            u.append(np.full(len(first), i))
+        return _pairs(u, v)
+
+    told = blocks.join(signatures.select("id", "sig", "n"), "id").join(sets, "id")
+    return told.groupBy("band", "across", "down").applyInPandas(link, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -182,15 +247,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = through_table(banded.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"),
                                                        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark")).filter("size > 1"), "buckets")
     members = through_table(banded.join(buckets.select("band", "least", "size"), "band"), "bucket_members")
-    pairs = members.filter("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
+    pairs = through_table(members.filter("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct(), "star_pairs")
     links = through_table(_confirm(texts, pairs, nodes, words, percent), "links")
     parts = through_table(components(links), "parts")
     # buckets with the same members say the same: one of them is enough
     once = buckets.filter("size > 2").groupBy("least", "size", "mark").agg(F.min("band").alias("band"))
     rest = members.select("band", "id").join(once.select("band"), "band", "left_semi")
-    more = through_table(_confirm(texts, _open_pairs(rest, parts, nodes, percent), nodes, words, percent), "links")
-    if not more.isEmpty():
-        parts = through_table(components(links.unionByName(more)), "parts")
+    tried = pairs
+    for most in (*ASKS, None):
+        blocks = through_table(_open_blocks(rest, parts), "open_blocks")
+        if blocks.isEmpty():
+            break
+        if most is None:
+            more = _open_links(blocks, nodes, _set_rows(texts, blocks.select("id").distinct(), words), percent)
+        else:
+            asked = through_table(_open_pairs(blocks, nodes, percent, most).join(tried, ["u", "v"], "left_anti"), "open_pairs")
+            tried = tried.unionByName(asked)
+            more = _confirm(texts, asked, nodes, words, percent)
+        more = through_table(more, "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = through_table(components(links), "parts")
     # a document's node, then the node's component; both sides hold ids and hashes only
     found = (signed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "high", "low")
              .join(node.select(F.col("n").alias("n_shingles"), "high", "low", "node"), ["n_shingles", "high", "low"], "left")
