@@ -149,13 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 met.append(list(found.items()))
                 n_words.append(sum(words.values()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(met, pa.map_(pa.int64(), pa.int32())), pa.array(n_words, pa.int64())],
-                ["kinds", "met", "n_words"])
+                [batch.column(0), pa.array(met, pa.map_(pa.int64(), pa.int32())), pa.array(n_words, pa.int64()), batch.column(2)],
+                ["kinds", "met", "n_words", "id"])
 
     sample = through_table(
         docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-        .join(F.broadcast(wanted), "id").select("kinds", "text")
-        .mapInArrow(features, "kinds array<string>, met map<bigint,int>, n_words long"), "toxicity_sample")
+        .join(F.broadcast(wanted), "id").select("kinds", "text", F.col("id").cast("long"))
+        .mapInArrow(features, "kinds array<string>, met map<bigint,int>, n_words long, id long"), "toxicity_sample")
     n_p, n_u = sample.agg(*(F.sum(F.array_contains("kinds", k).cast("int")) for k in "pu")).first()
     if not n_p or not n_u:
         return ToxicityModel()
@@ -174,11 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             values = []
             for met in batch.column(1).to_pylist():
-                values.append([y for f, n in met if f in slot for y in (slot[f], n)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int32())), batch.column(2)], ["kinds", "met", "n_words"])
+                values.append([y for f, n in sorted(met) if f in slot for y in (slot[f], n)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int32())), batch.column(2), batch.column(3)],
+                                             ["kinds", "met", "n_words", "id"])
 
     # at most the sample's rows, each with its hits among the features
-    rows = sample.mapInArrow(reduce, "kinds array<string>, met array<int>, n_words long").collect()
+    rows = sample.mapInArrow(reduce, "kinds array<string>, met array<int>, n_words long, id long").collect()
+    rows.sort(key=lambda r: (r["id"], r["n_words"], r["met"]))  # the fit doesn't depend on partitions
     x = np.zeros((len(rows), len(feats) + 1), np.float32)
     for i, r in enumerate(rows):
         x[i, -1] = math.log1p(r["n_words"])
