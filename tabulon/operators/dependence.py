@@ -310,7 +310,7 @@ def pattern_summary(strong: DataFrame, top: int = 5) -> DataFrame:
 
 
 # ---------------------------------------------------------------- #56
-def correlation_clusters(edges: DataFrame, src: str = "var1", dst: str = "var2", max_iter: int = 50) -> DataFrame:
+def correlation_clusters(edges: DataFrame, src: str = "var1", dst: str = "var2") -> DataFrame:
     """Connected components by iterative min-label propagation (re-aimed from a greedy grouping).
 
     Each round is one distributed join + aggregate; the loop stops when no
@@ -319,7 +319,8 @@ def correlation_clusters(edges: DataFrame, src: str = "var1", dst: str = "var2",
     und = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     und = und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = und.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for i in range(max_iter):
+    i = 0
+    while True:
         nb = und.join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b")
         cand = nb.groupBy("a").agg(F.min("lb").alias("m"))
         new = (labels.join(cand, labels.node == cand.a, "left")
@@ -327,7 +328,7 @@ def correlation_clusters(edges: DataFrame, src: str = "var1", dst: str = "var2",
         if i % 4 == 3:
             new = cut_lineage(new)
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).limit(1).count()
-        labels = new
+        labels, i = new, i + 1
         if changed == 0:
             break
     return labels.select(F.col("node").alias("variable"), F.col("label").alias("cluster"))

@@ -20,33 +20,53 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.plans.ordering import running_totals
-from tabulon.session import materialize_spread
+from tabulon.session import by_key, cut_lineage
 
 FEATURES = "features"
 
 
 # ---------------------------------------------------------------- #84
+def test_sizes(sizes: dict, test_fraction: float) -> dict:
+    """Rows of each class that go to test: ``ceil(test_fraction * n)`` in all, by largest remainder (ties by class size,
+    then in the order given)."""
+    n = sum(sizes.values())
+    total = math.ceil(test_fraction * n - 1e-9)
+    exact = {k: v * total / n for k, v in sizes.items()}
+    out = {k: int(x + 1e-9) for k, x in exact.items()}
+    for k in sorted(sizes, key=lambda k: (out[k] - exact[k], -sizes[k]))[:total - sum(out.values())]:
+        out[k] += 1
+    return out
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2,
                      seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Deterministic stratified split: per class, the ``ceil(test_fraction * n_class)`` rows with the
-    smallest ``xxhash64(key, seed)`` go to test.
+    """Deterministic stratified split by ``xxhash64(key, seed)``: of each class the rows of smallest hash go to test.
 
-    Ranks within a class come from the two-level running count, so even a
-    class holding most rows is ranked across many tasks.
+    No row moves.  Rows are counted by class and the hash's top 16 bits; only the rows of the one prefix per class that
+    holds the cut are ranked, and the split itself is a comparison with the class's cut hash.  Rows that share a key stay
+    on one side.  Few classes are expected: one row for each is collected.  Null is a class of its own.
     """
-    h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)).cast("double")).withColumn("_one", F.lit(1))
-    rt = running_totals(h, "_h", ["_one"], by=[label], tiebreak=[F.col(key).asc()])
-    rt = rt.withColumn("_test", F.col("_one_cum") <= F.ceil(F.col("_one_total") * test_fraction))
-    # both halves feed many fits: spread rows over at least the cluster's parallelism (small inputs
-    # are coalesced to one partition by AQE, which would serialise tree training) and materialise
-    # the assignment once in the shared checkpoint folder
-    rt = materialize_spread(rt)
-    cols = df.columns
-    return rt.where(~F.col("_test")).select(*cols), rt.where(F.col("_test")).select(*cols)
+    lab, h = F.col(f"`{label}`"), F.xxhash64(F.col(f"`{key}`"), F.lit(seed))
+    hashed = df.select(lab.alias("label"), h.alias("h"), F.shiftright(h, 48).alias("prefix"))
+    counts = hashed.groupBy("label", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    # at most 65,536 prefixes to a class
+    counts = cut_lineage(counts.withColumn("upto", F.sum("n").over(Window.partitionBy("label").orderBy("prefix"))))
+    sizes = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy("label").collect()}
+    wanted = test_sizes(sizes, test_fraction) if sizes else {}
+    of = lambda col, values: F.coalesce(*[F.when(col.eqNullSafe(F.lit(k)), F.lit(v)) for k, v in values.items()], F.lit(None))
+    cuts: dict = {}
+    if wanted:
+        held = counts.withColumn("want", of(F.col("label"), wanted)).where("upto >= want and upto - n < want and want > 0")
+        held = held.select(F.col("label").alias("_l"), F.col("prefix").alias("_p"), (F.col("want") - F.col("upto") + F.col("n")).alias("place"))
+        ranked = hashed.join(F.broadcast(held), F.col("label").eqNullSafe(F.col("_l")) & (F.col("prefix") == F.col("_p")))
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h")))
+        cuts = {r["label"]: r["h"] for r in ranked.where("rank = place").collect()}
+    test = F.coalesce(h <= of(lab, cuts).cast("long"), F.lit(False)) if cuts else F.lit(False)
+    return df.where(~test), df.where(test)
 
 
 def feature_frame(df: DataFrame, cols: Sequence[str], label: str | None, keep: Sequence[str] = ()) -> DataFrame:
@@ -144,18 +164,20 @@ def positive_probability(scored: DataFrame, out: str) -> DataFrame:
     return scored.withColumn(out, vector_to_array(F.col("probability"))[1])
 
 
+def _member_probabilities(models: dict, df: DataFrame) -> DataFrame:
+    """``df`` with one column ``p_<name>`` a member: scoring is row-local, so the members chain and nothing is joined."""
+    for name, m in models.items():
+        keep = [F.col(f"`{c}`") for c in df.columns]
+        df = m.transform(df).select(*keep, vector_to_array(F.col("probability"))[1].alias(f"p_{name}"))
+    return df
+
+
 def soft_vote(models: dict, df: DataFrame, key: str) -> DataFrame:
     """Mean positive-class probability of the member models; prediction = argmax (> 0.5)."""
-    base = df
-    probs = []
-    for name, m in models.items():
-        col = f"_p_{name}"
-        scored = positive_probability(m.transform(df), col).select(key, col)
-        base = base.join(scored, key)
-        probs.append(F.col(col))
+    probs = [F.col(f"p_{n}") for n in models]
     mean = sum(probs[1:], probs[0]) / len(probs)
-    return (base.withColumn("score", mean).withColumn("prediction", (F.col("score") > 0.5).cast("double"))
-            .drop(*[f"_p_{n}" for n in models]))
+    return (_member_probabilities(models, df).withColumn("score", mean)
+            .withColumn("prediction", (F.col("score") > 0.5).cast("double")).drop(*[f"p_{n}" for n in models]))
 
 
 def fold_column(df: DataFrame, label: str, key: str, folds: int, seed: int = 42) -> DataFrame:
@@ -172,37 +194,39 @@ def stacking(train: DataFrame, test: DataFrame, base_factories: dict, key: str,
     Returns (test scored with ``score``/``prediction``, refit base models, meta model).
     """
     tf = fold_column(train, "label", key, folds, seed)
-    # every fold fit reads this table: spread it and materialise it once in the shared folder
-    tf = materialize_spread(tf)
+    tf = by_key(tf, key)   # every fold fit reads this table
     oof = None
     for k in range(folds):
         fit_part, hold = tf.where(F.col("fold") != k), tf.where(F.col("fold") == k)
-        cols = hold.select(key, "label")
-        for name, make in base_factories.items():
-            m = make().fit(fit_part)
-            cols = cols.join(positive_probability(m.transform(hold), f"p_{name}").select(key, f"p_{name}"), key)
+        cols = _member_probabilities({n: make().fit(fit_part) for n, make in base_factories.items()}, hold)
+        cols = cols.select(key, "label", *[f"p_{n}" for n in base_factories])
         oof = cols if oof is None else oof.unionByName(cols)
     names = [f"p_{n}" for n in base_factories]
     meta_in = VectorAssembler(inputCols=names, outputCol="meta").transform(oof)
     meta = LogisticRegression(featuresCol="meta", labelCol="label", maxIter=1000).fit(meta_in)
     bases = {n: make().fit(train) for n, make in base_factories.items()}
-    scored = test.select(key, "label")
-    for n, m in bases.items():
-        scored = scored.join(positive_probability(m.transform(test), f"p_{n}").select(key, f"p_{n}"), key)
+    scored = _member_probabilities(bases, test).select(key, "label", *names)
     out = meta.transform(VectorAssembler(inputCols=names, outputCol="meta").transform(scored))
     out = positive_probability(out, "score")
     return out.select(key, "label", "score", "prediction"), bases, meta
 
 
 # ---------------------------------------------------------------- #92, #99
-# The random-forest search space (54 points).
-RF_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 5],
+# The random-forest search space (54 points); the least splits 2, 5 and 10 become least leaf sizes.
+RF_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 5],
            "featureSubsetStrategy": ["sqrt", "log2"]}
 
 
-def tune_random_forest(train: DataFrame, folds: int = 3, seed: int = 42, parallelism: int = 4,
-                       draws: int | None = None, space: dict | None = None):
-    """Grid search (default 54 points) or a seeded random draw of it, scored by k-fold CV accuracy."""
+def tune_random_forest(train: DataFrame, folds: int = 3, seed: int = 42, draws: int | None = None,
+                       space: dict | None = None, key: str | None = None, search_rows: int | None = None):
+    """Grid search (default 54 points) or a seeded random draw of it, scored by k-fold CV accuracy.
+
+    ``search_rows`` bounds the rows that the search runs on (those of smallest ``key`` hash); the best point is then
+    fitted to all of ``train``.  Returns (cross-validation model, best model on all rows).  Fits run one after another:
+    each is a distributed job.
+    """
+    rows = train if search_rows is None else train.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(search_rows)
+    rows = cut_lineage(rows)
     rf = RandomForestClassifier(featuresCol=FEATURES, labelCol="label", seed=seed)
     builder = ParamGridBuilder()
     for name, values in (space or RF_GRID).items():
@@ -213,18 +237,20 @@ def tune_random_forest(train: DataFrame, folds: int = 3, seed: int = 42, paralle
         grid = [grid[i] for i in sorted(rng.choice(len(grid), size=draws, replace=False))]
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid,
                         evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
-                        numFolds=folds, seed=seed, parallelism=parallelism)
-    return cv.fit(train)
+                        numFolds=folds, seed=seed, parallelism=1)
+    model = cv.fit(rows)
+    best = grid[max(range(len(grid)), key=lambda i: model.avgMetrics[i])]
+    return model, rf.fit(train, best)
 
 
-def cross_val_scores(estimator, data: DataFrame, folds: int = 3, seed: int = 42) -> DataFrame:
-    """Mean and sd of k-fold accuracy for one estimator (``CrossValidator`` with a single point)."""
+def cross_val_scores(estimator, data: DataFrame, folds: int = 3, seed: int = 42, key: str = "row_key") -> DataFrame:
+    """Accuracy of each fold (``fold`` 0 and up) with the mean and population sd over folds, which are stratified by label."""
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                        numFolds=folds, seed=seed, collectSubModels=False)
-    m = cv.fit(data)
-    return data.sparkSession.createDataFrame(
-        [(float(m.avgMetrics[0]), float(m.stdMetrics[0]) if m.stdMetrics else None)], "cv_mean double, cv_std double")
+    parts = by_key(fold_column(data, "label", key, folds, seed), key)
+    scores = [float(ev.evaluate(estimator.fit(parts.where(F.col("fold") != k)).transform(parts.where(F.col("fold") == k)))) for k in range(folds)]
+    mean, sd = float(np.mean(scores)), float(np.std(scores))
+    return data.sparkSession.createDataFrame([(k, x, mean, sd) for k, x in enumerate(scores)],
+                                             "fold long, accuracy double, cv_mean double, cv_std double")
 
 
 # ---------------------------------------------------------------- #98, #103, #4

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tabulon.plans.ordering import exact_quantiles
-from tabulon.session import cut_lineage, spread
+from tabulon.session import cut_lineage, shuffle_partitions
 
 _EULER = 0.5772156649015329
 
@@ -74,16 +74,20 @@ def _grow(pdf: pd.DataFrame, features: list[str], seed: int, max_depth: int) ->
 
 def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str | None = None, trees: int = 100,
                          psi: int = 256, seed: int = 42) -> tuple[list[pd.DataFrame], int]:
-    """Grow the forest; returns (per-tree node tables, effective sample size)."""
+    """Grow the forest; returns (per-tree node tables, effective sample size).
+
+    Rows are sampled by a hash of ``key`` (all columns where none is given), so the forest does not depend on partitions.
+    """
     features = list(features)
     base = df.select(*[F.col(c).cast("double").alias(c) for c in features],
-                     (F.col(key) if key else F.monotonically_increasing_id()).alias("_key"))
+                     (F.col(key) if key else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).alias("_key"))
     base = base.na.drop(subset=features)
     n = base.count()
     psi_eff = min(psi, n)
     frac = min(1.0, 2.0 * trees * psi_eff / max(n, 1))
-    pool = base.sample(withReplacement=False, fraction=frac, seed=seed) if frac < 1.0 else base
-    pool = spread(pool)   # the per-tree explode below multiplies rows by `trees`: run it on every core
+    chance = F.pmod(F.xxhash64("_key", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
+    # the per-tree explode below multiplies rows by `trees`: deal the pool by key first
+    pool = base.where(chance < frac).repartition(shuffle_partitions(df.sparkSession), "_key")
     # for each tree keep the psi rows with the smallest hash.  The explode of the bounded pool is
     # filtered by a hash threshold first (about 3 psi rows per tree survive), so only
     # trees * 3 psi rows are shuffled and sorted, never the whole exploded pool.
@@ -93,13 +97,13 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str | None
     per_tree = (pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
                 .withColumn("_h", h)
                 .where((F.abs(F.col("_h") % 1000003) / 1000003.0) < keep))
-    w = Window.partitionBy("tree").orderBy("_h")
+    w = Window.partitionBy("tree").orderBy("_h", *features)
     samples = per_tree.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi_eff)
     max_depth = int(math.ceil(math.log2(max(psi_eff, 2))))
     schema = ("tree long, node long, feature long, threshold double, left long, right long, size long, depth long, "
               "path double")
-    nodes = (samples.select("tree", *features)
-             .groupBy("tree").applyInPandas(lambda p: _grow(p, features, seed, max_depth), schema))
+    nodes = (samples.select("tree", "_rk", *features).groupBy("tree")
+             .applyInPandas(lambda p: _grow(p.sort_values("_rk").reset_index(drop=True), features, seed, max_depth), schema))
     pdf = nodes.toPandas()          # bounded: trees * (2 psi - 1) rows
     return [g.sort_values("node").reset_index(drop=True) for _, g in pdf.groupby("tree")], psi_eff
 
@@ -148,10 +152,6 @@ def isolation_scores(df: DataFrame, features: Sequence[str], forest: list[pd.Dat
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(_stack(forest))
     schema = StructType([*df.schema.fields, StructField(out_col, DoubleType())])
-    # Python scoring is the heavy step: make sure it runs on every core even when the input is a
-    # few large splits (at scale inputs already have far more partitions than cores)
-    df = spread(df)
-
     def score(batches):
         trees = bc.value
         for pdf in batches:

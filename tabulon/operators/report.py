@@ -163,14 +163,16 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: str | None = None, whis: f
 
 
 # ---------------------------------------------------------------- #115–#119
-def scatter_table(df: DataFrame, cols: Sequence[str], max_points: int | None = None, seed: int = 42) -> DataFrame:
-    """Columns for a scatter plot; above ``max_points`` a seeded Bernoulli sample (the sampling is the feature)."""
-    out = df.select(*[_q(c) for c in cols])
-    if max_points:
-        n = out.count()
-        if n > max_points:
-            out = out.sample(False, max_points / n, seed)
-    return out
+def scatter_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Columns for a scatter plot, every row."""
+    return df.select(*[_q(c) for c in cols])
+
+
+def scatter_grid(df: DataFrame, x: str, y: str, x_step: float, y_step: float, by: Sequence[str] = ()) -> DataFrame:
+    """Dense form of a scatter plot: rows counted by cell of a grid (lower edges ``x``, ``y``) and group, over all rows.
+    A null coordinate is a cell of its own."""
+    cell = lambda c, step: (F.floor(_q(c).cast("double") / step) * F.lit(float(step))).alias(c)
+    return df.groupBy(cell(x, x_step), cell(y, y_step), *[_q(c) for c in by]).agg(F.count(F.lit(1)).alias("count"))
 
 
 def heatmap_table(long: DataFrame, value: str = "r") -> DataFrame:

@@ -109,7 +109,7 @@ def _scores_frame(spark, method: str, scores: list[tuple[str, float]], selected:
 
 
 def forest_importance(df: DataFrame, cols: Sequence[str], target: str, trees: int = 100, seed: int = 42,
-                      extra: bool = False, quantile: float | None = None) -> DataFrame:
+                      extra: bool = False, quantile: float | None = None, depth: int = 10) -> DataFrame:
     """Random-forest impurity importance; keep features above the median (or the given quantile).
 
     ``extra=True`` is the re-aimed extra-trees variant: no bootstrap, all rows
@@ -118,7 +118,7 @@ def forest_importance(df: DataFrame, cols: Sequence[str], target: str, trees: in
     """
     import numpy as np
     data = assemble(df, cols, target)
-    rf = RandomForestClassifier(featuresCol=FEATURES, labelCol="label", numTrees=trees, seed=seed,
+    rf = RandomForestClassifier(featuresCol=FEATURES, labelCol="label", numTrees=trees, maxDepth=depth, seed=seed,
                                 bootstrap=not extra, featureSubsetStrategy="sqrt")
     model = rf.fit(data)
     scores = _importances(model, cols)
@@ -138,7 +138,7 @@ def lasso_selection(df: DataFrame, cols: Sequence[str], target: str, folds: int
     lr = LinearRegression(featuresCol=FEATURES, labelCol="label", elasticNetParam=1.0, standardization=True)
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="mse"),
-                        numFolds=folds, seed=seed, parallelism=4)
+                        numFolds=folds, seed=seed, parallelism=1)
     best = cv.fit(data).bestModel
     coefs = best.coefficients.toArray()
     scores = [(c, float(abs(coefs[i]))) for i, c in enumerate(cols)]
@@ -166,7 +166,7 @@ def recursive_elimination(df: DataFrame, cols: Sequence[str], target: str, min_f
         sliced = VectorAssembler(inputCols=active, outputCol="sub", handleInvalid="keep").transform(data)
         rf = RandomForestClassifier(featuresCol="sub", labelCol="label", numTrees=trees, seed=seed)
         cv = CrossValidator(estimator=rf, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                            numFolds=folds, seed=seed, parallelism=folds)
+                            numFolds=folds, seed=seed, parallelism=1)
         cvm = cv.fit(sliced)
         history.append((list(active), float(cvm.avgMetrics[0])))
         if len(active) <= min_features:
@@ -191,7 +191,7 @@ def vote(variance: DataFrame, statistical: DataFrame, model_based: DataFrame, rf
          cap: int = 25) -> DataFrame:
     """Features passing the variance filter with ≥ ``min_votes`` of (statistical, model-based, RFE).
 
-    If fewer than ``min_selected`` pass, the top RF features are added.  The
+    If fewer than ``min_selected`` pass, the top RF features of those are added.  The
     cap keeps the best by (votes, RF importance, name) — a deterministic order
     where the reference takes an arbitrary subset.
     """
@@ -204,8 +204,8 @@ def vote(variance: DataFrame, statistical: DataFrame, model_based: DataFrame, rf
     table = base.join(votes, "feature", "left").na.fill(0, ["votes"]).join(rf, "feature", "left")
     passed = table.where(F.col("votes") >= min_votes)
     if passed.count() < min_selected:
-        top = (rf.orderBy(F.col("rf_importance").desc(), "feature").limit(fallback_top)
-               .join(table.select("feature", "votes"), "feature", "left").na.fill(0, ["votes"]))
+        # only features that passed the variance filter can come back
+        top = table.orderBy(F.col("rf_importance").desc_nulls_last(), "feature").limit(fallback_top)
         passed = passed.unionByName(top.select(*passed.columns)).dropDuplicates(["feature"])
     return (passed.orderBy(F.col("votes").desc(), F.col("rf_importance").desc_nulls_last(), "feature")
             .limit(cap))
@@ -226,6 +226,12 @@ def project_selected(df: DataFrame, selected: Sequence[str], essential: Sequence
     return df.select(*[_q(c) for c in cols if c in df.columns])
 
 
+def passing(variance: DataFrame) -> list[str]:
+    """Names of the features that passed the variance filter (at most the number of candidates); all later selectors see
+    these alone."""
+    return [r["feature"] for r in variance.where("selected").orderBy("feature").collect()]
+
+
 def importance_lookup(scores: DataFrame, method: str) -> DataFrame:
     return scores.where(F.col("method") == method).orderBy(F.col("score").desc(), "feature")
 

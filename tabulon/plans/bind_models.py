@@ -18,7 +18,7 @@ from tabulon.operators import evaluate as V
 from tabulon.operators import models as M
 from tabulon.operators import select as SEL
 from tabulon.plans.registry import Query, register, table, union_all
-from tabulon.session import checkpoint_dir
+from tabulon.session import by_key, checkpoint_dir, cut_lineage
 
 BASE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 INTER = {"qty_discount": ("l_quantity", "l_discount"), "qty_tax": ("l_quantity", "l_tax"),
@@ -38,7 +38,7 @@ TASK_SQL = ("(SELECT " + ", ".join(BASE) + ", " + ", ".join(f"{a} * {b} AS {n}"
 
 
 def split_frames(s, d):
-    task = lineitem_task(s, d)
+    task = by_key(lineitem_task(s, d), "row_key")   # every fit of the query reads it
     train, test = M.stratified_split(task, "label", "row_key", 0.2, 42)
     return M.feature_frame(train, FEATS, "label", keep=["row_key"]), M.feature_frame(test, FEATS, "label", keep=["row_key"])
 
@@ -59,9 +59,12 @@ def _split_counts(s, d):
 
 
 register(Query("stratified_split_counts_lineitem", _split_counts,
-               f"""WITH c AS (SELECT label, count(*) n FROM {TASK_SQL} GROUP BY 1)
-                   SELECT label, 'test' AS split, CAST(ceil(n * 0.2) AS BIGINT) AS count FROM c
-                   UNION ALL SELECT label, 'train', n - CAST(ceil(n * 0.2) AS BIGINT) FROM c""",
+               f"""WITH c AS (SELECT label, count(*) n FROM {TASK_SQL} GROUP BY 1),
+                   t AS (SELECT label, n, n * ceil(sum(n) OVER () * 0.2) / sum(n) OVER () AS want, ceil(sum(n) OVER () * 0.2) AS total FROM c),
+                   f AS (SELECT *, row_number() OVER (ORDER BY want - floor(want) DESC, n DESC) AS rk,
+                                total - sum(floor(want)) OVER () AS spare FROM t),
+                   g AS (SELECT label, n, CAST(floor(want) AS BIGINT) + CAST(rk <= spare AS BIGINT) AS k FROM f)
+                   SELECT label, 'test' AS split, k AS count FROM g UNION ALL SELECT label, 'train', n - k FROM g""",
                dbl=("label",), ints=("count",), operators=(84,)))
 
 
@@ -116,10 +119,9 @@ register(Query("stacking_lineitem", _stacking, None, operators=(91, 93)))
 
 
 def _tuning(s, d):
+    """Thirty draws of the full 54-point space on at most 4,000 training rows, the best point on all of them."""
     train, test = split_frames(s, d)
-    space = {"numTrees": [20, 50], "maxDepth": [5, 10], "minInstancesPerNode": [1, 5]}
-    cvm = M.tune_random_forest(train, folds=3, draws=4, space=space)
-    best = cvm.bestModel
+    cvm, best = M.tune_random_forest(train, folds=3, draws=30, key="row_key", search_rows=4000)
     return _metrics(best, test, "tuned_random_forest").withColumn("cv_best", F.lit(float(max(cvm.avgMetrics))))
 
 
@@ -136,7 +138,7 @@ register(Query("cross_val_scores_lineitem", _cv, None, operators=(99,)))
 
 def _importance(s, d):
     train, _ = split_frames(s, d)
-    model = M.random_forest(trees=50).fit(train)
+    model = M.random_forest().fit(train)
     rows = M.feature_importance(model, FEATS)
     return s.createDataFrame(rows, "feature string, importance double")
 
@@ -151,7 +153,7 @@ def _predict_saved(s, d):
     task = lineitem_task(s, d)
     train, test = M.stratified_split(task, "label", "row_key", 0.2, 42)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATS, outputCol="features"),
-                            LogisticRegression(featuresCol="features", labelCol="label", maxIter=100)])
+                            LogisticRegression(featuresCol="features", labelCol="label", maxIter=1000)])
     model = pipe.fit(train)
     path = f"{checkpoint_dir(s).rstrip('/')}/models/{uuid.uuid4().hex}"
     M.save_model(model, path)
@@ -166,7 +168,7 @@ def _embeddings(s, d):
     e = table(s, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"),
                                          F.col("label").cast("double").alias("label"))
     train, test = M.stratified_split(e, "label", "vec_id", 0.2, 42)
-    model = LogisticRegression(featuresCol="features", labelCol="label", maxIter=100, family="multinomial").fit(train)
+    model = LogisticRegression(featuresCol="features", labelCol="label", maxIter=1000, family="multinomial").fit(train)
     scored = model.transform(test)
     return V.classification_metrics(scored).select(F.lit("embeddings_logistic").alias("model"), "*")
 
@@ -210,35 +212,78 @@ register(Query("f_score_selection_lineitem",
                _fscore_sql(), dbl=("score",), operators=(76,)))
 
 
-def _rf_sel(s, d):
+_KEPT: dict = {}
+
+
+def _filtered(s, d):
+    """Prepared table, the variance frame, and the candidates that pass it: what every other selector sees."""
     df, cands = _prepared(s, d)
-    return SEL.forest_importance(df, cands, "label", trees=100)
+    var = SEL.variance_threshold(df, cands)
+    return df, var, SEL.passing(var)
+
+
+def _forest(extra):
+    def run(s, d):
+        df, _, cands = _filtered(s, d)
+        frame = SEL.forest_importance(df, cands, "label", trees=100, extra=extra)
+        return SEL.importance_lookup(frame, "extra_trees" if extra else "random_forest")
+    return run
+
+
+def _lasso(s, d):
+    df, _, cands = _filtered(s, d)
+    return SEL.lasso_selection(df, cands, "label")
+
 
+def _rfe(s, d):
+    df, _, cands = _filtered(s, d)
+    return SEL.recursive_elimination(df, cands, "label", min_features=5, step=1, trees=50)
 
-register(Query("random_forest_importance_selection_lineitem", _rf_sel, None, dbl=("score",), operators=(77, 83)))
-register(Query("extra_trees_importance_selection_lineitem",
-               lambda s, d: SEL.forest_importance(*_prepared(s, d), "label", trees=100, extra=True), None,
-               dbl=("score",), operators=(78,)))
-register(Query("lasso_selection_lineitem", lambda s, d: SEL.lasso_selection(*_prepared(s, d), "label"), None,
-               dbl=("score",), operators=(79,)))
-register(Query("recursive_elimination_lineitem",
-               lambda s, d: SEL.recursive_elimination(*_prepared(s, d), "label", min_features=5, step=1, trees=50),
-               None, dbl=("score",), operators=(80,)))
+
+register(Query("random_forest_importance_selection_lineitem", _forest(False), None, dbl=("score",), operators=(77, 83)))
+register(Query("extra_trees_importance_selection_lineitem", _forest(True), None, dbl=("score",), operators=(78, 83)))
+register(Query("lasso_selection_lineitem", _lasso, None, dbl=("score",), operators=(79,)))
+register(Query("recursive_elimination_lineitem", _rfe, None, dbl=("score",), operators=(80,)))
+
+
+def _ballots(s, d):
+    """All selectors' frames, one row a feature each, computed once a session and folder: three queries read them."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in _KEPT:
+        df, var, cands = _filtered(s, d)
+        frames = {"variance": var, "statistical": SEL.f_score_selection(df, cands, "label"),
+                  "random_forest": SEL.forest_importance(df, cands, "label", trees=100),
+                  "extra_trees": SEL.forest_importance(df, cands, "label", trees=100, extra=True),
+                  "lasso": SEL.lasso_selection(df, cands, "label"),
+                  "rfe": SEL.recursive_elimination(df, cands, "label", min_features=5, trees=50)}
+        _KEPT[at] = {k: cut_lineage(v) for k, v in frames.items()}
+    return _KEPT[at]
 
 
 def _vote(s, d):
+    b = _ballots(s, d)
+    model_based = SEL.model_based_union(b["random_forest"], b["extra_trees"], b["lasso"])
+    return SEL.vote(b["variance"], b["statistical"], model_based, b["rfe"], b["random_forest"])
+
+
+register(Query("feature_vote_lineitem", _vote, None, dbl=("rf_importance",), operators=(81,)))
+
+
+def _vote_fixed(s, d):
+    """The vote on given ballots made from the table: a feature that fails the variance filter leads the forest's list."""
     df, cands = _prepared(s, d)
     var = SEL.variance_threshold(df, cands)
-    stat = SEL.f_score_selection(df, cands, "label")
-    rf = SEL.forest_importance(df, cands, "label", trees=100)
-    et = SEL.forest_importance(df, cands, "label", trees=100, extra=True)
-    la = SEL.lasso_selection(df, cands, "label")
-    model_based = SEL.model_based_union(rf, et, la)
-    rfe = SEL.recursive_elimination(df, cands, "label", min_features=5, trees=50)
-    return SEL.vote(var, stat, model_based, rfe, rf)
+    row = lambda m, picks: s.createDataFrame([(m, f, float(len(cands) - i), f in picks) for i, f in enumerate(reversed(FEATS))],
+                                             "method string, feature string, score double, selected boolean")
+    return SEL.vote(var, row("statistical", FEATS[:3]), row("model", FEATS[1:4]), row("rfe", [FEATS[0], FEATS[6]]), row("random_forest", FEATS))
 
 
-register(Query("feature_vote_lineitem", _vote, None, dbl=("rf_importance",), operators=(81,)))
+register(Query("feature_vote_given_ballots_lineitem", _vote_fixed,
+               "WITH var AS (" + union_all(f"SELECT '{c}' AS feature, var_pop(CAST({c} AS DOUBLE)) > 0.01 AS ok FROM {TASK_SQL}" for c in FEATS)
+               + "), given(feature, votes, rf_importance) AS (VALUES "
+               + ", ".join(f"('{c}', {(i < 3) + (1 <= i < 4) + (i in (0, 6))}, {float(i + 1)})" for i, c in enumerate(FEATS))
+               + ") SELECT g.feature, CAST(votes AS BIGINT) AS votes, CAST(rf_importance AS DOUBLE) AS rf_importance FROM given g JOIN var USING (feature) WHERE ok",
+               dbl=("rf_importance",), ints=("votes",), operators=(81,)))
 
 
 def _project(s, d):
@@ -251,15 +296,11 @@ register(Query("project_selected_lineitem", _project, None, operators=(82,)))
 
 
 def _report(s, d):
-    df, cands = _prepared(s, d)
-    var = SEL.variance_threshold(df, cands)
-    stat = SEL.f_score_selection(df, cands, "label")
-    rf = SEL.forest_importance(df, cands, "label", trees=100)
-    final = SEL.vote(var, stat, rf, stat, rf)
-    return SEL.selection_report({"variance": var, "statistical": stat, "random_forest": rf}, final, rf)
+    frames = _ballots(s, d)
+    return SEL.selection_report(frames, _vote(s, d), frames["random_forest"])
 
 
-register(Query("selection_report_lineitem", _report, None, dbl=("value",), operators=(7, 83)))
+register(Query("selection_report_lineitem", _report, None, dbl=("value",), operators=(7,)))
 
 
 def _stream_scoring(s, d):
@@ -271,7 +312,7 @@ def _stream_scoring(s, d):
     task = lineitem_task(s, d)
     train, test = M.stratified_split(task, "label", "row_key", 0.2, 42)
     model = Pipeline(stages=[VectorAssembler(inputCols=FEATS, outputCol="features"),
-                             LogisticRegression(featuresCol="features", labelCol="label", maxIter=100)]).fit(train)
+                             LogisticRegression(featuresCol="features", labelCol="label", maxIter=1000)]).fit(train)
     base = f"{checkpoint_dir(s).rstrip('/')}/landing/{uuid.uuid4().hex}"
     test.write.parquet(f"{base}/in")
     return drain(s, model, f"{base}/in", test.schema, f"{base}/out", ["row_key", "label"])

@@ -145,10 +145,11 @@ register(Query("scatter_table_part",
                "SELECT p_partkey, p_size, p_retailprice FROM part", dbl=("p_retailprice",), ints=("p_size",),
                operators=(115,)))
 
-register(Query("scatter_sample_lineitem",
-               lambda s, d: R.scatter_table(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_returnflag"],
-                                            max_points=5000),
-               None, operators=(115,)))
+register(Query("scatter_grid_lineitem",
+               lambda s, d: R.scatter_grid(table(s, d, "lineitem"), "l_quantity", "l_extendedprice", 5, 2000, ["l_returnflag"]),
+               """SELECT floor(CAST(l_quantity AS DOUBLE) / 5) * 5 AS l_quantity,
+                         floor(CAST(l_extendedprice AS DOUBLE) / 2000) * 2000 AS l_extendedprice, l_returnflag, count(*) AS count
+                  FROM lineitem GROUP BY ALL""", dbl=("l_quantity", "l_extendedprice"), ints=("count",), operators=(115,)))
 
 register(Query("heatmap_order_profile",
                lambda s, d: R.heatmap_table(S.pearson_matrix(order_profile(s, d), PROFILE)),

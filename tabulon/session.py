@@ -81,29 +81,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return int(os.environ.get("TABULON_PARTITIONS", "200"))
 
 
-def spread(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when it is small enough for that to be cheap.
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hash-partitioned by its key and materialised in the shared folder: the table that many model fits read.
 
-    Used before Python-heavy or iterative stages (forest scoring, model fits).  A scan of one
-    file with a single row group runs as one task however many byte-range splits it has; for
-    inputs under ``max_bytes`` (the optimizer's size estimate) one shuffle fixes that, and larger
-    inputs are left as they are (they arrive in many splits).
+    The layout follows from the key and ``spark.sql.shuffle.partitions`` alone, whatever the input's size, file splits or
+    number of cores, so seeded fits see the same partitions.
     """
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - statistics unavailable
-        return df
-    if size <= max_bytes:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
-
-
-def materialize_spread(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df``; if the result landed in fewer partitions than cores (AQE coalesces small
-    outputs), spread it round-robin and checkpoint that instead.  Used for tables that feed many
-    fits; the second write only happens when the table is small."""
-    out = cut_lineage(df)
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if out.rdd.getNumPartitions() < par:
-        out = cut_lineage(out.repartition(par))
-    return out
+    return cut_lineage(df.repartition(shuffle_partitions(df.sparkSession), *keys))

@@ -28,7 +28,36 @@ def test_split_sizes_add_up(f4):
     assert train.count() + test.count() == 100
     per = {r[0]: r[1] for r in f4.groupBy("GI_Aware_Binary").count().collect()}
     tper = {r[0]: r[1] for r in test.groupBy("GI_Aware_Binary").count().collect()}
-    assert all(tper[k] == int(np.ceil(0.2 * v)) for k, v in per.items())
+    assert tper == M.test_sizes(per, 0.2) and sum(tper.values()) == 20
+
+
+def test_split_takes_largest_remainders(spark):
+    assert M.test_sizes({0: 103, 1: 217}, 0.2) == {0: 21, 1: 43}
+    df = spark.createDataFrame([(i, int(i < 217)) for i in range(320)], "k long, y int")
+    for parts in (1, 7):
+        train, test = M.stratified_split(df.repartition(parts), "y", "k", 0.2, 42)
+        ids = sorted(r["k"] for r in test.collect())
+        assert sorted(r["count"] for r in test.groupBy("y").count().collect()) == [21, 43] and train.count() == 256
+        assert parts == 1 or ids == first
+        first = ids
+
+
+def test_isolation_flags_do_not_depend_on_partitions(spark):
+    from tabulon.operators.outliers import isolation_forest_flag
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (3000, 2)))], "k long, a double, b double")
+    flagged = [{r["k"] for r in isolation_forest_flag(df.repartition(n), ["a", "b"], trees=20, key="k").where("is_outlier").collect()}
+               for n in (2, 16)]
+    assert flagged[0] == flagged[1] and len(flagged[0]) == 150
+
+
+def test_vote_never_takes_back_what_the_variance_filter_rejects(spark):
+    from tabulon.operators import select as SEL
+    names = [f"f{i}" for i in range(12)]
+    row = lambda m, picks: spark.createDataFrame([(m, f, float(12 - i), f in picks) for i, f in enumerate(names)],
+                                                 "method string, feature string, score double, selected boolean")
+    got = SEL.vote(row("variance", names[2:8]), row("statistical", names[:4]), row("model", names[:4]), row("rfe", []), row("rf", []))
+    assert [r["feature"] for r in got.collect()] == ["f2", "f3", "f4", "f5", "f6", "f7"]
 
 
 def test_models_metrics_in_unit_interval(spark, f4, tmp_path):
