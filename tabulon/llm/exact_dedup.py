@@ -79,7 +79,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     repeats = through_table(decided.groupBy("doc_id").count().filter("count > 1").select(
         F.col("doc_id").alias("_rep_id")), "repeated_ids")
     if repeats.isEmpty():
-        return docs.join(kept, same_id, "left_semi")
+        return docs.join(kept.hint("merge"), same_id, "left_semi")
     rep = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_rep_id"))
     sha = F.sha2(normalised(F.col(f"`{text_col}`")).cast("binary"), 256)
     alone = docs.join(repeats, rep, "left_anti").join(kept, same_id, "left_semi")

@@ -124,5 +124,5 @@ def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", text_col: str = "
     taken = taken.groupBy("doc_id", "text_hash").agg(F.max("copies").cast("int").alias("_copies"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies")
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_hash"))
-    out = docs.join(taken, same).filter("_copies > 0")
+    out = docs.join(taken.hint("merge"), same).filter("_copies > 0")
     return out.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import text_bytes, through_table
 from tabulon.llm.components import components
+from tabulon.llm.repeats import for_shuffle, unpack
 from tabulon.llm.wordhash import mix, windows, word_hashes
 
 #: 40 bands of 5 minima: of pairs with similarity 0.8, one in 8 million shares no bucket.
@@ -112,31 +113,30 @@ def _similar(percent: int):
 
 
 def _set_rows(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """``id, set``: the full shingle sets of some documents."""
+    """``id, set``: the full shingle sets of some documents.  Texts are shuffled once, compressed."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([shingles(x.as_py(), n).tobytes() for x in part.column(1)], pa.binary())], ["id", "set"])
+                full = [shingles(unpack(x, k), n).tobytes() for k, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(full, pa.binary())], ["id", "set"])
 
-    return docs.select("id", "data").join(ids, "id", "left_semi").mapInArrow(sets, "id long, set binary")
+    texts = for_shuffle(docs.withColumn("th", F.lit(0))).select("id", "size", "packed")
+    return texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, set binary")
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, signatures: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs ``u, v`` whose full sets are similar; signatures that differ too much are dropped first."""
-    sig = signatures.select("id", "sig", "n")
+def _confirm(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``u, v`` whose full sets are similar; signatures that differ too much are dropped first.  The joins sort and
+    merge at every size."""
+    sig = signatures.select("id", "sig", "n").hint("merge")
     least, most = F.least(F.col("a.n"), F.col("b.n")), F.greatest(F.col("a.n"), F.col("b.n"))
     close = through_table(
         pairs.join(sig.alias("a"), F.col("u") == F.col("a.id")).join(sig.alias("b"), F.col("v") == F.col("b.id"))
         .filter(100 * least >= percent * most)
         .filter(_agreement()(F.col("a.sig"), F.col("b.sig")) >= percent / 100 - SLACK).select("u", "v"), "close_pairs")
-    ids = close.select(F.col("u").alias("id")).unionByName(close.select(F.col("v").alias("id"))).distinct()
-
-    full = _set_rows(docs, ids, n)
-    return (close.join(full.select(F.col("id").alias("u"), F.col("set").alias("s")), "u")
-            .join(full.select(F.col("id").alias("v"), F.col("set").alias("t")), "v")
+    return (close.join(sets.select(F.col("id").alias("u"), F.col("set").alias("s")).hint("merge"), "u")
+            .join(sets.select(F.col("id").alias("v"), F.col("set").alias("t")).hint("merge"), "v")
             .filter(_similar(percent)(F.col("s"), F.col("t"))).select("u", "v"))
 
 
@@ -198,7 +198,7 @@ def _open_pairs(blocks: DataFrame, signatures: DataFrame, percent: int, most: in
             u.append(np.full(len(v[-1]), i))
         return _pairs(u, v)
 
-    told = blocks.join(signatures.select("id", "sig", "n"), "id")
+    told = blocks.join(signatures.select("id", "sig", "n").hint("merge"), "id")
     return told.groupBy("band", "across", "down").applyInPandas(pair, "u long, v long").distinct()
 
 
@@ -225,7 +225,7 @@ def _open_links(blocks: DataFrame, signatures: DataFrame, sets: DataFrame, perce
             u.append(np.full(len(first), i))
         return _pairs(u, v)
 
-    told = blocks.join(signatures.select("id", "sig", "n"), "id").join(sets, "id")
+    told = blocks.join(signatures.select("id", "sig", "n").hint("merge"), "id").join(sets.hint("merge"), "id")
     return told.groupBy("band", "across", "down").applyInPandas(link, "u long, v long").distinct()
 
 
@@ -246,9 +246,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = nodes.select("id", F.explode("bands").alias("band"))
     buckets = through_table(banded.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"),
                                                        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark")).filter("size > 1"), "buckets")
-    members = through_table(banded.join(buckets.select("band", "least", "size"), "band"), "bucket_members")
+    members = through_table(banded.join(buckets.select("band", "least", "size").hint("merge"), "band"), "bucket_members")
     pairs = through_table(members.filter("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct(), "star_pairs")
-    links = through_table(_confirm(texts, pairs, nodes, words, percent), "links")
+    sets = through_table(_set_rows(texts, members.select("id").distinct(), words), "sets")
+    links = through_table(_confirm(pairs, nodes, sets, percent), "links")
     parts = through_table(components(links), "parts")
     # buckets with the same members say the same: one of them is enough
     once = buckets.filter("size > 2").groupBy("least", "size", "mark").agg(F.min("band").alias("band"))
@@ -259,11 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if blocks.isEmpty():
             break
         if most is None:
-            more = _open_links(blocks, nodes, _set_rows(texts, blocks.select("id").distinct(), words), percent)
+            more = _open_links(blocks, nodes, sets, percent)
         else:
             asked = through_table(_open_pairs(blocks, nodes, percent, most).join(tried, ["u", "v"], "left_anti"), "open_pairs")
             tried = tried.unionByName(asked)
-            more = _confirm(texts, asked, nodes, words, percent)
+            more = _confirm(asked, nodes, sets, percent)
         more = through_table(more, "links")
         if not more.isEmpty():
             links = links.unionByName(more)
