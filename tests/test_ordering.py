@@ -56,3 +56,17 @@ def test_grouped_quantiles(values):
     got = exact_quantiles(df, "v", [0.5], by=["g"], names=["med"]).toPandas().set_index("g")["med"]
     exp = pdf.groupby("g")["v"].median()
     assert np.allclose(got.sort_index().values, exp.sort_index().values)
+
+
+def test_quantiles_with_infinite_and_missing_values(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (None,), (float("nan"),)], "v double")
+    assert list(exact_quantiles(df, "v", [0.0, 0.5, 1.0]).first()) == [1.0, 2.0, float("inf")]
+    assert list(exact_quantiles(df.limit(0), "v", [0.5]).first()) == [None]
+
+
+def test_quantiles_of_many_rows_need_few_values(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=60_000), np.full(40_000, 0.25)])
+    df = spark.createDataFrame(pd.DataFrame({"v": x})).repartition(5)
+    got = list(exact_quantiles(df, "v", [0.001, 0.25, 0.5, 0.9, 0.9999]).first())
+    assert np.allclose(got, np.quantile(x, [0.001, 0.25, 0.5, 0.9, 0.9999]), atol=0, rtol=1e-12)
