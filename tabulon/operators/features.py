@@ -179,6 +179,7 @@ def quantile_bins(df: DataFrame, col: str, q_bins: int, out: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- #73
+# Name parts of columns that are never scaled.
 SCALE_EXCLUDE_CONTAINS = ("Binary", "Encoded")
 SCALE_EXCLUDE_SUFFIX = ("_Bin_5", "_Bin_10", "_Quartiles")
 
