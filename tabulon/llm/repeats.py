@@ -111,10 +111,16 @@ def anchors(texts: DataFrame, of: Callable[[bytes], tuple]) -> DataFrame:
     return texts.mapInArrow(rows, ANCHORS)
 
 
+def matched(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows joined with an aggregate over their keys.  The aggregate is written first, so that both sides of the join are
+    plain shuffles and Spark can split a hot key's rows over several tasks."""
+    keys, _ = write(keys, "keys")
+    return rows.hint("merge").join(keys, on)
+
+
 def repeated(found: DataFrame) -> DataFrame:
     """Regions whose gram occurs more than once."""
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    return found.join(often, "h")
+    return matched(found, found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), ["h"])
 
 
 def region_texts(texts: DataFrame, need: DataFrame, cut: Callable[[bytes, list[int], list[int]], list[bytes]]) -> DataFrame:

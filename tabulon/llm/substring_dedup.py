@@ -79,11 +79,11 @@ def remove_seen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found, found_at = repeats.write(repeats.anchors(named, _anchors(length)), "anchors")
     rep, rep_at = repeats.write(repeats.repeated(found), "repeated")
     repeats.remove(found, found_at)
-    classes = rep.groupBy("h", "c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes, _ = repeats.write(rep.groupBy("h", "c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     per_gram = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("least").alias("from"), F.max("least").alias("to"))
     # a gram whose regions all begin in one document has nothing earlier inside
-    classes = classes.join(per_gram, "h").withColumn("open", (F.col("k") > 1) & (F.col("from") < F.col("to")))
-    told, _ = repeats.write(rep.join(classes.filter("n > 1 or open"), ["h", "c"]).select(
+    classes = repeats.matched(classes, per_gram, ["h"]).withColumn("open", (F.col("k") > 1) & (F.col("from") < F.col("to")))
+    told, _ = repeats.write(repeats.matched(rep, classes.filter("n > 1 or open"), ["h", "c"]).select(
         "id", "th", "h", "lo", "hi", (F.col("id") > F.col("least")).alias("equal"),
         (F.col("open") & (F.col("id") == F.col("least"))).alias("open"), (F.col("k") > repeats.HOT).alias("hot")), "told")
     repeats.remove(rep, rep_at)

@@ -91,10 +91,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rep, rep_at = repeats.write(repeats.repeated(found), "repeated")
     repeats.remove(found, found_at)
     one = F.min(F.struct("id", "th", "lo")).alias("one")
-    classes = rep.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), one)
+    classes, _ = repeats.write(rep.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), one), "classes")
     per_gram = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("n") == 1).cast("int")).alias("alone"))
-    classes = classes.join(per_gram, "h").withColumn("open", (F.col("k") > 1) & (F.col("alone") > 0))
-    told = rep.join(classes.filter("n > 1 or open"), ["h", "c"])
+    classes = repeats.matched(classes, per_gram, ["h"]).withColumn("open", (F.col("k") > 1) & (F.col("alone") > 0))
+    told = repeats.matched(rep, classes.filter("n > 1 or open"), ["h", "c"])
     first = F.struct("id", "th", "lo") == F.col("one")
     told, told_at = repeats.write(told.select("id", "th", "h", "lo", "hi", (F.col("n") > 1).alias("equal"),
                                               (F.col("open") & first).alias("open"), (F.col("k") > repeats.HOT).alias("hot")), "told")
