@@ -53,6 +53,13 @@ def significant_findings(chi2_with_p: DataFrame) -> DataFrame:
     return chi2_with_p.where(F.col("significant")).select("var1", "var2", "chi2", "p_value", "cramers_v")
 
 
+def yes_rates(df: DataFrame, flags: Sequence[str], yes: str = "Yes") -> DataFrame:
+    """The other half of the key lines: count and percentage of ``yes`` answers per column, over all rows."""
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(_q(c) == yes).alias(f"y{i}") for i, c in enumerate(flags)])
+    recs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"y{i}").alias("yes")) for i, c in enumerate(flags)])
+    return one.select("_n", F.explode(recs).alias("r")).select("r.variable", "r.yes", (F.col("r.yes") / F.col("_n") * 100).alias("yes_pct"))
+
+
 # ---------------------------------------------------------------- #107–#111
 def row_normalized_crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
     """Long crosstab with the percentage of each cell within its row."""
@@ -143,7 +150,37 @@ def kde_curve(df: DataFrame, col: str, gridsize: int = 200, cut: float = 3.0) ->
         "grid_index", (F.lit(lo) + F.col("grid_index") * F.lit(step)).alias("x"), "density")
 
 
+def kde_by_group(df: DataFrame, col: str, by: str, gridsize: int = 200, cut: float = 3.0) -> DataFrame:
+    """``kde_curve`` for each group (violins): bandwidth and grid follow from the group's own values.  Groups with fewer
+    than two different values give no curve; NULL groups and values are left out."""
+    x = _q(col).cast("double")
+    rows = df.where(_q(by).isNotNull() & x.isNotNull() & ~F.isnan(x)).select(_q(by).alias(by), x.alias("v"))
+    m = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+    m = m.where("sd > 0").withColumn("bw", F.col("sd") * F.pow(F.col("n"), F.lit(-1.0 / 5.0)))
+    m = m.withColumn("lo", F.col("mn") - cut * F.col("bw"))
+    m = m.withColumn("step", (F.col("mx") + cut * F.col("bw") - F.col("lo")) / (gridsize - 1)).select(by, "n", "bw", "lo", "step")
+    pts = (rows.groupBy(by, "v").agg(F.count(F.lit(1)).alias("w")).join(m, by)
+           .select("*", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_index"))
+           .withColumn("x", F.col("lo") + F.col("grid_index") * F.col("step")))
+    z = (F.col("x") - F.col("v")) / F.col("bw")
+    return pts.groupBy(by, "grid_index", "x", "n", "bw").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("s")).select(
+        by, "grid_index", "x", (F.col("s") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density"))
+
+
 # ---------------------------------------------------------------- #114
+def box_fliers(df: DataFrame, cols: Sequence[str], by: str | None = None, whis: float = 1.5) -> DataFrame:
+    """Values beyond the whiskers' fences with their counts, per column (and group)."""
+    keep = [by] if by else []
+    recs = F.array(*[F.struct(F.lit(c).alias("variable"), _q(c).cast("double").alias("value")) for c in cols])
+    long = df.select(*[_q(k) for k in keep], F.explode(recs).alias("r")).select(*keep, "r.variable", "r.value")
+    keys = [*keep, "variable"]
+    counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("count"))
+    qs = exact_quantiles(long, "value", [0.25, 0.75], by=keys, names=["q1", "q3"])
+    iqr = F.col("q3") - F.col("q1")
+    out = counts.join(qs, keys).where((F.col("value") < F.col("q1") - whis * iqr) | (F.col("value") > F.col("q3") + whis * iqr))
+    return out.select(*keys, "value", "count")
+
+
 def box_stats(df: DataFrame, cols: Sequence[str], by: str | None = None, whis: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (furthest points inside the fences) and flier counts per column (and group)."""
     keep = [by] if by else []

@@ -43,6 +43,14 @@ register(Query("significant_findings_orders",
                    S.chi_square_tests(table(s, d, "lineitem"), [("l_returnflag", "l_linestatus")]))),
                None, dbl=("chi2", "p_value", "cramers_v"), operators=(106,)))
 
+register(Query("yes_rates_orders",
+               lambda s, d: R.yes_rates(table(s, d, "orders").select((F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("No")).alias("finished"),
+                                                                     (F.when(F.col("o_orderpriority") == "1-URGENT", "Yes").otherwise("No")).alias("urgent")),
+                                        ["finished", "urgent"]),
+               union_all(f"SELECT '{n}' AS variable, count(*) FILTER (WHERE {c}) AS yes, 100.0 * count(*) FILTER (WHERE {c}) / count(*) AS yes_pct FROM orders"
+                         for n, c in (("finished", "o_orderstatus = 'F'"), ("urgent", "o_orderpriority = '1-URGENT'"))),
+               dbl=("yes_pct",), ints=("yes",), operators=(106,)))
+
 register(Query("row_normalized_crosstab_orders",
                lambda s, d: R.row_normalized_crosstab(table(s, d, "orders"), "o_orderstatus", "o_orderpriority"),
                """SELECT o_orderstatus, o_orderpriority, count(*) AS count,
@@ -127,6 +135,28 @@ register(Query("kde_part_retailprice",
                lambda s, d: R.kde_curve(table(s, d, "part"), "p_retailprice"),
                kde_sql("part", "p_retailprice"), dbl=("x", "density"), ints=("grid_index",), operators=(113,)))
 
+register(Query("kde_customer_acctbal_by_segment",
+               lambda s, d: R.kde_by_group(table(s, d, "customer"), "c_acctbal", "c_mktsegment", gridsize=50),
+               """WITH v AS (SELECT c_mktsegment, CAST(c_acctbal AS DOUBLE) x, count(*) w FROM customer
+                             WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL GROUP BY 1, 2),
+                  m AS (SELECT c_mktsegment, count(*) n, stddev_samp(CAST(c_acctbal AS DOUBLE)) * pow(count(*), -1.0 / 5.0) bw,
+                               min(CAST(c_acctbal AS DOUBLE)) mn, max(CAST(c_acctbal AS DOUBLE)) mx FROM customer
+                        WHERE c_acctbal IS NOT NULL AND c_mktsegment IS NOT NULL GROUP BY 1),
+                  g AS (SELECT c_mktsegment, n, bw, i AS grid_index, mn - 3.0 * bw + i * ((mx + 3.0 * bw) - (mn - 3.0 * bw)) / 49 AS gx
+                        FROM m, range(0, 50) r(i) WHERE bw > 0)
+                  SELECT c_mktsegment, grid_index, gx AS x,
+                         sum(w * exp(-0.5 * ((gx - v.x) / bw) * ((gx - v.x) / bw))) / (n * bw * sqrt(2 * pi())) AS density
+                  FROM g JOIN v USING (c_mktsegment) GROUP BY c_mktsegment, grid_index, gx, n, bw""",
+               dbl=("x", "density"), ints=("grid_index",), operators=(113,)))
+
+register(Query("box_fliers_documents_by_lang",
+               lambda s, d: R.box_fliers(table(s, d, "documents"), ["n_chars"], by="lang"),
+               """WITH v AS (SELECT lang, CAST(n_chars AS DOUBLE) x FROM documents WHERE n_chars IS NOT NULL),
+                  q AS (SELECT lang, quantile_cont(x, 0.25) q1, quantile_cont(x, 0.75) q3 FROM v GROUP BY 1)
+                  SELECT lang, 'n_chars' AS variable, x AS value, count(*) AS count FROM v JOIN q USING (lang)
+                  WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1) GROUP BY lang, x""",
+               dbl=("value",), ints=("count",), operators=(114,)))
+
 register(Query("box_stats_lineitem_by_returnflag",
                lambda s, d: R.box_stats(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"], by="l_returnflag"),
                union_all(f"""

@@ -132,9 +132,11 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     wide = [x for p in probs for x in (max(0.0, p - near), min(1.0, p + near))]
     sketch = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", wide, _ACCURACY).alias("_b"),
                                     F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    # a rank near an end is bracketed by the end itself; the join is small to large, by group
-    low = [F.col("_min") if p <= near else F.col("_b")[2 * i] for i, p in enumerate(probs)]
-    high = [F.col("_max") if p >= 1 - near else F.col("_b")[2 * i + 1] for i, p in enumerate(probs)]
+    # a rank near an end is bracketed by the end itself, and so is every rank of a group so small that the bracket's
+    # width in ranks would not cover the sketch's error and the interpolation's neighbour
+    few = F.col("_n") < _ACCURACY
+    low = [F.when(few | F.lit(p <= near), F.col("_min")).otherwise(F.col("_b")[2 * i]) for i, p in enumerate(probs)]
+    high = [F.when(few | F.lit(p >= 1 - near), F.col("_max")).otherwise(F.col("_b")[2 * i + 1]) for i, p in enumerate(probs)]
     recs = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.when(F.col("_v") >= low[i], F.col("_v")).alias("x"),
                                        (F.col("_v") <= high[i]).alias("near")) for i in range(len(probs))]), lambda r: r["near"])
     seen = src.join(sketch, keys).select(*keys, "_n", F.explode(recs).alias("r")).groupBy(*keys, "_n", "r.i", "r.x").agg(F.count(F.lit(1)).alias("_w"))

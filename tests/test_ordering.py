@@ -70,3 +70,11 @@ def test_quantiles_of_many_rows_need_few_values(spark):
     df = spark.createDataFrame(pd.DataFrame({"v": x})).repartition(5)
     got = list(exact_quantiles(df, "v", [0.001, 0.25, 0.5, 0.9, 0.9999]).first())
     assert np.allclose(got, np.quantile(x, [0.001, 0.25, 0.5, 0.9, 0.9999]), atol=0, rtol=1e-12)
+
+
+def test_quantiles_of_small_groups(spark):
+    rows = [(n, float(i * i % 17)) for n in range(1, 40) for i in range(n)]
+    got = exact_quantiles(spark.createDataFrame(rows, "g int, v double"), "v", [0.25, 0.5, 0.9], by=["g"]).collect()
+    for r in got:
+        assert np.allclose(list(r)[1:], np.quantile([v for g, v in rows if g == r["g"]], [0.25, 0.5, 0.9]))
+    assert len(got) == 39
