@@ -82,21 +82,37 @@ class ToxicityModel:
         return score(text)
 
 
+class Rows:
+    """Feature rows held by their non-zero entries: few words of a text are features."""
+
+    def __init__(self, x: np.ndarray):
+        self.shape = x.shape
+        self.row, self.col = np.nonzero(x)
+        self.value = x[self.row, self.col].astype(float)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * g[self.row], self.shape[1])
+
+
 def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with logistic loss, by Adam on all rows."""
+    p, u = Rows(pos), Rows(unl)
     w, b = np.zeros(pos.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        zp, zu = pos @ w + b, unl @ w + b
+        zp, zu = p.dot(w) + b, u.dot(w) + b
         # gradients of the mean logistic losses by the margin
         gp, gn, gu = (sigma(zp) - 1) / len(zp), sigma(zp) / len(zp), sigma(zu) / len(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         if negative >= 0:
-            grad = np.append(pos.T @ (prior * gp - prior * gn) + unl.T @ gu, (prior * gp - prior * gn).sum() + gu.sum())
+            by_pos, by_unl = prior * (gp - gn), gu
         else:
-            grad = np.append(pos.T @ (prior * gn) - unl.T @ gu, (prior * gn).sum() - gu.sum())
-        grad[:-1] += decay * w
+            by_pos, by_unl = prior * gn, -gu
+        grad = np.append(p.back(by_pos) + u.back(by_unl) + decay * w, by_pos.sum() + by_unl.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
