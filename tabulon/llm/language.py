@@ -14,6 +14,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,13 +65,15 @@ class LanguageModel:
     logp: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
     scripts: dict[str, list[bool]] = field(default_factory=dict)
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """Log score by language, -inf outside the script's candidates, over all n-grams of a word; a script of
-        no language makes every language a non-candidate."""
-        unseen = len(self.logp) - 1
-        s = self.logp[[self.rows.get(g, unseen) for g in grams(word)]].sum(axis=0) / ORDER
-        ok = self.scripts.get(script(word[0]))
-        return np.where(ok, s, -np.inf) if ok is not None else np.full(len(self.langs), -np.inf)
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log scores (words by languages) over all n-grams of each word, -inf outside the candidates of its script; a script
+        of no language makes every language a non-candidate."""
+        get, unseen = self.rows.get, len(self.logp) - 1
+        found = [[get(g, unseen) for g in grams(w)] for w in words]
+        starts = np.cumsum([0, *(len(f) for f in found[:-1])])
+        s = np.add.reduceat(self.logp[np.fromiter(chain.from_iterable(found), np.int64)], starts, axis=0) / ORDER
+        none = [False] * len(self.langs)
+        return np.where(np.array([self.scripts.get(script(w[0]), none) for w in words]), s, -np.inf)
 
 
 class WordTable(dict):
@@ -82,20 +85,24 @@ class WordTable(dict):
         self.scores = np.zeros((limit, len(model.langs)))
         self.post = np.zeros((limit, len(model.langs)))
 
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        if at >= len(self.scores):  # one very long text may outgrow the memo; it is cleared between texts
-            self.scores, self.post = (np.concatenate([a, np.zeros_like(a)]) for a in (self.scores, self.post))
-        s = self.model.word_scores(word)
-        top = s.max(initial=-np.inf)
-        if np.isfinite(top):
-            e = np.exp(s - top)
-            self.post[at] = e / e.sum()
-            s = np.maximum(s, top - 50.0)  # a non-candidate costs 50 nats more than the best
-        else:
-            s = np.full(len(s), np.nan)
-        self.scores[at] = s
-        return at
+    def fill(self, words: list[str]) -> None:
+        """Enter the words of a text that are not held yet."""
+        new = [w for w in set(words) if w not in self]
+        if not new:
+            return
+        size = len(self) + len(new)
+        if size > len(self.scores):  # a very long text may outgrow the memo; it is cleared between texts
+            more = np.zeros((size, self.scores.shape[1]))
+            self.scores, self.post = (np.concatenate([a, more]) for a in (self.scores, self.post))
+        s = self.model.word_scores(new)
+        top = s.max(axis=1, keepdims=True)
+        none = ~np.isfinite(top[:, 0])
+        e = np.exp(s - np.where(np.isfinite(top), top, 0.0))
+        at = slice(len(self), size)
+        self.post[at] = e / np.maximum(e.sum(axis=1, keepdims=True), 1e-300)
+        self.scores[at] = np.maximum(s, top - 50.0)  # a non-candidate costs 50 nats more than the best
+        self.scores[at][none] = np.nan
+        self.update(zip(new, range(at.start, size), strict=True))
 
     def trim(self) -> None:
         if len(self) >= self.limit:
@@ -103,26 +110,33 @@ class WordTable(dict):
             self.scores, self.post = self.scores[:self.limit], self.post[:self.limit]
 
 
+def _constant(s: np.ndarray, best: int, switch: float) -> bool:
+    """Whether no path beats staying with ``best``: leaving it inside the text costs two changes at least, at an end one,
+    and gains at most what the best other language gains word by word over a run of words."""
+    other = np.delete(s, best, axis=1)
+    if not other.shape[1]:
+        return True
+    gain = np.concatenate([[0.0], np.cumsum(other.max(axis=1) - s[:, best])])
+    least = np.minimum.accumulate(gain)
+    return gain.max() <= switch and gain[-1] - least[-1] <= switch and (gain - least).max() <= 2 * switch
+
+
 def viterbi(s: np.ndarray, switch: float) -> np.ndarray:
     """Best language of each row of ``s`` (words by languages) under a penalty for each change."""
-    total = s.sum(axis=0)
-    best = int(np.argmax(total))
-    gain = np.cumsum(s - s[:, best:best + 1], axis=0)
-    floor = np.minimum.accumulate(np.concatenate([np.zeros((1, s.shape[1])), gain[:-1]]), axis=0)
-    if (gain - floor).max(initial=0.0) <= switch:
+    best = int(np.argmax(s.sum(axis=0)))
+    if _constant(s, best, switch):
         return np.full(len(s), best)
-    value, back = s[0].copy(), np.zeros(s.shape, np.int64)
-    own = np.arange(s.shape[1])
-    for t in range(1, len(s)):
-        top = int(np.argmax(value))
-        stay = value >= value[top] - switch
-        back[t] = np.where(stay, own, top)
-        value = np.where(stay, value, value[top] - switch) + s[t]
-    path = np.zeros(len(s), np.int64)
-    path[-1] = int(np.argmax(value))
-    for t in range(len(s) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    rows = s.tolist()
+    value, back, own = rows[0], [], range(s.shape[1])
+    for row in rows[1:]:
+        high = max(value)
+        top, least = value.index(high), high - switch
+        back.append([k if value[k] >= least else top for k in own])
+        value = [(v if v >= least else least) + r for v, r in zip(value, row, strict=True)]
+    path = [value.index(max(value))]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return np.array(path[::-1])
 
 
 def label(words: list[str], table: WordTable, switch: float = SWITCH) -> tuple[str, float, list[tuple[str, int, int]]]:
@@ -130,6 +144,7 @@ def label(words: list[str], table: WordTable, switch: float = SWITCH) -> tuple[s
     if not words or not table.model.langs:
         return UNKNOWN, 0.0, []
     table.trim()
+    table.fill(words)
     idx = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
     s = table.scores[idx]
     known = np.flatnonzero(~np.isnan(s[:, 0]))
