@@ -218,15 +218,14 @@ RF_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15], "minInstancesPer
 
 
 def tune_random_forest(train: DataFrame, folds: int = 3, seed: int = 42, draws: int | None = None,
-                       space: dict | None = None, key: str | None = None, search_rows: int | None = None):
+                       space: dict | None = None, key: str = "row_key"):
     """Grid search (default 54 points) or a seeded random draw of it, scored by k-fold CV accuracy.
 
-    ``search_rows`` bounds the rows that the search runs on (those of smallest ``key`` hash); the best point is then
-    fitted to all of ``train``.  Returns (cross-validation model, best model on all rows).  Fits run one after another:
-    each is a distributed job.
+    Every point is fitted and scored on all rows of ``train``; the folds are stratified by label and held in one
+    materialised table that all fits read.  Returns (cross-validation model, best model on all rows).  Fits run one after
+    another: each is a distributed job.
     """
-    rows = train if search_rows is None else train.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(search_rows)
-    rows = cut_lineage(rows)
+    rows = by_key(fold_column(train, "label", key, folds, seed), key)
     rf = RandomForestClassifier(featuresCol=FEATURES, labelCol="label", seed=seed)
     builder = ParamGridBuilder()
     for name, values in (space or RF_GRID).items():
@@ -237,10 +236,9 @@ def tune_random_forest(train: DataFrame, folds: int = 3, seed: int = 42, draws:
         grid = [grid[i] for i in sorted(rng.choice(len(grid), size=draws, replace=False))]
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid,
                         evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
-                        numFolds=folds, seed=seed, parallelism=1)
+                        numFolds=folds, seed=seed, parallelism=1, foldCol="fold")
     model = cv.fit(rows)
-    best = grid[max(range(len(grid)), key=lambda i: model.avgMetrics[i])]
-    return model, rf.fit(train, best)
+    return model, model.bestModel
 
 
 def cross_val_scores(estimator, data: DataFrame, folds: int = 3, seed: int = 42, key: str = "row_key") -> DataFrame:

@@ -119,3 +119,31 @@ def test_report_tables(survey):
     assert sum(r["count"] for r in hist) == 320
     counts, _ = np.histogram(np.array([r["Age"] for r in survey.select("Age").collect()], dtype=float), bins="auto")
     assert [r["count"] for r in hist] == counts.tolist()
+
+
+def test_tuning_searches_and_scores_all_training_rows(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+    from tabulon.plans import bind_models as B
+    from tests.conftest import SF001
+    seen = {}
+
+    class Recording(M.CrossValidator):
+        def fit(self, dataset, params=None):
+            seen["rows"], seen["model"] = dataset, super().fit(dataset, params)
+            return seen["model"]
+
+    monkeypatch.setattr(M, "CrossValidator", Recording)
+    monkeypatch.setattr(M, "RF_GRID", {"numTrees": [3], "maxDepth": [2, 4]})
+    got = B._tuning(spark, SF001).first()
+    train, _ = B.split_frames(spark, SF001)
+    rows = seen["rows"]
+    assert train.count() == rows.count() > 4000
+    sizes = sorted(r["count"] for r in rows.groupBy("label", "fold").count().where("label = 1").collect())
+    assert len(sizes) == 3 and sizes[-1] - sizes[0] <= 1   # folds are stratified
+    by_hand = []
+    for depth in (2, 4):
+        rf = RandomForestClassifier(numTrees=3, maxDepth=depth, seed=42)
+        hits = [rf.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k))
+                .select(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] for k in range(3)]
+        by_hand.append(float(np.mean(hits)))
+    assert got["cv_best"] == pytest.approx(max(by_hand))
