@@ -28,8 +28,9 @@ from tabulon.llm.wordhash import mix, windows, word_hashes
 
 #: 40 bands of 5 minima: of pairs with similarity 0.8, one in 8 million shares no bucket.
 BANDS, ROWS = 40, 5
-#: A pair whose signatures agree in less than the threshold minus this is not compared in full (5 standard errors).
-SLACK = 0.14
+#: A pair whose signatures agree in less than the threshold minus this is not compared in full (6 standard errors): by the
+#: exact binomial tail 6.9e-9 of pairs with similarity 0.8, a tenth and less of what the bands lose.
+SLACK = 0.17
 #: Members of a bucket that are compared in one block, and how many of each part a member asks for in the first rounds.
 BLOCK, ASKS = 1024, (1,)
 _RNG = np.random.default_rng(86028157)

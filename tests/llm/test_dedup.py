@@ -115,6 +115,16 @@ def test_near_duplicates_chains_and_large_buckets(spark, monkeypatch):
     assert {tuple(r) for r in near_dedup.near_duplicates(df, words=4).collect()} == brute_components(rows, 4, 80)
 
 
+def test_signature_cut_loses_less_than_the_bands():
+    from fractions import Fraction
+    from math import comb
+    n, s = near_dedup.BANDS * near_dedup.ROWS, Fraction(4, 5)
+    agree = s + (1 - s) / 256   # a signature byte may agree by chance
+    met = [k for k in range(n + 1) if k / n >= 80 / 100 - near_dedup.SLACK][0]
+    lost = sum(comb(n, k) * agree**k * (1 - agree) ** (n - k) for k in range(met))
+    assert lost < (1 - s**near_dedup.ROWS) ** near_dedup.BANDS / 10
+
+
 def test_near_duplicates_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
