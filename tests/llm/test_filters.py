@@ -50,6 +50,19 @@ def test_toxicity_held_out_accuracy(toxic):
     assert again.features == model.features and np.allclose(again.weights, model.weights, atol=1e-4)
 
 
+def test_toxicity_keeps_the_signs_of_a_wide_vocabulary(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9))
+    clean, bad = [word() for _ in range(300)], [word() for _ in range(300)]
+    rows = []
+    for i in range(4000):
+        words = [*rng.choice(clean, 20), *(rng.choice(bad, 20, replace=False) if i < 400 else [])]
+        rows.append((i, " ".join(words), int(i < 400)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert {zlib.crc32(f"={w}".encode()) for w in bad} <= set(model.features)
+
+
 def test_non_negative_risk_ranks_positives(toxic):
     rng = np.random.default_rng(0)
     pos, unl = rng.normal(1.5, 1, (300, 2)), np.concatenate([rng.normal(1.5, 1, (60, 2)), rng.normal(-1.5, 1, (540, 2))])
