@@ -212,9 +212,6 @@ register(Query("f_score_selection_lineitem",
                _fscore_sql(), dbl=("score",), operators=(76,)))
 
 
-_KEPT: dict = {}
-
-
 def _filtered(s, d):
     """Prepared table, the variance frame, and the candidates that pass it: what every other selector sees."""
     df, cands = _prepared(s, d)
@@ -247,23 +244,24 @@ register(Query("recursive_elimination_lineitem", _rfe, None, dbl=("score",), ope
 
 
 def _ballots(s, d):
-    """All selectors' frames, one row a feature each, computed once a session and folder: three queries read them."""
-    at = (s.sparkContext.applicationId, d)
-    if at not in _KEPT:
-        df, var, cands = _filtered(s, d)
-        frames = {"variance": var, "statistical": SEL.f_score_selection(df, cands, "label"),
-                  "random_forest": SEL.forest_importance(df, cands, "label", trees=100),
-                  "extra_trees": SEL.forest_importance(df, cands, "label", trees=100, extra=True),
-                  "lasso": SEL.lasso_selection(df, cands, "label"),
-                  "rfe": SEL.recursive_elimination(df, cands, "label", min_features=5, trees=50)}
-        _KEPT[at] = {k: cut_lineage(v) for k, v in frames.items()}
-    return _KEPT[at]
+    """All selectors' frames, one row a feature each, computed from the tables in every call and cut once: the vote and
+    the report read them several times."""
+    df, var, cands = _filtered(s, d)
+    frames = {"variance": var, "statistical": SEL.f_score_selection(df, cands, "label"),
+              "random_forest": SEL.forest_importance(df, cands, "label", trees=100),
+              "extra_trees": SEL.forest_importance(df, cands, "label", trees=100, extra=True),
+              "lasso": SEL.lasso_selection(df, cands, "label"),
+              "rfe": SEL.recursive_elimination(df, cands, "label", min_features=5, trees=50)}
+    return {k: cut_lineage(v) for k, v in frames.items()}
+
+
+def _elected(b):
+    model_based = SEL.model_based_union(b["random_forest"], b["extra_trees"], b["lasso"])
+    return SEL.vote(b["variance"], b["statistical"], model_based, b["rfe"], b["random_forest"])
 
 
 def _vote(s, d):
-    b = _ballots(s, d)
-    model_based = SEL.model_based_union(b["random_forest"], b["extra_trees"], b["lasso"])
-    return SEL.vote(b["variance"], b["statistical"], model_based, b["rfe"], b["random_forest"])
+    return _elected(_ballots(s, d))
 
 
 register(Query("feature_vote_lineitem", _vote, None, dbl=("rf_importance",), operators=(81,)))
@@ -297,7 +295,7 @@ register(Query("project_selected_lineitem", _project, None, operators=(82,)))
 
 def _report(s, d):
     frames = _ballots(s, d)
-    return SEL.selection_report(frames, _vote(s, d), frames["random_forest"])
+    return SEL.selection_report(frames, _elected(frames), frames["random_forest"])
 
 
 register(Query("selection_report_lineitem", _report, None, dbl=("value",), operators=(7,)))

@@ -147,3 +147,28 @@ def test_tuning_searches_and_scores_all_training_rows(spark, monkeypatch):
                 .select(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] for k in range(3)]
         by_hand.append(float(np.mean(hits)))
     assert got["cv_best"] == pytest.approx(max(by_hand))
+
+
+def test_ballots_follow_rewritten_tables(spark, tmp_path, monkeypatch):
+    from tabulon.operators import select as SEL
+    from tabulon.plans import bind_models as B
+    small, fits = lambda f, **fixed: lambda *a, **k: f(*a, **k | fixed), []
+    monkeypatch.setattr(SEL, "forest_importance", small(SEL.forest_importance, trees=2, depth=2))
+    monkeypatch.setattr(SEL, "lasso_selection", small(SEL.lasso_selection, folds=2, reg_params=(1e-3,)))
+    fixed = lambda df, cols, *a, **k: (fits.append(1), spark.createDataFrame(
+        [("rfe", c, 1.0, True) for c in cols], "method string, feature string, score double, selected boolean"))[1]
+    monkeypatch.setattr(SEL, "recursive_elimination", fixed)
+    rng, at = np.random.default_rng(1), str(tmp_path)
+
+    def land(scale):
+        rows = [(i, 1, float(q), float(q * 10), float(x), 0.1, "R" if q > 25 else "N")
+                for i, (q, x) in enumerate(zip(rng.integers(1, 50, 300), rng.normal(0, scale, 300)))]
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                    "l_discount double, l_tax double, l_returnflag string") \
+            .write.mode("overwrite").parquet(f"{at}/lineitem.parquet")
+
+    passing = lambda: {r["feature"] for r in B._ballots(spark, at)["variance"].where("selected").collect()}
+    land(0.001)
+    first = passing()
+    land(1.0)
+    assert "l_discount" in passing() - first and len(fits) == 2
