@@ -94,9 +94,9 @@ def logistic_regression(n_rows: int, max_iter: int = 1000, c: float = 1.0) -> Lo
                               regParam=1.0 / (c * max(n_rows, 1)), elasticNetParam=0.0, standardization=False)
 
 
-def extra_trees(trees: int = 100, seed: int = 42) -> RandomForestClassifier:
-    """Re-aimed: no bootstrap, sqrt feature subsets (Spark has no random-threshold trees)."""
-    return RandomForestClassifier(featuresCol=FEATURES, labelCol="label", numTrees=trees, bootstrap=False,
+def extra_trees(trees: int = 100, seed: int = 42, depth: int = 10) -> RandomForestClassifier:
+    """Re-aimed: no bootstrap, sqrt feature subsets (Spark has no random-threshold trees), ``depth`` levels at most."""
+    return RandomForestClassifier(featuresCol=FEATURES, labelCol="label", numTrees=trees, maxDepth=depth, bootstrap=False,
                                   featureSubsetStrategy="sqrt", seed=seed)
 
 

@@ -147,7 +147,7 @@ def lasso_selection(df: DataFrame, cols: Sequence[str], target: str, folds: int
 
 # ---------------------------------------------------------------- #80
 def recursive_elimination(df: DataFrame, cols: Sequence[str], target: str, min_features: int = 5, step: int = 1,
-                          folds: int = 3, trees: int = 50, seed: int = 42) -> DataFrame:
+                          folds: int = 3, trees: int = 50, seed: int = 42, depth: int = 10) -> DataFrame:
     """Backward elimination by forest importance, scored by k-fold CV accuracy at every size.
 
     The loop runs on the driver over feature *names* only (bounded by the
@@ -164,7 +164,7 @@ def recursive_elimination(df: DataFrame, cols: Sequence[str], target: str, min_f
     ev = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
     while True:
         sliced = VectorAssembler(inputCols=active, outputCol="sub", handleInvalid="keep").transform(data)
-        rf = RandomForestClassifier(featuresCol="sub", labelCol="label", numTrees=trees, seed=seed)
+        rf = RandomForestClassifier(featuresCol="sub", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
         cv = CrossValidator(estimator=rf, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
                             numFolds=folds, seed=seed, parallelism=1)
         cvm = cv.fit(sliced)

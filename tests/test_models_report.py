@@ -172,3 +172,17 @@ def test_ballots_follow_rewritten_tables(spark, tmp_path, monkeypatch):
     first = passing()
     land(1.0)
     assert "l_discount" in passing() - first and len(fits) == 2
+
+
+def test_forests_grow_past_the_library_depth(spark, monkeypatch):
+    from tabulon.operators import select as SEL
+    made, forest = [], SEL.RandomForestClassifier
+    monkeypatch.setattr(SEL, "RandomForestClassifier", lambda **k: made.append(forest(**k)) or made[-1])
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), float(rng.random() < 0.5)) for a, b in rng.normal(0, 1, (1000, 2))]   # noise: trees grow to the limit
+    df = spark.createDataFrame(rows, "x0 double, x1 double, y double")
+    for how in ({}, {"depth": 7}):
+        SEL.recursive_elimination(df, ["x0", "x1"], "y", min_features=2, folds=2, trees=1, **how)
+    assert [f.getMaxDepth() for f in made] == [10, 7]
+    data = M.feature_frame(df, ["x0", "x1"], "y")
+    assert [max(t.depth for t in M.extra_trees(trees=2, **how).fit(data).trees) for how in ({}, {"depth": 7})] == [10, 7]
