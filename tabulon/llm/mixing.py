@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import through_table
 
-#: Tokens to a block (documents are never cut, so a block may end later), steps of the bisection, most sources.
-BLOCK_TOKENS, STEPS, MAX_SOURCES = 1 << 20, 60, 100_000
+#: Tokens to a block (documents are never cut, so a block may end later), steps of the bisection, most sources that are
+#: planned on the driver (more stay in a table), and the share of the rows, as 1 / n, above which a source is broadcast.
+BLOCK_TOKENS, STEPS, MAX_SOURCES, HOT = 1 << 20, 60, 100_000, 1000
 
 
 def word_tokens(text_col: str = "text") -> Column:
@@ -69,6 +70,32 @@ def plan(tokens: np.ndarray, budget: float | None = None, target_entropy: float
     return Mix(high, tokens, *at(high))
 
 
+def _plan_table(totals: DataFrame, budget: float | None, target_entropy: float | None, max_repeats: float | None) -> DataFrame:
+    """``plan`` for more sources than the driver should hold: each step of the bisection is one aggregate over the distinct
+    source sizes.  ``totals`` (``key, n, ...``) comes back with ``source_tokens, weight, quota``."""
+    sizes = through_table(totals.groupBy("n").agg(F.count(F.lit(1)).alias("k")), "mix_sizes")
+    top = float(np.log(sizes.agg(F.max("n")).first()[0]))
+    log = F.log(F.col("n").cast("double")) - F.lit(top)
+
+    def at(a: float) -> tuple[float, float, bool]:
+        e = F.exp(F.lit(a) * log)
+        z, spread, whole, most = sizes.agg(F.sum(F.col("k") * e), F.sum(F.col("k") * e * log), F.max(F.col("n") / e), F.max(e / F.col("n"))).first()
+        all_tokens = budget if budget is not None else z * whole
+        met = ((target_entropy is None or float(np.log(z)) - a * spread / z <= target_entropy)
+               and (max_repeats is None or all_tokens / z * most <= max_repeats))
+        return z, all_tokens, met
+
+    low, high = 0.0, 1.0
+    if at(low)[2]:
+        high = low
+    for _ in range(STEPS if high > low else 0):
+        mid = (low + high) / 2
+        low, high = (low, mid) if at(mid)[2] else (mid, high)
+    z, all_tokens, _ = at(high)
+    weight = F.exp(F.lit(high) * log) / F.lit(z)
+    return totals.select("*", F.col("n").alias("source_tokens"), weight.alias("weight"), (weight * F.lit(float(all_tokens))).alias("quota"))
+
+
 def schedule(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
              budget: float | None = None, target_entropy: float | None = None, entropy_share: float | None = None,
              max_repeats: float | None = None, seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -85,18 +112,27 @@ def schedule(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col:
         F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), src.alias("source"),
         F.coalesce(F.concat(F.lit("="), src), F.lit("")).alias("key"), size.cast("long").alias("tokens"))
         .withColumn("order", F.xxhash64("doc_id", "text_hash", F.lit(seed))), "mix_rows")
-    totals = rows.groupBy("key").agg(F.sum("tokens").alias("n")).orderBy("key").limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    if entropy_share is not None and totals:
-        target_entropy = entropy_share * float(np.log(len(totals)))
-    mix = plan(np.array([r["n"] for r in totals], float), budget, target_entropy, max_repeats)
-    wanted = docs.sparkSession.createDataFrame(
-        [(r["key"], r["n"], float(w), float(q), max(1, -(-r["n"] // block_tokens)))
-         for r, w, q in zip(totals, mix.weights, mix.quotas, strict=True)],
-        "key string, source_tokens long, weight double, quota double, blocks long")
-    # at most MAX_SOURCES rows
-    rows = rows.join(F.broadcast(wanted), "key").withColumn("block", F.pmod("order", "blocks"))
+    totals = through_table(rows.groupBy("key").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("rows")), "mix_totals")
+    sources, n_rows = totals.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    if entropy_share is not None and sources:
+        target_entropy = entropy_share * float(np.log(sources))
+    blocks_of = F.greatest(F.lit(1), F.ceil(F.col("source_tokens") / F.lit(block_tokens))).cast("long").alias("blocks")
+    if sources > MAX_SOURCES:
+        wanted = _plan_table(totals, budget, target_entropy, max_repeats).select("key", "rows", "source_tokens", "weight", "quota", blocks_of)
+        # at most HOT sources have so many rows; the others are joined by key
+        hot = F.col("rows") * HOT > n_rows
+        told = rows.join(F.broadcast(wanted.filter(hot).drop("rows")), "key")
+        cold = rows.join(F.broadcast(wanted.filter(hot).select("key")), "key", "left_anti")
+        rows = told.unionByName(cold.join(wanted.filter(~hot).drop("rows").hint("merge"), "key"))
+    else:
+        found = totals.orderBy("key").collect()
+        mix = plan(np.array([r["n"] for r in found], float), budget, target_entropy, max_repeats)
+        wanted = docs.sparkSession.createDataFrame(
+            [(r["key"], r["n"], float(w), float(q)) for r, w, q in zip(found, mix.weights, mix.quotas, strict=True)],
+            "key string, source_tokens long, weight double, quota double")
+        # at most MAX_SOURCES rows
+        rows = rows.join(F.broadcast(wanted.select("*", blocks_of)), "key")
+    rows = rows.withColumn("block", F.pmod("order", "blocks"))
     in_pass = F.xxhash64("key", "block", F.lit(seed + 1))
     blocks = rows.groupBy("key", "block").agg(F.sum("tokens").alias("n"))
     before = F.sum("n").over(W.partitionBy("key").orderBy(in_pass, "block").rowsBetween(W.unboundedPreceding, -1))

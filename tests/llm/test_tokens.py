@@ -166,3 +166,22 @@ def test_mix_repeats_rows(docs, corpus):
 def test_mix_empty(empty):
     assert mixing.mix(empty, mixing.word_tokens(), max_repeats=2.0).count() == 0
     assert mixing.schedule(empty, F.lit(1), budget=5.0).count() == 0
+
+
+@pytest.mark.parametrize("how", [{"budget": 9000.0, "entropy_share": 0.9}, {"max_repeats": 2.0}])
+def test_schedule_has_no_cap_on_sources(spark, monkeypatch, how):
+    from tabulon.llm import mixing
+    rows = [(i, f"s{i % 40 if i % 3 else 0}" if i % 50 else None, f"t{i}", 1 + i % 7) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, t long")
+    read = lambda: {r["doc_id"]: r for r in mixing.schedule(df, F.col("t"), block_tokens=64, **how).collect()}
+    want = read()
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 5)
+    monkeypatch.setattr(mixing, "STEPS", 30)
+    monkeypatch.setattr(mixing, "HOT", 4, raising=False)
+    got = read()
+    assert len(got) == len(want) == 900
+    for i, w in want.items():
+        g = got[i]
+        assert (g["source"], g["tokens"], g["offset"], g["source_tokens"]) == (w["source"], w["tokens"], w["offset"], w["source_tokens"])
+        assert g["weight"] == pytest.approx(w["weight"], rel=1e-6) and g["quota"] == pytest.approx(w["quota"], rel=1e-6)
+    assert sum(g["copies"] != want[i]["copies"] for i, g in got.items()) <= 2   # a rounding at the end of a quota
