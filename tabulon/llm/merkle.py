@@ -158,12 +158,17 @@ class Trees:
             heads = blocks.filter(here).select("tree", "block").join(tops, "tree")
             above = heads if above is None else heads.unionByName(above)
             inner = _with_interior(blocks, level).join(above, ["tree", "block"])
-            members = inner.select("*", F.posexplode("nodes").alias("at", "digest"))
-            path = F.concat(_siblings(F.col("at")), F.col("path")).alias("path")
+            # one narrow record a stored node: the block's own arrays don't go through the explode
+            kept = [] if k else ["payloads"]
+            members = F.transform(F.sequence(F.lit(0), F.size("nodes") - 1), lambda at: F.struct(
+                at.alias("at"), F.get("nodes", at).alias("digest"), _siblings(at).alias("siblings"),
+                *(F.get(c, at).alias("payload") for c in kept)))  # noqa: B023
+            members = inner.select("tree", "block", "path", *extra, F.explode(members).alias("m"))
+            path = F.concat("m.siblings", "path").alias("path")
             if k:
-                above = members.select("tree", (F.col("block") * FAN**EVERY + F.col("at")).alias("block"), path, *extra)
+                above = members.select("tree", (F.col("block") * FAN**EVERY + F.col("m.at")).alias("block"), path, *extra)
             else:
-                return members.select(F.col("payloads")[F.col("at")].alias("payload"), "digest", path, *extra)
+                return members.select("m.payload", "m.digest", path, *extra)
         raise AssertionError("trees without a level")
 
 
