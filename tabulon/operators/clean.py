@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.exprs import title_trim
-from tabulon.plans.ordering import exact_quantiles, running_totals
+from tabulon.plans.ordering import quantiles_of, running_totals
 from tabulon.session import cut_lineage
 
 
@@ -134,9 +134,7 @@ def mode_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- #28
 def iqr_bounds(df: DataFrame, cols: Sequence[str], factor: float = 1.5) -> DataFrame:
     """Per column: Q1, Q3 (exact, interpolated) and the Tukey fences."""
-    recs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])
-    long = df.select(F.explode(recs).alias("r")).select("r.*")
-    qs = exact_quantiles(long, "value", [0.25, 0.75], by=["variable"], names=["q1", "q3"])
+    qs = quantiles_of(df, cols, [0.25, 0.75], names=["q1", "q3"])
     iqr = F.col("q3") - F.col("q1")
     return qs.select("variable", "q1", "q3", (F.col("q1") - factor * iqr).alias("lower"),
                      (F.col("q3") + factor * iqr).alias("upper"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import special
 from tabulon.functions.exprs import strength_label
 from tabulon.operators.stats import _pairs, pearson_matrix, spearman_matrix, with_corr_pvalues
-from tabulon.plans.ordering import range_splits, running_totals
+from tabulon.plans.ordering import global_positions, quantiles_of, range_splits, running_totals
 from tabulon.session import cut_lineage
 
 
@@ -30,12 +30,10 @@ from tabulon.session import cut_lineage
 def first_appearance_codes(df: DataFrame, col: str, order_col: str, out: str) -> DataFrame:
     """Integer code per level of ``col`` in order of first appearance (0-based).
 
-    One row per level (grouped ``min`` of the order key) is ranked with the
-    distributed running count, then joined back on the level.
+    One row per level (grouped ``min`` of the order key, of any type) is numbered by ranges, then joined back on the level.
     """
-    firsts = (df.where(F.col(col).isNotNull()).groupBy(col)
-              .agg(F.min(order_col).alias("_first")).withColumn("_one", F.lit(1)))
-    codes = running_totals(firsts, "_first", ["_one"]).select(col, (F.col("_one_cum") - 1).alias(out))
+    firsts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(order_col).alias("_first"))
+    codes = global_positions(firsts, [F.col("_first"), F.col(col)], out).drop("_first")
     return df.join(codes, on=col, how="left")
 
 
@@ -208,12 +206,9 @@ def _quantile_edges(df: DataFrame, cols: Sequence[str], bins: int) -> dict[str,
 
     The ``len(cols) * (bins - 1)`` edges are bounded and come to the driver as literals.
     """
-    from tabulon.plans.ordering import exact_quantiles
     probs = [i / bins for i in range(1, bins)]
     names = [f"e{i}" for i in range(1, bins)]
-    recs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in cols])
-    long = df.select(F.explode(recs).alias("r")).select("r.*")
-    rows = exact_quantiles(long, "value", probs, by=["variable"], names=names).collect()
+    rows = quantiles_of(df, cols, probs, names=names).collect()
     return {r["variable"]: [r[n] for n in names if r[n] is not None] for r in rows}
 
 

@@ -10,16 +10,16 @@ the driver once and inlined as literals.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from tabulon.functions.exprs import right_closed_code, right_closed_label
-from tabulon.plans.ordering import exact_quantiles
+from tabulon.plans.ordering import exact_quantiles, quantiles_of
 
 
 def q(c: str) -> Column:
@@ -80,10 +80,9 @@ def one_hot(df: DataFrame, col: str, prefix: str, levels: Sequence[str] | None =
 
 
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Integer code per level in ascending sort order (``StringIndexer``, alphabetAsc)."""
-    model = StringIndexer(inputCol=col, outputCol=out, stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df)
-    return model.transform(df).withColumn(out, F.col(out).cast("long"))
+    """Integer code per level in ascending sort order; NULL stays NULL.  Levels are numbered by ranges (``LevelCodes``)."""
+    from tabulon.operators.fitted import LevelCodes
+    return LevelCodes(inputCol=col, outputCol=out).fit(df).transform(df)
 
 
 def group_stats(df: DataFrame, key: str, stats: dict[str, Column]) -> DataFrame:
@@ -198,21 +197,32 @@ def default_scale_columns(df: DataFrame, exclude_prefix: str = "State_", id_col:
     return out
 
 
-def fit_standard_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def fit_standard_scaler(df: DataFrame, cols: Sequence[str], medians: str = "all") -> DataFrame:
     """Per column: median (fill value), mean and population sd *after* median filling.
 
-    One moments aggregate + one grouped exact-median pass over the long form.
-    The result has one row per column (bounded by the column count).
+    One moments aggregate over all columns; the filled moments follow from it, the median and the number of missing values.
+    ``medians="missing"`` computes medians only of columns that have missing values (the others' are NULL).  The result has
+    one row per column (bounded by the column count).
     """
+    spark, schema = df.sparkSession, "variable string, median double, mean double, std double"
     if not cols:
-        return df.sparkSession.createDataFrame([], "variable string, median double, mean double, std double")
-    recs = F.array(*[F.struct(F.lit(c).alias("variable"), q(c).cast("double").alias("value")) for c in cols])
-    long = df.select(F.explode(recs).alias("r")).select("r.*")
-    med = exact_quantiles(long, "value", [0.5], by=["variable"], names=["median"])
-    filled = long.join(F.broadcast(med), "variable", "left").withColumn(
-        "value", F.coalesce(F.when(~F.isnan("value"), F.col("value")), F.col("median")))
-    mom = filled.groupBy("variable").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return med.join(mom, "variable", "right").select("variable", "median", "mean", "std")
+        return spark.createDataFrame([], schema)
+    x = {c: F.when(~F.isnan(q(c).cast("double")), q(c).cast("double")) for c in cols}
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[e.alias(f"{k}{i}") for i, c in enumerate(cols) for k, e in (
+        ("c", F.count(x[c])), ("m", F.avg(x[c])), ("v", F.var_pop(x[c])))]).first()
+    wanted = [c for i, c in enumerate(cols) if one[f"c{i}"] and (medians == "all" or one[f"c{i}"] < one["n"])]
+    med = {r["variable"]: r["median"] for r in quantiles_of(df, wanted, [0.5], names=["median"]).collect()} if wanted else {}
+    rows = []
+    for i, c in enumerate(cols):
+        held, gone = one[f"c{i}"], one["n"] - one[f"c{i}"]
+        if not held:
+            rows.append((c, None, None, None))
+            continue
+        m, at = one[f"m{i}"], med.get(c)
+        mean = (held * m + gone * at) / one["n"] if gone else m
+        spread = held * (one[f"v{i}"] + (m - mean) ** 2) + (gone * (at - mean) ** 2 if gone else 0.0)
+        rows.append((c, at, mean, math.sqrt(spread / one["n"])))
+    return spark.createDataFrame(rows, schema)
 
 
 def apply_standard_scaler(df: DataFrame, params: DataFrame | list, suffix: str = "_scaled") -> DataFrame:
@@ -230,7 +240,7 @@ def apply_standard_scaler(df: DataFrame, params: DataFrame | list, suffix: str =
 def standard_scale(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[DataFrame, list]:
     """Fit and apply in one go; returns the scaled frame and the fitted (bounded) parameters."""
     cols = default_scale_columns(df) if cols is None else list(cols)
-    params = fit_standard_scaler(df, cols).collect()
+    params = fit_standard_scaler(df, cols, medians="missing").collect()
     order = {c: i for i, c in enumerate(cols)}
     params = sorted(params, key=lambda r: order[r["variable"]])
     return apply_standard_scaler(df, params), params

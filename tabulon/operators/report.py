@@ -11,7 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.plans.ordering import exact_quantiles, value_counts
+from tabulon.plans.ordering import exact_quantiles, quantiles_of, value_counts
+from tabulon.session import cut_lineage
+
+#: Per-group fences are broadcast for up to this many groups; beyond it they are joined as Spark sees fit.
+MAX_BROADCAST_GROUPS = 10_000
 
 
 def _q(c: str) -> Column:
@@ -97,32 +101,31 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var_name: str
 def histogram(df: DataFrame, col: str) -> DataFrame:
     """NumPy ``bins='auto'`` histogram (min of Sturges and Freedman–Diaconis widths), zero-filled, with mean.
 
-    Columns: bin, lower, upper, count, mean.  Bins are [lower, upper) except the
-    last, which includes its upper edge.
+    Columns: bin, lower, upper, count, mean.  Bins are [lower, upper) except the last, which includes its upper edge.  A
+    row's bin is computed by one division, set right by a look at the two edges beside it; the grid of bins is a Spark
+    range, so a heavy-tailed column may have any number of bins.
     """
     x = _q(col).cast("double")
+    x = F.when(~F.isnan(x), x)
     mom = df.agg(F.count(x).alias("n"), F.min(x).alias("mn"), F.max(x).alias("mx"), F.avg(x).alias("mean")).first()
     n, mn, mx, mean = mom["n"], mom["mn"], mom["mx"], mom["mean"]
     if not n:
         return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, count long, mean double")
-    qs = exact_quantiles(df.select(x.alias("v")), "v", [0.25, 0.75], names=["q1", "q3"]).first()
-    iqr = qs["q3"] - qs["q1"]
-    ptp = mx - mn
-    if ptp == 0:
+    if mx == mn:
         nb, lo_e, hi_e = 1, mn - 0.5, mx + 0.5
     else:
-        sturges = ptp / (math.log2(n) + 1.0)
-        fd = 2.0 * iqr * n ** (-1.0 / 3.0)
+        qs = exact_quantiles(df.select(x.alias("v")), "v", [0.25, 0.75], names=["q1", "q3"]).first()
+        sturges = (mx - mn) / (math.log2(n) + 1.0)
+        fd = 2.0 * (qs["q3"] - qs["q1"]) * n ** (-1.0 / 3.0)
         width = min(fd, sturges) if fd > 0 else sturges
-        nb, lo_e, hi_e = int(math.ceil(ptp / width)), mn, mx
+        nb, lo_e, hi_e = int(math.ceil((mx - mn) / width)), mn, mx
     step = (hi_e - lo_e) / nb
-    edges = [lo_e + i * step for i in range(nb)] + [hi_e]
-    inner = F.array(*[F.lit(e) for e in edges[1:-1]])
-    # bin = number of inner edges <= x (left-closed), last bin closed on the right
-    code = F.size(F.filter(inner, lambda e: e <= x)) if nb > 1 else F.lit(0)
-    counts = df.where(x.isNotNull()).groupBy(code.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(i, edges[i], edges[i + 1]) for i in range(nb)], "bin int, lower double, upper double")
+    edge = lambda i: F.when(i >= nb, F.lit(hi_e)).otherwise(F.lit(lo_e) + i * F.lit(step))
+    guess = F.least(F.greatest(F.floor((x - F.lit(lo_e)) / F.lit(step)), F.lit(0)), F.lit(nb - 1))
+    code = F.when((guess > 0) & (x < edge(guess)), guess - 1).when((guess < nb - 1) & (x >= edge(guess + 1)), guess + 1).otherwise(guess)
+    counts = df.where(x.isNotNull()).groupBy(code.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    i = F.col("id")
+    grid = df.sparkSession.range(nb).select(i.cast("int").alias("bin"), edge(i).alias("lower"), edge(i + 1).alias("upper"))
     return (grid.join(counts, "bin", "left").na.fill(0, ["count"])
             .withColumn("mean", F.lit(mean)).orderBy("bin"))
 
@@ -168,35 +171,49 @@ def kde_by_group(df: DataFrame, col: str, by: str, gridsize: int = 200, cut: flo
 
 
 # ---------------------------------------------------------------- #114
-def box_fliers(df: DataFrame, cols: Sequence[str], by: str | None = None, whis: float = 1.5) -> DataFrame:
-    """Values beyond the whiskers' fences with their counts, per column (and group)."""
+def _value_counts_by(df: DataFrame, cols: Sequence[str], by: str | None) -> DataFrame:
+    """``(by, variable, value, count)``: distinct values, with the rows counted before the shuffle."""
     keep = [by] if by else []
     recs = F.array(*[F.struct(F.lit(c).alias("variable"), _q(c).cast("double").alias("value")) for c in cols])
     long = df.select(*[_q(k) for k in keep], F.explode(recs).alias("r")).select(*keep, "r.variable", "r.value")
-    keys = [*keep, "variable"]
-    counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("count"))
-    qs = exact_quantiles(long, "value", [0.25, 0.75], by=keys, names=["q1", "q3"])
+    return long.where(F.col("value").isNotNull()).groupBy(*keep, "variable", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def box_fliers(df: DataFrame, cols: Sequence[str], by: str | None = None, whis: float = 1.5) -> DataFrame:
+    """Values beyond the whiskers' fences with their counts, per column (and group)."""
+    keys = [*([by] if by else []), "variable"]
+    qs = quantiles_of(df, cols, [0.25, 0.75], by=keys[:-1], names=["q1", "q3"])
     iqr = F.col("q3") - F.col("q1")
-    out = counts.join(qs, keys).where((F.col("value") < F.col("q1") - whis * iqr) | (F.col("value") > F.col("q3") + whis * iqr))
+    out = _value_counts_by(df, cols, by).join(qs, keys).where(
+        (F.col("value") < F.col("q1") - whis * iqr) | (F.col("value") > F.col("q3") + whis * iqr))
     return out.select(*keys, "value", "count")
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], by: str | None = None, whis: float = 1.5) -> DataFrame:
-    """Quartiles, whiskers (furthest points inside the fences) and flier counts per column (and group)."""
+    """Quartiles, whiskers (furthest points inside the fences) and flier counts per column (and group).
+
+    Whiskers come from the rows beside their group's fences: one aggregate without a shuffle of rows, as the fences are one
+    row a group.
+    """
     keep = [by] if by else []
-    recs = F.array(*[F.struct(F.lit(c).alias("variable"), _q(c).cast("double").alias("value")) for c in cols])
-    long = df.select(*[_q(k) for k in keep], F.explode(recs).alias("r")).select(*keep, "r.variable", "r.value")
-    long = long.where(F.col("value").isNotNull())
-    keys = [*keep, "variable"]
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=keys, names=["q1", "median", "q3"])
-    j = long.join(qs, keys)
+    qs = quantiles_of(df, cols, [0.25, 0.5, 0.75], by=keep, names=["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
-    lo_f, hi_f = F.col("q1") - whis * iqr, F.col("q3") + whis * iqr
-    v = F.col("value")
-    return j.groupBy(*keys).agg(
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.min(F.when(v >= lo_f, v)).alias("whisker_low"), F.max(F.when(v <= hi_f, v)).alias("whisker_high"),
-        F.count_if((v < lo_f) | (v > hi_f)).alias("fliers"))
+    qs = cut_lineage(qs.withColumns({"lo": F.col("q1") - whis * iqr, "hi": F.col("q3") + whis * iqr}))
+    of = lambda c, part: F.max(F.when(F.col("variable") == c, F.col(part)))
+    fences = qs.groupBy(*keep).agg(*[of(c, part).alias(f"{part}{i}") for i, c in enumerate(cols) for part in ("lo", "hi")])
+    if by:
+        rows = df.join(F.broadcast(fences) if fences.count() <= MAX_BROADCAST_GROUPS else fences, by)
+        edge = {f"{p}{i}": F.col(f"{p}{i}") for i in range(len(cols)) for p in ("lo", "hi")}
+    else:
+        rows, edge = df, {k: F.lit(v) for k, v in fences.first().asDict().items()}
+    aggs = []
+    for i, c in enumerate(cols):
+        v, lo, hi = _q(c).cast("double"), edge[f"lo{i}"], edge[f"hi{i}"]
+        aggs.append(F.struct(F.lit(c).alias("variable"), F.min(F.when(v >= lo, v)).alias("whisker_low"), F.max(F.when(v <= hi, v)).alias("whisker_high"),
+                             F.count_if((v < lo) | (v > hi)).alias("fliers")))
+    ends = rows.groupBy(*keep).agg(F.array(*aggs).alias("r")).select(*keep, F.explode("r").alias("r")).select(*keep, "r.*")
+    return qs.where("q1 is not null").join(ends, [*keep, "variable"]).select(
+        *keep, "variable", "q1", "median", "q3", "whisker_low", "whisker_high", "fliers")
 
 
 # ---------------------------------------------------------------- #115–#119

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from tabulon.operators.stats import anova
-from tabulon.plans.ordering import exact_quantiles
+from tabulon.plans.ordering import quantiles_of
 
 FEATURES = "features"
 
@@ -45,21 +45,14 @@ def candidate_features(df: DataFrame, target: str, exclude: Sequence[str] = (),
 
 
 def median_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill NULL/NaN of each column with its exact median (one grouped pass for all columns)."""
+    """Fill NULL/NaN of each column with its exact median; medians are computed only of columns that have missing values."""
     if not cols:
         return df
-    recs = F.array(*[F.struct(F.lit(c).alias("variable"), _q(c).cast("double").alias("value")) for c in cols])
-    long = df.select(F.explode(recs).alias("r")).select("r.*")
-    med = {r["variable"]: r["median"] for r in
-           exact_quantiles(long, "value", [0.5], by=["variable"], names=["median"]).collect()}
-    exprs = {}
-    for c in cols:
-        x = _q(c).cast("double")
-        if med.get(c) is not None:
-            exprs[c] = F.coalesce(F.when(~F.isnan(x), x), F.lit(med[c]))
-        else:
-            exprs[c] = x
-    return df.withColumns(exprs)
+    x = {c: F.when(~F.isnan(_q(c).cast("double")), _q(c).cast("double")) for c in cols}
+    held = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(x[c]).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    gaps = [c for i, c in enumerate(cols) if 0 < held[f"c{i}"] < held["n"]]
+    med = {r["variable"]: r["median"] for r in quantiles_of(df, gaps, [0.5], names=["median"]).collect()} if gaps else {}
+    return df.withColumns({c: F.coalesce(x[c], F.lit(med[c])) if c in med else _q(c).cast("double") for c in cols})
 
 
 def assemble(df: DataFrame, cols: Sequence[str], target: str | None = None, out: str = FEATURES) -> DataFrame:

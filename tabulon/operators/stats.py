@@ -18,7 +18,7 @@ from pyspark.sql.types import NumericType
 
 from tabulon.functions import special
 from tabulon.functions.exprs import sample_kurtosis, sample_skewness, strength_label
-from tabulon.plans.ordering import average_ranks, exact_quantiles
+from tabulon.plans.ordering import average_ranks, quantiles_of
 
 
 def _is_numeric(df: DataFrame, c: str) -> bool:
@@ -51,8 +51,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     moments = one.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), *[F.col(f"{c}__{f}").alias(f) for f in fields]) for c in cols
     ])).alias("m")).select("m.*")
-    quants = exact_quantiles(_long_values(df, cols), "value", [0.25, 0.5, 0.75], by=["variable"],
-                             names=["q25", "median", "q75"])
+    quants = quantiles_of(df, cols, [0.25, 0.5, 0.75], names=["q25", "median", "q75"])
     out = moments.join(F.broadcast(quants), "variable", "left")  # one row per described column
     return out.select("variable", F.col("n").cast("long").alias("n"), "mean", "median", "std", "min",
                       "max", F.col("skew").alias("skewness"), F.col("kurt").alias("kurtosis"), "q25", "q75")

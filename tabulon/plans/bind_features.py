@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabulon.operators import features as X
 from tabulon.plans.registry import Query, register, table
+from tabulon.session import checkpoint_dir, cut_lineage
 
 SIZE_EDGES = [0, 10, 20, 30, 40, 50]
 SIZE_LABELS = ["XS", "S", "M", "L", "XL"]
@@ -162,10 +165,63 @@ register(Query("coerce_types_documents",
 
 
 def _feature_creation(s, d):
-    """The feature-creation driver (#57) applied to customers: bins, ratios, flags, encodings,
-    polynomial terms, group aggregates, then standard scaling with name-based exclusions."""
-    from tabulon.plans.survey import create_features_generic
-    return create_features_generic(_cust_nation(s, d))
-
-
-register(Query("feature_creation_customer", _feature_creation, None, operators=(57,)))
+    """The feature-creation driver (#57) applied to customers: bins, ratios, encodings, polynomial terms, group
+    aggregates, then standard scaling, fitted on the rows that it transforms."""
+    from pyspark.ml import Pipeline
+
+    from tabulon.plans.survey import customer_feature_stages
+    rows = cut_lineage(_cust_nation(s, d))
+    return Pipeline(stages=customer_feature_stages()).fit(rows).transform(rows)
+
+
+def _features_sql(train: str) -> str:
+    """Features of every customer by what the rows that meet ``train`` hold."""
+    scaled = {"c_acctbal": "c_acctbal", "Balance_Ratio": "c_acctbal / 1000", "c_acctbal^2": "c_acctbal * c_acctbal",
+              "Nation_Avg_Balance": "avg_balance", "Balance_Deviation": "c_acctbal - avg_balance"}
+    return f"""
+WITH every_row AS (SELECT * FROM {CUST_NATION_SQL}), train AS (SELECT * FROM every_row WHERE {train}),
+levels AS (SELECT n_name, dense_rank() OVER (ORDER BY n_name) - 1 AS code, avg(CAST(positive_balance AS DOUBLE)) AS target, count(*) AS freq,
+                  avg(c_acctbal) AS avg_balance FROM train GROUP BY n_name),
+seen AS (SELECT c_acctbal, avg_balance FROM train JOIN levels USING (n_name)),
+sides AS (SELECT min(c_acctbal) AS mn, max(c_acctbal) AS mx, quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.5) AS q2,
+                 quantile_cont(c_acctbal, 0.75) AS q3, avg(CAST(positive_balance AS DOUBLE)) AS overall FROM train),
+scales AS (SELECT {", ".join(f'avg({e}) AS "m{i}", stddev_pop({e}) AS "s{i}", median({e}) AS "d{i}"' for i, e in enumerate(scaled.values()))} FROM seen)
+SELECT c_custkey, n_name, c_acctbal, positive_balance,
+       CASE WHEN c_acctbal > -1000 AND c_acctbal <= 0 THEN 'Negative' WHEN c_acctbal > 0 AND c_acctbal <= 2500 THEN 'Low'
+            WHEN c_acctbal > 2500 AND c_acctbal <= 5000 THEN 'Mid' WHEN c_acctbal > 5000 AND c_acctbal <= 10000 THEN 'High' END AS "Balance_Group",
+       c_acctbal / 1000 AS "Balance_Ratio",
+       coalesce(c_acctbal > -1000 AND c_acctbal <= 0, false) AS "Balance_Group_Negative", coalesce(c_acctbal > 0 AND c_acctbal <= 2500, false) AS "Balance_Group_Low",
+       coalesce(c_acctbal > 2500 AND c_acctbal <= 5000, false) AS "Balance_Group_Mid", coalesce(c_acctbal > 5000 AND c_acctbal <= 10000, false) AS "Balance_Group_High",
+       CASE WHEN n_name IS NOT NULL THEN coalesce(code, -1) END AS "Nation_Encoded", coalesce(target, overall) AS "Nation_Target_Encoded",
+       coalesce(freq, 0) AS "Nation_Frequency", avg_balance AS "Nation_Avg_Balance",
+       c_acctbal * c_acctbal AS "c_acctbal^2", c_acctbal * (c_acctbal / 1000) AS "c_acctbal Balance_Ratio", (c_acctbal / 1000) * (c_acctbal / 1000) AS "Balance_Ratio^2",
+       c_acctbal - avg_balance AS "Balance_Deviation",
+       {" + ".join(f"CAST(c_acctbal > mn + {i} * (mx - mn) / 5 AS INT)" for i in range(1, 5))} AS "Balance_Bin_5",
+       CAST(c_acctbal > q1 AS INT) + CAST(c_acctbal > q2 AS INT) + CAST(c_acctbal > q3 AS INT) AS "Balance_Quartiles",
+       {", ".join(f'(coalesce({e}, "d{i}") - "m{i}") / "s{i}" AS "{n}_scaled"' for i, (n, e) in enumerate(scaled.items()))}
+FROM every_row LEFT JOIN levels USING (n_name), sides, scales"""
+
+
+FEATURE_DOUBLES = ("c_acctbal", "Balance_Ratio", "Nation_Target_Encoded", "Nation_Avg_Balance", "c_acctbal^2",
+                   "Balance_Ratio^2", "Balance_Deviation", "c_acctbal_scaled", "Balance_Ratio_scaled", "c_acctbal^2_scaled",
+                   "Nation_Avg_Balance_scaled", "Balance_Deviation_scaled")
+FEATURE_LONGS = ("positive_balance", "Nation_Encoded", "Nation_Frequency", "Balance_Bin_5", "Balance_Quartiles")
+
+register(Query("feature_creation_customer", _feature_creation, _features_sql("true"), dbl=FEATURE_DOUBLES, ints=FEATURE_LONGS, operators=(57,)))
+
+
+def _fitted_features(s, d):
+    """Fit on a part of the customers that lacks two nations, save, load, and transform all customers (#57 with unseen levels)."""
+    from pyspark.ml import Pipeline
+
+    from tabulon.operators.fitted import load_features, save_features
+    from tabulon.plans.survey import customer_feature_stages
+    rows = cut_lineage(_cust_nation(s, d))
+    train = rows.where("c_custkey % 5 <> 0 AND n_name NOT IN ('CHINA', 'PERU')")
+    path = f"{checkpoint_dir(s).rstrip('/')}/features/{uuid.uuid4().hex}"
+    save_features(Pipeline(stages=customer_feature_stages()).fit(train), path)
+    return load_features(path).transform(rows)
+
+
+register(Query("fitted_features_customer", _fitted_features, _features_sql("c_custkey % 5 <> 0 AND n_name NOT IN ('CHINA', 'PERU')"),
+               dbl=FEATURE_DOUBLES, ints=FEATURE_LONGS, operators=(57, 63, 64, 65, 66, 69, 70, 72, 73)))

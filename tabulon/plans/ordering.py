@@ -108,48 +108,161 @@ def average_ranks(df: DataFrame, col: str, by: Sequence[str] = (), rank_col: str
     return rt.select(*by, col, (F.col("_w_cum") - (F.col("_w") - 1) / 2.0).alias(rank_col), "_w")
 
 
-#: Accuracy of the sketch that brackets a rank: its rank error is at most 1 / accuracy of the rows.
+def global_positions(df: DataFrame, order: Sequence[Column], out: str = "position") -> DataFrame:
+    """``df`` with the 0-based place of every row in ``order``, for keys of any type.
+
+    Rows are dealt by ranges of the order and numbered inside each; the ranges' sizes, one row a partition, give the
+    offsets.  The order should be total, else equal rows follow each other in no set order.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_tb_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_tb_at", 33)   # the id holds the partition above its row number
+    shifts, before = [], 0
+    for r in (ranged.groupBy(part.alias("p")).agg(F.min("_tb_at").alias("first"), F.count(F.lit(1)).alias("n"))
+              .orderBy("p").collect()):
+        shifts.append((r["p"], before - r["first"]))
+        before += r["n"]
+    table = df.sparkSession.createDataFrame(shifts, "_tb_part long, _tb_shift long")
+    return (ranged.withColumn("_tb_part", part).join(F.broadcast(table), "_tb_part")
+            .withColumn(out, F.col("_tb_at") + F.col("_tb_shift")).drop("_tb_part", "_tb_at", "_tb_shift"))
+
+
+#: Accuracy of the sketches that bracket a rank: their rank error is at most 1 / accuracy of the rows they saw.
 _ACCURACY = 20_000
+#: A bracket with more rows than this is narrowed to a few cells of a grid of so many quantiles inside it.
+_FEW, _GRID = 200_000, 64
+#: Brackets of up to this many groups are broadcast to the rows; beyond it Spark joins them as it sees fit.
+_GROUPS = 2_000
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation between order statistics.
+class _Brackets:
+    """Bounds ``lo<j>_<i>``, ``hi<j>_<i>`` around rank i of column j, for each group: one row a group, or plain numbers
+    where there are no groups."""
+
+    def __init__(self, src: DataFrame, by: list[str]):
+        self.src, self.by, self.values, self.table = src, by, {}, None
+
+    def col(self, name: str) -> Column:
+        return F.col(name) if self.by else F.lit(self.values[name])
+
+    def rows(self) -> DataFrame:
+        return self.src.join(self.table, self.by) if self.by and self.table is not None else self.src
+
+    def step(self, aggs: dict[str, Column], outs: dict[str, Column]) -> None:
+        """Aggregate the rows beside their brackets, then set values from the aggregates and the former values."""
+        one = self.rows().groupBy(*self.by).agg(*[e.alias(n) for n, e in aggs.items()])
+        if not self.by:
+            self.values |= one.select(*[e.alias(n) for n, e in outs.items()]).first().asDict()
+            return
+        old = [c for c in (self.table.columns if self.table is not None else []) if c not in self.by and c not in outs]
+        joined = one if self.table is None else one.join(self.table.drop(*aggs), self.by)
+        self.table = cut_lineage(joined.select(*self.by, *[F.col(c) for c in old], *[e.alias(n) for n, e in outs.items()]))
+        if self.table.count() <= _GROUPS:
+            self.table = F.broadcast(self.table)
 
-    Same definition as pandas ``quantile`` / DuckDB ``quantile_cont``:
-    position ``h = (n - 1) p``, value ``x[floor h] + (h - floor h)(x[ceil h] - x[floor h])``.
-    NULL and NaN values are left out, infinite ones are not; NULL groups give no row.
+    def any(self, conditions: list[Column]) -> bool:
+        worst = F.greatest(F.lit(0), *[F.coalesce(c.cast("int"), F.lit(0)) for c in conditions])
+        df = self.table if self.by else self.src.sparkSession.range(1)
+        return bool(df.agg(F.max(worst)).first()[0]) if self.by else bool(df.select(worst).first()[0])
 
-    Two passes and no copy of the column.  A mergeable sketch brackets every wanted rank; then each row is counted as
-    lying below a bracket or kept with its value inside it.  Counts are aggregated before the shuffle, so what is sorted
-    per group and rank is the distinct values of a few ten-thousandths of the rows.
+
+def quantiles_of(df: DataFrame, cols: Sequence[str | Column], probs: Sequence[float], by: Sequence[str] = (),
+                 names: Sequence[str] | None = None, variables: Sequence[str] | None = None) -> DataFrame:
+    """Exact quantiles of several columns with linear interpolation: ``(by..., variable, names...)``.
+
+    Position ``h = (n - 1) p``, value ``x[floor h] + (h - floor h)(x[ceil h] - x[floor h])``, as pandas ``quantile`` and
+    DuckDB ``quantile_cont`` define them.  NULL and NaN values are left out, infinite ones are not; NULL groups give no row,
+    nor do groups without a value (without ``by``, a column without a value gives a row of NULLs).
+
+    Multi-round selection.  A mergeable sketch brackets every wanted rank.  Then each round counts, by conditional sums in
+    one aggregate, the rows below and inside each bracket; a bracket that misses its rank is widened, one that holds more
+    than ``_FEW`` rows is narrowed by a second sketch of what is inside.  At the end only the rows inside brackets, a few
+    ten-thousandths at most, are grouped by value and ranked.  No copy of a column is sorted or shuffled.
     """
     names = list(names) if names else [f"q{int(round(p * 1000)):03d}" for p in probs]
-    keys, v = list(by) or ["_tb_all"], F.col(col).cast("double")
-    src = df if by else df.withColumn("_tb_all", F.lit(0))
-    src = src.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))
+    variables = list(variables or cols)   # a column given as an expression needs a name
+    cols = [F.col(f"`{c}`") if isinstance(c, str) else c for c in cols]
+    by, probs = list(by), [float(p) for p in probs]
+    values = [F.col(f"_v{j}") for j in range(len(cols))]
+    src = df
+    for b in by:
+        src = src.where(F.col(f"`{b}`").isNotNull())
+    src = src.select(*[F.col(f"`{b}`") for b in by], *[c.cast("double").alias(f"_v{j}") for j, c in enumerate(cols)])
+    src = src.withColumns({f"_v{j}": F.when(~F.isnan(v), v) for j, v in enumerate(values)})
+    state = _Brackets(src, by)
+    pairs = [(j, i) for j in range(len(cols)) for i in range(len(probs))]
     near = 4.0 / _ACCURACY
     wide = [x for p in probs for x in (max(0.0, p - near), min(1.0, p + near))]
-    sketch = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", wide, _ACCURACY).alias("_b"),
-                                    F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    # a rank near an end is bracketed by the end itself, and so is every rank of a group so small that the bracket's
-    # width in ranks would not cover the sketch's error and the interpolation's neighbour
-    few = F.col("_n") < _ACCURACY
-    low = [F.when(few | F.lit(p <= near), F.col("_min")).otherwise(F.col("_b")[2 * i]) for i, p in enumerate(probs)]
-    high = [F.when(few | F.lit(p >= 1 - near), F.col("_max")).otherwise(F.col("_b")[2 * i + 1]) for i, p in enumerate(probs)]
-    recs = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.when(F.col("_v") >= low[i], F.col("_v")).alias("x"),
-                                       (F.col("_v") <= high[i]).alias("near")) for i in range(len(probs))]), lambda r: r["near"])
-    seen = src.join(sketch, keys).select(*keys, "_n", F.explode(recs).alias("r")).groupBy(*keys, "_n", "r.i", "r.x").agg(F.count(F.lit(1)).alias("_w"))
-    upto = F.sum("_w").over(Window.partitionBy(*keys, "i").orderBy(F.col("x").asc_nulls_first()))
-    seen = seen.withColumn("_end", upto).where("x is not null")
-    start = F.col("_end") - F.col("_w")
-    cols = []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        held = lambda at: (F.col("i") == i) & (start <= at) & (at < F.col("_end"))  # noqa: E731, B023
-        lo, hi = F.max(F.when(held(F.floor(h)), F.col("x"))), F.max(F.when(held(F.ceil(h)), F.col("x")))
-        frac = F.max(h - F.floor(h))
-        missed = (F.max("_n") > 0) & (lo.isNull() | hi.isNull())
-        value = F.when(missed, F.raise_error(F.lit("a rank lies outside its bracket"))).when(frac > 0, lo + frac * (hi - lo)).otherwise(lo)
-        cols.append(value.cast("double").alias(name))
-    return seen.groupBy(*by).agg(*cols)
+    aggs, outs = {}, {}
+    for j, v in enumerate(values):
+        aggs |= {f"n{j}": F.count(v), f"b{j}": F.percentile_approx(v, wide, _ACCURACY), f"mn{j}": F.min(v), f"mx{j}": F.max(v)}
+        outs |= {f"{s}{j}": F.col(f"{s}{j}") for s in ("n", "mn", "mx")}
+    for j, i in pairs:
+        # a group so small that the bracket's width in ranks would not cover the sketch's error has one bracket, of all values
+        few, p = F.col(f"n{j}") < _ACCURACY, probs[i]
+        nothing = F.lit(None).cast("double")
+        lo = F.col(f"mn{j}") if p <= near else F.col(f"b{j}")[2 * i]
+        hi = F.col(f"mx{j}") if p >= 1 - near else F.col(f"b{j}")[2 * i + 1]
+        outs[f"lo{j}_{i}"] = F.when(few, nothing if i else F.col(f"mn{j}")).otherwise(lo)
+        outs[f"hi{j}_{i}"] = F.when(few, nothing if i else F.col(f"mx{j}")).otherwise(hi)
+    state.step(aggs, outs)
+
+    def rank(j, i, up):
+        h = (state.col(f"n{j}") - 1) * F.lit(probs[i])
+        return (F.ceil(h) if up else F.floor(h)) - state.col(f"c{j}_{i}")
+
+    inside = lambda j, i: (values[j] >= state.col(f"lo{j}_{i}")) & (values[j] <= state.col(f"hi{j}_{i}"))
+    live = lambda j, i: state.col(f"lo{j}_{i}").isNotNull()
+    missed = lambda j, i: (live(j, i) & (rank(j, i, False) < 0), live(j, i) & (rank(j, i, True) >= state.col(f"k{j}_{i}")))
+    crowded = lambda j, i: (state.col(f"n{j}") >= _ACCURACY) & (state.col(f"k{j}_{i}") > _FEW) & (state.col(f"lo{j}_{i}") < state.col(f"hi{j}_{i}"))
+    for narrowed in range(9):   # each narrowing divides a bracket by ten at least, unless few values hold its rows
+        state.step({f"c{j}_{i}": F.sum(F.when(values[j] < state.col(f"lo{j}_{i}"), 1).otherwise(0)) for j, i in pairs}
+                   | {f"k{j}_{i}": F.sum(F.when(inside(j, i), 1).otherwise(0)) for j, i in pairs},
+                   {f"{s}{j}_{i}": F.col(f"{s}{j}_{i}") for j, i in pairs for s in "ck"})
+        lost = [m for j, i in pairs for m in missed(j, i)]
+        if not state.any([*lost, *([crowded(j, i) for j, i in pairs] if narrowed < 8 else [])]):
+            break
+        aggs = {f"g{j}_{i}": F.percentile_approx(F.when(inside(j, i), values[j]), [x / _GRID for x in range(_GRID + 1)], _ACCURACY)
+                for j, i in pairs}
+        outs = {}
+        for j, i in pairs:
+            lo, hi, k, g = state.col(f"lo{j}_{i}"), state.col(f"hi{j}_{i}"), state.col(f"k{j}_{i}"), F.col(f"g{j}_{i}")
+            a = (F.floor(rank(j, i, False) / k * _GRID) - 1).cast("int")
+            b = (F.ceil((rank(j, i, True) + 1) / k * _GRID) + 1).cast("int")
+            low, high = missed(j, i)
+            outs[f"lo{j}_{i}"] = F.when(low | high, state.col(f"mn{j}")).when(crowded(j, i) & (a > 0), F.get(g, a)).otherwise(lo)
+            outs[f"hi{j}_{i}"] = F.when(low | high, state.col(f"mx{j}")).when(crowded(j, i) & (b < _GRID), F.get(g, b)).otherwise(hi)
+        state.step(aggs, outs)
+
+    # rows inside brackets, by column, bracket and value
+    held = lambda j, i: F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.when(inside(j, i), values[j]).alias("x"))
+    close = inside(*pairs[0])
+    for j, i in pairs[1:]:
+        close = F.coalesce(close, F.lit(False)) | F.coalesce(inside(j, i), F.lit(False))
+    recs = state.rows().where(close).select(*by, F.explode(F.filter(F.array(*[held(j, i) for j, i in pairs]),
+                                                                   lambda r: r["x"].isNotNull())).alias("r"))
+    seen = recs.groupBy(*by, "r.j", "r.i", "r.x").agg(F.count(F.lit(1)).alias("w"))
+    seen = seen.withColumn("upto", F.sum("w").over(Window.partitionBy(*by, "j", "i").orderBy("x")))
+    shared = lambda j, i: F.when(state.col(f"n{j}") < _ACCURACY, F.lit(0)).otherwise(F.lit(i))
+    wanted = [F.struct(F.lit(j).alias("j"), F.lit(i).alias("want"), shared(j, i).alias("i"), state.col(f"n{j}").alias("n"),
+                       F.when(shared(j, i) == i, state.col(f"c{j}_{i}")).otherwise(state.col(f"c{j}_0")).alias("c"),
+                       F.lit(probs[i]).alias("p")) for j, i in pairs]
+    base = state.table if by else src.sparkSession.range(1)
+    base = base.select(*by, F.explode(F.array(*wanted)).alias("r")).select(*by, "r.*")
+    if by:
+        base = base.where("n > 0")
+    h = (F.col("n") - 1) * F.col("p")
+    place = lambda at: F.max(F.when((F.col("upto") - F.col("w") <= at - F.col("c")) & (at - F.col("c") < F.col("upto")), F.col("x")))
+    found = (seen.join(base, [*by, "j", "i"]).groupBy(*by, "j", "want")
+             .agg(place(F.floor(h)).alias("lo"), place(F.ceil(h)).alias("hi"), F.max(h - F.floor(h)).alias("f")))
+    value = F.when(F.col("f") > 0, F.col("lo") + F.col("f") * (F.col("hi") - F.col("lo"))).otherwise(F.col("lo"))
+    wide_form = found.groupBy(*by, "j").agg(*[F.max(F.when(F.col("want") == i, value)).alias(f"_q{i}") for i in range(len(probs))])
+    out = base.where("want = 0").select(*by, "j").join(wide_form, [*by, "j"], "left")
+    name = F.element_at(F.array(*[F.lit(x) for x in variables]), F.col("j") + 1).alias("variable")
+    return out.select(*by, name, *[F.col(f"_q{i}").alias(n) for i, n in enumerate(names)])
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """``quantiles_of`` one column: ``(by..., names...)``."""
+    return quantiles_of(df, [col], probs, by, names, variables=[col]).drop("variable")

@@ -9,12 +9,14 @@ each is reused by many downstream jobs.
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from tabulon.operators import clean as C
 from tabulon.operators import features as X
+from tabulon.operators import fitted as FT
 from tabulon.operators import quality as Q
 from tabulon.operators import report as R
 from tabulon.operators import stats as S
@@ -104,77 +106,81 @@ def survey_statistics(df: DataFrame) -> dict[str, DataFrame]:
 
 
 # ---------------------------------------------------------------- features (#57–#73)
-def create_survey_features(df: DataFrame) -> tuple[DataFrame, list]:
-    """All feature families in the reference's order; returns the table and the fitted scaler rows."""
+def survey_feature_stages() -> list:
+    """All feature families in the reference's order, as pipeline stages; the fitted ones learn levels, means, frequencies,
+    edges and scales."""
+    return [
+        # derived (#59–#62)
+        FT.derived({
+            "Age_Group": FT.label_sql("Age", AGE_EDGES, AGE_LABELS),
+            "Experience_Group": FT.label_sql("Years_of_Experience", EXP_EDGES, EXP_LABELS),
+            "Age_Experience_Ratio": "try_divide(CAST(Age AS DOUBLE), CAST(Years_of_Experience + 1 AS DOUBLE))",
+            "Experience_per_Age": "try_divide(CAST(Years_of_Experience AS DOUBLE), CAST(Age AS DOUBLE))",
+            "Career_Start_Age": "Age - Years_of_Experience",
+            "Late_Career_Start": "CAST(Age - Years_of_Experience > 30 AS INT)",
+            "Digital_Adoption_Score": "CAST(Uses_Ecommerce_Binary AS INT) * 2 + CAST(Age < 40 AS INT)",
+            "Awareness_Support_Score": "CAST(GI_Aware_Binary AS INT) * 2 + CAST(Received_Subsidy_Binary AS INT)",
+            "Engagement_Score": "CAST(GI_Aware_Binary AS INT) + CAST(Uses_Ecommerce_Binary AS INT) + CAST(Received_Subsidy_Binary AS INT)"}),
+        # encodings (#63–#66) and the State half of the aggregates (#72), which share a table
+        FT.LevelDummies(inputCol="State", prefix="State"),
+        FT.LevelCodes(inputCol="State", outputCol="State_Encoded"),
+        FT.LevelStats(inputCol="State", outputCols=["State_GI_Target_Encoded", "State_Frequency", "State_Avg_Age", "State_Avg_Experience"],
+                      statistics=["mean", "count", "mean", "mean"], valueCols=["GI_Aware_Binary", "", "Age", "Years_of_Experience"],
+                      unseen=["overall", "zero", "null", "null"]),
+        FT.derived({**FT.dummy_sql("Age_Group", "Age_Group", AGE_LABELS), **FT.dummy_sql("Experience_Group", "Exp_Group", EXP_LABELS),
+                    # polynomial + interactions (#67, #68)
+                    **FT.polynomial_sql(POLY_COLS, 2), **{n: f"`{a}` * `{b}`" for n, (a, b) in INTERACTIONS.items()}}),
+        FT.CutLineageStage(),
+        # binned (#69–#71)
+        *[FT.BinCodes(inputCol=c, outputCol=f"{short}_Bin_{n}", bins=n)
+          for c, short in (("Age", "Age"), ("Years_of_Experience", "Experience")) for n in (5, 10)],
+        FT.BinCodes(inputCol="Age", outputCol="Age_Quartiles", bins=4, method="quantile"),
+        FT.BinCodes(inputCol="Years_of_Experience", outputCol="Experience_Quartiles", bins=4, method="quantile"),
+        FT.derived({"Young_Artisan": "CAST(Age <= 30 AS INT)", "Senior_Artisan": "CAST(Age >= 50 AS INT)",
+                    "Novice_Artisan": "CAST(Years_of_Experience <= 5 AS INT)", "Expert_Artisan": "CAST(Years_of_Experience >= 20 AS INT)",
+                    "Age_Deviation_from_State": "Age - State_Avg_Age",
+                    "Experience_Deviation_from_State": "Years_of_Experience - State_Avg_Experience"}),
+        # aggregated (#72); a missing Age_Group forms its own group, as in the reference
+        FT.LevelStats(inputCol="Gender", outputCols=["Gender_GI_Rate", "Gender_Ecommerce_Rate"], statistics=["mean", "mean"],
+                      valueCols=["GI_Aware_Binary", "Uses_Ecommerce_Binary"], unseen=["null", "null"]),
+        FT.LevelStats(inputCol="Age_Group", outputCols=["Age_Group_GI_Rate"], statistics=["mean"], valueCols=["GI_Aware_Binary"],
+                      unseen=["null"], nullLevel="nan"),
+        FT.CutLineageStage(),
+        # scaling (#73)
+        FT.ScaleColumns()]
+
+
+def survey_types(df: DataFrame) -> DataFrame:
+    """Column types that the stages expect (#58), without the file order."""
     f = df.drop(ORDER_COL) if ORDER_COL in df.columns else df
-    f = X.coerce_types(f, categorical=["State", "Gender"], numeric=["Age", "Years_of_Experience"],
-                       numeric_type="bigint")
-    # derived (#59–#62)
-    f = X.labelled_bins(f, "Age", AGE_EDGES, AGE_LABELS, "Age_Group")
-    f = X.labelled_bins(f, "Years_of_Experience", EXP_EDGES, EXP_LABELS, "Experience_Group")
-    f = f.withColumns({
-        "Age_Experience_Ratio": F.try_divide(F.col("Age").cast("double"), (F.col("Years_of_Experience") + 1).cast("double")),
-        "Experience_per_Age": F.try_divide(F.col("Years_of_Experience").cast("double"), F.col("Age").cast("double")),
-        "Career_Start_Age": F.col("Age") - F.col("Years_of_Experience"),
-    })
-    f = f.withColumn("Late_Career_Start", (F.col("Career_Start_Age") > 30).cast("int"))
-    f = X.weighted_score(f, "Digital_Adoption_Score", [(F.col("Uses_Ecommerce_Binary"), 2), (F.col("Age") < 40, 1)])
-    f = X.weighted_score(f, "Awareness_Support_Score", [(F.col("GI_Aware_Binary"), 2), (F.col("Received_Subsidy_Binary"), 1)])
-    f = X.weighted_score(f, "Engagement_Score", [(F.col("GI_Aware_Binary"), 1), (F.col("Uses_Ecommerce_Binary"), 1),
-                                                 (F.col("Received_Subsidy_Binary"), 1)])
-    # encodings (#63–#66)
-    f = X.one_hot(f, "State", "State")
-    f = X.label_encode(f, "State", "State_Encoded")
-    f = X.target_encode(f, "State", "GI_Aware_Binary", "State_GI_Target_Encoded")
-    f = X.frequency_encode(f, "State", "State_Frequency")
-    f = X.one_hot(f, "Age_Group", "Age_Group", AGE_LABELS)
-    f = X.one_hot(f, "Experience_Group", "Exp_Group", EXP_LABELS)
-    # polynomial + interactions (#67, #68)
-    f = X.polynomial_features(f, POLY_COLS, 2)
-    f = X.interactions(f, INTERACTIONS)
-    f = cut_lineage(f)   # many global edges are computed from here on
-    # binned (#69–#71)
-    for c, short in (("Age", "Age"), ("Years_of_Experience", "Experience")):
-        f = X.equal_width_bins(f, c, 5, f"{short}_Bin_5")
-        f = X.equal_width_bins(f, c, 10, f"{short}_Bin_10")
-    f = X.quantile_bins(f, "Age", 4, "Age_Quartiles")
-    f = X.quantile_bins(f, "Years_of_Experience", 4, "Experience_Quartiles")
-    f = X.threshold_flags(f, {"Young_Artisan": F.col("Age") <= 30, "Senior_Artisan": F.col("Age") >= 50,
-                              "Novice_Artisan": F.col("Years_of_Experience") <= 5,
-                              "Expert_Artisan": F.col("Years_of_Experience") >= 20})
-    # aggregated (#72); a missing Age_Group forms its own group, as in the reference
-    f = X.group_stats(f, "State", {"State_Avg_Age": F.avg("Age"), "State_Avg_Experience": F.avg("Years_of_Experience")})
-    f = f.withColumns({"Age_Deviation_from_State": F.col("Age") - F.col("State_Avg_Age"),
-                       "Experience_Deviation_from_State": F.col("Years_of_Experience") - F.col("State_Avg_Experience")})
-    f = X.group_stats(f, "Gender", {"Gender_GI_Rate": F.avg(F.col("GI_Aware_Binary").cast("double")),
-                                    "Gender_Ecommerce_Rate": F.avg(F.col("Uses_Ecommerce_Binary").cast("double"))})
-    f = f.withColumn("_age_group_key", F.coalesce(F.col("Age_Group"), F.lit("nan")))
-    f = X.group_stats(f, "_age_group_key", {"Age_Group_GI_Rate": F.avg(F.col("GI_Aware_Binary").cast("double"))})
-    f = f.drop("_age_group_key")
-    # scaling (#73)
-    scaled, params = X.standard_scale(f)
-    return cut_lineage(scaled), params
-
-
-def transform_new_data(df: DataFrame, params: list) -> DataFrame:
-    """Apply a fitted scaler to new rows (the fitted state is reused, not re-fitted)."""
-    return X.apply_standard_scaler(df, params)
-
-
-def create_features_generic(df: DataFrame) -> DataFrame:
-    """The same feature families on a customer table (used by the registered query)."""
-    f = X.labelled_bins(df, "c_acctbal", [-1000, 0, 2500, 5000, 10000], ["Negative", "Low", "Mid", "High"], "Balance_Group")
-    f = f.withColumn("Balance_Ratio", F.try_divide(F.col("c_acctbal"), F.lit(1000.0)))
-    f = X.one_hot(f, "Balance_Group", "Balance_Group", ["Negative", "Low", "Mid", "High"])
-    f = X.label_encode(f, "n_name", "Nation_Encoded")
-    f = X.target_encode(f, "n_name", "positive_balance", "Nation_Target_Encoded")
-    f = X.frequency_encode(f, "n_name", "Nation_Frequency")
-    f = X.polynomial_features(f, ["c_acctbal", "Balance_Ratio"], 2)
-    f = X.equal_width_bins(f, "c_acctbal", 5, "Balance_Bin_5")
-    f = X.quantile_bins(f, "c_acctbal", 4, "Balance_Quartiles")
-    f = X.group_stats(f, "n_name", {"Nation_Avg_Balance": F.avg("c_acctbal")})
-    scaled, _ = X.standard_scale(f, [c for c in X.default_scale_columns(f, exclude_prefix="Nation_", id_col="c_custkey")])
-    return scaled
+    return X.coerce_types(f, categorical=["State", "Gender"], numeric=["Age", "Years_of_Experience"], numeric_type="bigint")
+
+
+def create_survey_features(df: DataFrame) -> tuple[DataFrame, PipelineModel]:
+    """The feature table and the fitted pipeline that made it."""
+    rows = cut_lineage(survey_types(df))
+    model = Pipeline(stages=survey_feature_stages()).fit(rows)
+    return cut_lineage(model.transform(rows)), model
+
+
+def transform_new_data(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Features of new rows from what was learned on the training rows: nothing is fitted again."""
+    return model.transform(survey_types(df))
+
+
+def customer_feature_stages() -> list:
+    """The same feature families on a customer table (used by the registered queries)."""
+    return [
+        FT.derived({"Balance_Group": FT.label_sql("c_acctbal", [-1000, 0, 2500, 5000, 10000], ["Negative", "Low", "Mid", "High"]),
+                    "Balance_Ratio": "try_divide(c_acctbal, 1000.0D)"}),
+        FT.derived(FT.dummy_sql("Balance_Group", "Balance_Group", ["Negative", "Low", "Mid", "High"])),
+        FT.LevelCodes(inputCol="n_name", outputCol="Nation_Encoded"),
+        FT.LevelStats(inputCol="n_name", outputCols=["Nation_Target_Encoded", "Nation_Frequency", "Nation_Avg_Balance"],
+                      statistics=["mean", "count", "mean"], valueCols=["positive_balance", "", "c_acctbal"], unseen=["overall", "zero", "null"]),
+        FT.derived({**FT.polynomial_sql(["c_acctbal", "Balance_Ratio"], 2), "Balance_Deviation": "c_acctbal - Nation_Avg_Balance"}),
+        FT.BinCodes(inputCol="c_acctbal", outputCol="Balance_Bin_5", bins=5),
+        FT.BinCodes(inputCol="c_acctbal", outputCol="Balance_Quartiles", bins=4, method="quantile"),
+        FT.ScaleColumns(inputCols=["c_acctbal", "Balance_Ratio", "c_acctbal^2", "Nation_Avg_Balance", "Balance_Deviation"])]
 
 
 def numeric_feature_columns(df: DataFrame) -> list[str]:

@@ -29,15 +29,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
              with_order: bool = False) -> DataFrame:
     """CSV scan with header.  A missing path raises Spark's ``PATH_NOT_FOUND`` at analysis.
 
-    ``with_order`` adds a file-order key ``(_file, _offset-in-file)`` rendered as a
-    single sortable long, needed by "keep first" / "first appearance" semantics.
-    Within one file the monotonically increasing id preserves read order.
+    ``with_order`` adds a file-order key, a struct of file, block start and a number that rises with the rows of a block,
+    needed by "keep first" / "first appearance" semantics.  A block is read by one task from its start, so the key orders
+    rows by file name and place whatever the scan's partitions are.
     """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     if with_order:
-        df = df.withColumn(ORDER_COL, F.monotonically_increasing_id())
+        df = df.withColumn(ORDER_COL, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                               F.monotonically_increasing_id().alias("row")))
     return df
 
 

@@ -16,14 +16,13 @@ def features(spark):
     raw = SV.load_and_validate(spark, SURVEY_CSV)
     cleaned = SV.clean_survey(raw, outliers=False).withColumn("is_outlier", F.lit(False))
     assert len(cleaned.columns) == 13
-    feat, params = SV.create_survey_features(cleaned)
-    return feat, params
+    return SV.create_survey_features(cleaned)
 
 
 def test_column_counts(features):
-    feat, params = features
+    feat, model = features
     assert len(feat.columns) == 115
-    assert len(params) == 37
+    assert len(model.stages[-1].getOrDefault("inputCols")) == 37
     cands = SEL.candidate_features(feat, SV.TARGET, SV.SELECTION_EXCLUDE)
     assert len(cands) == 88
     vt = SEL.variance_threshold(SEL.median_impute(feat, cands), cands)
