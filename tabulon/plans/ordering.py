@@ -135,35 +135,45 @@ _FEW, _GRID = 200_000, 64
 _GROUPS = 2_000
 
 
+def _sql(value) -> str:
+    """A number of the state as a SQL literal."""
+    if value is None:
+        return "CAST(NULL AS DOUBLE)"
+    return f"{value}L" if isinstance(value, int) else f"CAST('{value!r}' AS DOUBLE)"
+
+
 class _Brackets:
     """Bounds ``lo<j>_<i>``, ``hi<j>_<i>`` around rank i of column j, for each group: one row a group, or plain numbers
-    where there are no groups."""
+    where there are no groups.  Expressions are SQL text; ``ref`` gives the text of a value of the state."""
 
     def __init__(self, src: DataFrame, by: list[str]):
-        self.src, self.by, self.values, self.table = src, by, {}, None
+        self.src, self.by, self.values, self.table, self.few = src, by, {}, None, True
+        self.keys = [f"`{b}`" for b in by]
 
-    def col(self, name: str) -> Column:
-        return F.col(name) if self.by else F.lit(self.values[name])
+    def ref(self, name: str) -> str:
+        return name if self.by else _sql(self.values[name])
 
     def rows(self) -> DataFrame:
         return self.src.join(self.table, self.by) if self.by and self.table is not None else self.src
 
-    def step(self, aggs: dict[str, Column], outs: dict[str, Column]) -> None:
+    def step(self, aggs: dict[str, str], outs: dict[str, str]) -> None:
         """Aggregate the rows beside their brackets, then set values from the aggregates and the former values."""
-        one = self.rows().groupBy(*self.by).agg(*[e.alias(n) for n, e in aggs.items()])
+        one = self.rows().groupBy(*self.by).agg(*[F.expr(e).alias(n) for n, e in aggs.items()])
+        made = [f"{e} AS {n}" for n, e in outs.items()]
         if not self.by:
-            self.values |= one.select(*[e.alias(n) for n, e in outs.items()]).first().asDict()
+            self.values |= one.selectExpr(*made).first().asDict()
             return
-        old = [c for c in (self.table.columns if self.table is not None else []) if c not in self.by and c not in outs]
+        held = [] if self.table is None else [c for c in self.table.columns if c not in self.by and c not in aggs]
         joined = one if self.table is None else one.join(self.table.drop(*aggs), self.by)
-        self.table = cut_lineage(joined.select(*self.by, *[F.col(c) for c in old], *[e.alias(n) for n, e in outs.items()]))
-        if self.table.count() <= _GROUPS:
+        self.table = cut_lineage(joined.selectExpr(*self.keys, *[c for c in held if c not in outs], *made))
+        self.few = self.table.count() <= _GROUPS
+        if self.few:
             self.table = F.broadcast(self.table)
 
-    def any(self, conditions: list[Column]) -> bool:
-        worst = F.greatest(F.lit(0), *[F.coalesce(c.cast("int"), F.lit(0)) for c in conditions])
-        df = self.table if self.by else self.src.sparkSession.range(1)
-        return bool(df.agg(F.max(worst)).first()[0]) if self.by else bool(df.select(worst).first()[0])
+    def most(self, name: str) -> int:
+        if not self.by:
+            return self.values[name]
+        return self.table.agg(F.max(name)).first()[0] or 0
 
 
 def quantiles_of(df: DataFrame, cols: Sequence[str | Column], probs: Sequence[float], by: Sequence[str] = (),
@@ -176,88 +186,95 @@ def quantiles_of(df: DataFrame, cols: Sequence[str | Column], probs: Sequence[fl
 
     Multi-round selection.  A mergeable sketch brackets every wanted rank.  Then each round counts, by conditional sums in
     one aggregate, the rows below and inside each bracket; a bracket that misses its rank is widened, one that holds more
-    than ``_FEW`` rows is narrowed by a second sketch of what is inside.  At the end only the rows inside brackets, a few
-    ten-thousandths at most, are grouped by value and ranked.  No copy of a column is sorted or shuffled.
+    than ``_FEW`` rows is narrowed by a second sketch of what is inside.  A bracket of one value is an answer.  At the end
+    only the rows inside the other brackets, a few ten-thousandths at most, are grouped by value and ranked.  No copy of a
+    column is sorted or shuffled.
     """
     names = list(names) if names else [f"q{int(round(p * 1000)):03d}" for p in probs]
     variables = list(variables or cols)   # a column given as an expression needs a name
     cols = [F.col(f"`{c}`") if isinstance(c, str) else c for c in cols]
     by, probs = list(by), [float(p) for p in probs]
-    values = [F.col(f"_v{j}") for j in range(len(cols))]
     src = df
     for b in by:
         src = src.where(F.col(f"`{b}`").isNotNull())
     src = src.select(*[F.col(f"`{b}`") for b in by], *[c.cast("double").alias(f"_v{j}") for j, c in enumerate(cols)])
-    src = src.withColumns({f"_v{j}": F.when(~F.isnan(v), v) for j, v in enumerate(values)})
+    src = src.selectExpr(*[f"`{b}`" for b in by], *[f"CASE WHEN NOT isnan(_v{j}) THEN _v{j} END AS _v{j}" for j in range(len(cols))])
     state = _Brackets(src, by)
+    ref = state.ref
     pairs = [(j, i) for j in range(len(cols)) for i in range(len(probs))]
     near = 4.0 / _ACCURACY
-    wide = [x for p in probs for x in (max(0.0, p - near), min(1.0, p + near))]
+    wide = ", ".join(f"{x!r}D" for p in probs for x in (max(0.0, p - near), min(1.0, p + near)))
     aggs, outs = {}, {}
-    for j, v in enumerate(values):
-        aggs |= {f"n{j}": F.count(v), f"b{j}": F.percentile_approx(v, wide, _ACCURACY), f"mn{j}": F.min(v), f"mx{j}": F.max(v)}
-        outs |= {f"{s}{j}": F.col(f"{s}{j}") for s in ("n", "mn", "mx")}
+    for j in range(len(cols)):
+        aggs |= {f"n{j}": f"count(_v{j})", f"b{j}": f"percentile_approx(_v{j}, array({wide}), {_ACCURACY})", f"mn{j}": f"min(_v{j})", f"mx{j}": f"max(_v{j})"}
+        outs |= {f"{s}{j}": f"{s}{j}" for s in ("n", "mn", "mx")}
     for j, i in pairs:
         # a group so small that the bracket's width in ranks would not cover the sketch's error has one bracket, of all values
-        few, p = F.col(f"n{j}") < _ACCURACY, probs[i]
-        nothing = F.lit(None).cast("double")
-        lo = F.col(f"mn{j}") if p <= near else F.col(f"b{j}")[2 * i]
-        hi = F.col(f"mx{j}") if p >= 1 - near else F.col(f"b{j}")[2 * i + 1]
-        outs[f"lo{j}_{i}"] = F.when(few, nothing if i else F.col(f"mn{j}")).otherwise(lo)
-        outs[f"hi{j}_{i}"] = F.when(few, nothing if i else F.col(f"mx{j}")).otherwise(hi)
+        lo = f"mn{j}" if probs[i] <= near else f"b{j}[{2 * i}]"
+        hi = f"mx{j}" if probs[i] >= 1 - near else f"b{j}[{2 * i + 1}]"
+        small = "CAST(NULL AS DOUBLE)"
+        outs[f"lo{j}_{i}"] = f"CASE WHEN n{j} < {_ACCURACY} THEN {small if i else f'mn{j}'} ELSE {lo} END"
+        outs[f"hi{j}_{i}"] = f"CASE WHEN n{j} < {_ACCURACY} THEN {small if i else f'mx{j}'} ELSE {hi} END"
     state.step(aggs, outs)
 
-    def rank(j, i, up):
-        h = (state.col(f"n{j}") - 1) * F.lit(probs[i])
-        return (F.ceil(h) if up else F.floor(h)) - state.col(f"c{j}_{i}")
-
-    inside = lambda j, i: (values[j] >= state.col(f"lo{j}_{i}")) & (values[j] <= state.col(f"hi{j}_{i}"))
-    live = lambda j, i: state.col(f"lo{j}_{i}").isNotNull()
-    missed = lambda j, i: (live(j, i) & (rank(j, i, False) < 0), live(j, i) & (rank(j, i, True) >= state.col(f"k{j}_{i}")))
-    crowded = lambda j, i: (state.col(f"n{j}") >= _ACCURACY) & (state.col(f"k{j}_{i}") > _FEW) & (state.col(f"lo{j}_{i}") < state.col(f"hi{j}_{i}"))
+    # rank of the value below and above the wanted position; all columns of the state but the fresh counts through ``ref``
+    rank = lambda j, i, end: f"{end}(({ref(f'n{j}')} - 1) * {probs[i]!r}D)"
+    inside = lambda j, i: f"_v{j} >= {ref(f'lo{j}_{i}')} AND _v{j} <= {ref(f'hi{j}_{i}')}"
     for narrowed in range(9):   # each narrowing divides a bracket by ten at least, unless few values hold its rows
-        state.step({f"c{j}_{i}": F.sum(F.when(values[j] < state.col(f"lo{j}_{i}"), 1).otherwise(0)) for j, i in pairs}
-                   | {f"k{j}_{i}": F.sum(F.when(inside(j, i), 1).otherwise(0)) for j, i in pairs},
-                   {f"{s}{j}_{i}": F.col(f"{s}{j}_{i}") for j, i in pairs for s in "ck"})
-        lost = [m for j, i in pairs for m in missed(j, i)]
-        if not state.any([*lost, *([crowded(j, i) for j, i in pairs] if narrowed < 8 else [])]):
+        aggs, outs, flags = {}, {}, []
+        for j, i in pairs:
+            lo, hi, c, k = ref(f"lo{j}_{i}"), ref(f"hi{j}_{i}"), f"c{j}_{i}", f"k{j}_{i}"
+            aggs |= {c: f"count_if(_v{j} < {lo})", k: f"count_if({inside(j, i)})"}
+            missed = f"({lo} IS NOT NULL AND ({rank(j, i, 'floor')} < {c} OR {rank(j, i, 'ceil')} >= {c} + {k}))"
+            crowded = f"({ref(f'n{j}')} >= {_ACCURACY} AND {k} > {_FEW} AND {lo} < {hi} AND {narrowed} < 8)"
+            outs |= {c: c, k: k, f"todo{j}_{i}": f"CASE WHEN {missed} THEN 2 WHEN {crowded} THEN 1 ELSE 0 END"}
+            flags.append(outs[f"todo{j}_{i}"])
+        state.step(aggs, outs | {"todo": f"greatest(0, {', '.join(flags)})"})
+        if not state.most("todo"):
             break
-        aggs = {f"g{j}_{i}": F.percentile_approx(F.when(inside(j, i), values[j]), [x / _GRID for x in range(_GRID + 1)], _ACCURACY)
-                for j, i in pairs}
-        outs = {}
+        aggs, outs, grid = {}, {}, ", ".join(f"{x / _GRID!r}D" for x in range(_GRID + 1))
         for j, i in pairs:
-            lo, hi, k, g = state.col(f"lo{j}_{i}"), state.col(f"hi{j}_{i}"), state.col(f"k{j}_{i}"), F.col(f"g{j}_{i}")
-            a = (F.floor(rank(j, i, False) / k * _GRID) - 1).cast("int")
-            b = (F.ceil((rank(j, i, True) + 1) / k * _GRID) + 1).cast("int")
-            low, high = missed(j, i)
-            outs[f"lo{j}_{i}"] = F.when(low | high, state.col(f"mn{j}")).when(crowded(j, i) & (a > 0), F.get(g, a)).otherwise(lo)
-            outs[f"hi{j}_{i}"] = F.when(low | high, state.col(f"mx{j}")).when(crowded(j, i) & (b < _GRID), F.get(g, b)).otherwise(hi)
+            if not by and not state.values[f"todo{j}_{i}"]:
+                continue
+            lo, hi, c, k, todo = (ref(f"{x}{j}_{i}") for x in ("lo", "hi", "c", "k", "todo"))
+            aggs[f"g{j}_{i}"] = f"percentile_approx(CASE WHEN {inside(j, i)} THEN _v{j} END, array({grid}), {_ACCURACY})"
+            a = f"CAST(floor(({rank(j, i, 'floor')} - {c}) / {k} * {_GRID}) - 1 AS INT)"
+            b = f"CAST(ceil(({rank(j, i, 'ceil')} - {c} + 1) / {k} * {_GRID}) + 1 AS INT)"
+            outs[f"lo{j}_{i}"] = f"CASE WHEN {todo} = 2 THEN {ref(f'mn{j}')} WHEN {todo} = 1 AND {a} > 0 THEN get(g{j}_{i}, {a}) ELSE {lo} END"
+            outs[f"hi{j}_{i}"] = f"CASE WHEN {todo} = 2 THEN {ref(f'mx{j}')} WHEN {todo} = 1 AND {b} < {_GRID} THEN get(g{j}_{i}, {b}) ELSE {hi} END"
         state.step(aggs, outs)
 
-    # rows inside brackets, by column, bracket and value
-    held = lambda j, i: F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.when(inside(j, i), values[j]).alias("x"))
-    close = inside(*pairs[0])
-    for j, i in pairs[1:]:
-        close = F.coalesce(close, F.lit(False)) | F.coalesce(inside(j, i), F.lit(False))
-    recs = state.rows().where(close).select(*by, F.explode(F.filter(F.array(*[held(j, i) for j, i in pairs]),
-                                                                   lambda r: r["x"].isNotNull())).alias("r"))
-    seen = recs.groupBy(*by, "r.j", "r.i", "r.x").agg(F.count(F.lit(1)).alias("w"))
-    seen = seen.withColumn("upto", F.sum("w").over(Window.partitionBy(*by, "j", "i").orderBy("x")))
-    shared = lambda j, i: F.when(state.col(f"n{j}") < _ACCURACY, F.lit(0)).otherwise(F.lit(i))
-    wanted = [F.struct(F.lit(j).alias("j"), F.lit(i).alias("want"), shared(j, i).alias("i"), state.col(f"n{j}").alias("n"),
-                       F.when(shared(j, i) == i, state.col(f"c{j}_{i}")).otherwise(state.col(f"c{j}_0")).alias("c"),
-                       F.lit(probs[i]).alias("p")) for j, i in pairs]
-    base = state.table if by else src.sparkSession.range(1)
-    base = base.select(*by, F.explode(F.array(*wanted)).alias("r")).select(*by, "r.*")
+    # what is wanted of each column (j, want), the bracket i that holds it, the rows below it, and its only value
+    shared = lambda j, i: f"CASE WHEN {ref(f'n{j}')} < {_ACCURACY} THEN 0 ELSE {i} END"
+    wanted = []
+    for j, i in pairs:
+        own = f"{ref(f'n{j}')} < {_ACCURACY}"
+        of = lambda s: f"CASE WHEN {own} THEN {ref(f'{s}{j}_0')} ELSE {ref(f'{s}{j}_{i}')} END"  # noqa: E731, B023
+        wanted.append(f"struct({j} AS j, {i} AS want, {shared(j, i)} AS i, {ref(f'n{j}')} AS n, {of('c')} AS c, {of('lo')} AS lo, {of('hi')} AS hi, {probs[i]!r}D AS p)")
+    base = (state.table if by else src.sparkSession.range(1)).selectExpr(*state.keys, f"inline(array({', '.join(wanted)}))")
     if by:
         base = base.where("n > 0")
-    h = (F.col("n") - 1) * F.col("p")
-    place = lambda at: F.max(F.when((F.col("upto") - F.col("w") <= at - F.col("c")) & (at - F.col("c") < F.col("upto")), F.col("x")))
-    found = (seen.join(base, [*by, "j", "i"]).groupBy(*by, "j", "want")
-             .agg(place(F.floor(h)).alias("lo"), place(F.ceil(h)).alias("hi"), F.max(h - F.floor(h)).alias("f")))
-    value = F.when(F.col("f") > 0, F.col("lo") + F.col("f") * (F.col("hi") - F.col("lo"))).otherwise(F.col("lo"))
-    wide_form = found.groupBy(*by, "j").agg(*[F.max(F.when(F.col("want") == i, value)).alias(f"_q{i}") for i in range(len(probs))])
-    out = base.where("want = 0").select(*by, "j").join(wide_form, [*by, "j"], "left")
+    base = base.withColumn("only", F.expr("CASE WHEN lo = hi THEN lo END"))
+    # rows inside open brackets, by column, bracket and value: long form joined to the brackets of its column, so that the
+    # plan's expressions don't grow with the number of brackets
+    touched = sorted({j for j, i in pairs if by or (state.values[f"lo{j}_{i}"] is not None and state.values[f"lo{j}_{i}"] < state.values[f"hi{j}_{i}"])})
+    if touched:
+        brackets = base.where("want = i AND lo < hi").select(*by, "j", "i", "lo", "hi")
+        if not by or state.few:
+            brackets = F.broadcast(brackets)
+        long = src.selectExpr(*state.keys, f"inline(array({', '.join(f'struct({j} AS j, _v{j} AS x)' for j in touched)}))").where("x IS NOT NULL")
+        close = long.join(brackets, [*by, "j"]).where("x >= lo AND x <= hi")
+        seen = close.groupBy(*by, "j", "i", "x").agg(F.count(F.lit(1)).alias("w"))
+        seen = seen.withColumn("upto", F.sum("w").over(Window.partitionBy(*by, "j", "i").orderBy("x")))
+        joined = base.join(seen, [*by, "j", "i"], "left")
+    else:
+        joined = base.withColumns({"x": F.lit(None).cast("double"), "w": F.lit(0), "upto": F.lit(0)})
+    place = lambda end: f"max(CASE WHEN upto - w <= {end}((n - 1) * p) - c AND {end}((n - 1) * p) - c < upto THEN x END)"
+    found = joined.groupBy(*by, "j", "want").agg(
+        F.expr(f"coalesce(max(only), {place('floor')})").alias("lo"), F.expr(f"coalesce(max(only), {place('ceil')})").alias("hi"),
+        F.expr("max((n - 1) * p - floor((n - 1) * p))").alias("f"))
+    value = "CASE WHEN f > 0 THEN lo + f * (hi - lo) ELSE lo END"
+    out = found.groupBy(*by, "j").agg(*[F.expr(f"max(CASE WHEN want = {i} THEN {value} END)").alias(f"_q{i}") for i in range(len(names))])
     name = F.element_at(F.array(*[F.lit(x) for x in variables]), F.col("j") + 1).alias("variable")
     return out.select(*by, name, *[F.col(f"_q{i}").alias(n) for i, n in enumerate(names)])
 
