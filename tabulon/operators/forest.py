@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.operators.fitted import TableModel
-from tabulon.session import by_key, cut_lineage
+from tabulon.session import by_key, cut_lineage, shuffle_partitions
 
 BINS = 128
 #: Rows of a node that one task may hold; each takes ``d + 5`` bytes.
@@ -39,6 +39,8 @@ LOCAL_ROWS = 100_000
 MODEL_BYTES = 64 << 20
 #: Rows that a task packs at once.
 _PACK = 200_000
+#: Cells that a level's counts may take as plain arrays; beyond it only occupied cells are counted.
+_DENSE = 1 << 20
 #: Poisson(1) distribution function: how often a row is drawn for a tree.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 _TREES = "fit int, tree int, feature binary, cut binary, child binary, value binary, gain array<double>"
@@ -47,7 +49,8 @@ _TREES = "fit int, tree int, feature binary, cut binary, child binary, value bin
 @dataclass(frozen=True)
 class ForestSpec:
     """One forest: ``depth`` None grows until leaves are pure; ``extra`` draws one random threshold a feature instead of
-    searching the best; ``without_fold`` leaves that fold's rows out."""
+    searching the best; ``without_fold`` leaves that fold's rows out; ``features`` are the places of the columns it may use
+    (its trees number them from 0)."""
 
     trees: int = 100
     depth: int | None = None
@@ -58,6 +61,14 @@ class ForestSpec:
     bootstrap: bool = True
     seed: int = 42
     without_fold: int | None = None
+    features: tuple[int, ...] | None = None
+
+    def columns(self, x: np.ndarray) -> np.ndarray:
+        """The columns that this forest sees (``features``, or all)."""
+        return x if self.features is None else x[:, list(self.features)]
+
+    def width(self, d: int) -> int:
+        return d if self.features is None else len(self.features)
 
     def candidates(self, d: int) -> int:
         return {"sqrt": max(1, int(math.sqrt(d))), "log2": max(1, int(math.log2(d))), None: d}[self.max_features]
@@ -145,9 +156,14 @@ def _split(x, node, w, wy, total, total_y, path, spec, d):
         near = order[:, slots]
         bins = x[rows[:, None], near[node[rows]]]
         code = ((node[rows, None].astype(np.int64) * len(slots) + np.arange(len(slots))) * 256 + bins).ravel()
-        cells, back = np.unique(code, return_inverse=True)
-        cw = np.bincount(back, np.repeat(w[rows], len(slots)), len(cells))
-        cy = np.bincount(back, np.repeat(wy[rows], len(slots)), len(cells))
+        many, many_y = np.repeat(w[rows], len(slots)), np.repeat(wy[rows], len(slots))
+        if (space := len(total) * len(slots) * 256) <= _DENSE:
+            cw, cy = np.bincount(code, many, space), np.bincount(code, many_y, space)
+            cells = np.flatnonzero(cw)
+            cw, cy = cw[cells], cy[cells]
+        else:   # deep levels: many nodes, few rows in each
+            cells, back = np.unique(code, return_inverse=True)
+            cw, cy = np.bincount(back, many, len(cells)), np.bincount(back, many_y, len(cells))
         n, s, b = cells // (256 * len(slots)), cells // 256 % len(slots), cells % 256
         slot, c, a, y = _best(n, s, b, cw, cy, total, total_y, path, near, spec)
         got = (slot >= 0) & todo
@@ -280,14 +296,15 @@ def grow_forests(rows: DataFrame, specs: Sequence[ForestSpec], d: int, local_row
         for keys, fold, y, x in _blocks(batches, d):
             out, size = [], 0
             for fit, spec in enumerate(specs):
+                own = spec.columns(x)
                 for tree in range(spec.trees):
                     w = _weights(spec, tree, keys)
                     mine = np.flatnonzero((w > 0) & (fold != spec.without_fold if spec.without_fold is not None else True))
                     top = tops.get((fit, tree))
-                    leaf = _walk(top, x[mine]) if top else np.zeros(len(mine), np.int64)
+                    leaf = _walk(top, own[mine]) if top else np.zeros(len(mine), np.int64)
                     for node in np.unique(leaf):
                         at = mine[leaf == node] if top else mine
-                        out.append((fit, tree, int(node), x[at].tobytes(), y[at].astype(np.uint8).tobytes(), w[at].tobytes()))
+                        out.append((fit, tree, int(node), own[at].tobytes(), y[at].astype(np.uint8).tobytes(), w[at].tobytes()))
                         size += len(at) * (d + 2)
                     if size > 32 << 20:
                         yield pa.RecordBatch.from_pylist([dict(zip(("fit", "tree", "node", "x", "y", "w"), r, strict=True)) for r in out], _DEALT)
@@ -298,7 +315,7 @@ def grow_forests(rows: DataFrame, specs: Sequence[ForestSpec], d: int, local_row
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         fit, tree, node = (int(pdf[c].iloc[0]) for c in ("fit", "tree", "node"))
         top = shared.value.get((fit, tree))
-        x = np.frombuffer(b"".join(pdf["x"]), np.uint8).reshape(-1, d)
+        x = np.frombuffer(b"".join(pdf["x"]), np.uint8).reshape(-1, specs[fit].width(d))
         y, w = (np.frombuffer(b"".join(pdf[c]), np.uint8) for c in ("y", "w"))
         path, depth = (top[4][node], int(top[5][node])) if top else (_root(specs[fit], tree), 0)
         sub = grow_subtree(x, y, w, np.uint64(path), depth, specs[fit])
@@ -306,8 +323,10 @@ def grow_forests(rows: DataFrame, specs: Sequence[ForestSpec], d: int, local_row
                             columns=["fit", "tree", "node", "feature", "cut", "child", "value", "gain"])
 
     schema = _TREES.replace("tree int,", "tree int, node int,")
-    parts = (rows.mapInArrow(deal, "fit int, tree int, node int, x binary, y binary, w binary").groupBy("fit", "tree", "node")
-             .applyInPandas(finish, schema))
+    dealt = rows.mapInArrow(deal, "fit int, tree int, node int, x binary, y binary, w binary")
+    # a fixed number of tasks: a subtree is much work for few bytes, and adaptive coalescing goes by bytes
+    tasks = 4 * shuffle_partitions(rows.sparkSession)
+    parts = dealt.repartition(tasks, "fit", "tree", "node").groupBy("fit", "tree", "node").applyInPandas(finish, schema)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         """A tree of its top and the subtrees below the top's leaves."""
@@ -340,7 +359,7 @@ def _grow_top(rows: DataFrame, specs: list[ForestSpec], d: int, local_rows: int)
     """
     if rows.count() <= local_rows:
         return {}
-    tops = {(fit, tree): ([-1], [0], [-1], [0.0], [_root(spec, tree)], [0], np.zeros(d)) for fit, spec in enumerate(specs) for tree in range(spec.trees)}
+    tops = {(fit, tree): ([-1], [0], [-1], [0.0], [_root(spec, tree)], [0], np.zeros(spec.width(d))) for fit, spec in enumerate(specs) for tree in range(spec.trees)}
     wanted = {k: [0] for k in tops}
     while wanted:
         shared = rows.sparkSession.sparkContext.broadcast(({k: tuple(np.array(a) for a in t[:3]) for k, t in tops.items()}, wanted))
@@ -352,11 +371,13 @@ def _grow_top(rows: DataFrame, specs: list[ForestSpec], d: int, local_rows: int)
                     spec = specs[fit]
                     w = _weights(spec, tree, keys)
                     w = np.where(fold != spec.without_fold, w, 0) if spec.without_fold is not None else w
-                    leaf = _walk(tops[fit, tree], x)
+                    own = spec.columns(x)
+                    width = own.shape[1]
+                    leaf = _walk(tops[fit, tree], own)
                     for node in nodes:
                         at = np.flatnonzero((leaf == node) & (w > 0))
-                        code = (np.arange(d) * 256 + x[at]).ravel()
-                        both = [np.bincount(code, np.repeat(v, d), d * 256) for v in (w[at].astype(float), w[at] * y[at].astype(float))]
+                        code = (np.arange(width) * 256 + own[at]).ravel()
+                        both = [np.bincount(code, np.repeat(v, width), width * 256) for v in (w[at].astype(float), w[at] * y[at].astype(float))]
                         met = np.flatnonzero(both[0])
                         n = len(met)
                         yield pa.RecordBatch.from_arrays(
@@ -371,10 +392,10 @@ def _grow_top(rows: DataFrame, specs: list[ForestSpec], d: int, local_rows: int)
             cell, w, wy = (pdf[c].to_numpy() for c in ("cell", "w", "wy"))
             own = cell // 256 == cell[0] // 256
             total, total_y = np.array([w[own].sum()]), np.array([wy[own].sum()])
-            order, m = _order(path, d), spec.candidates(d)
+            order, m = _order(path, spec.width(d)), spec.candidates(spec.width(d))
             slot_of = np.argsort(order[0])
             best = (-1, 0, 0.0, 0.0)
-            for slots in (range(m), range(m, d)):
+            for slots in (range(m), range(m, spec.width(d))):
                 slot = slot_of[cell // 256] - slots.start
                 mine = np.flatnonzero((slot >= 0) & (slot < len(slots)))
                 mine = mine[np.lexsort((cell[mine] % 256, slot[mine]))]
@@ -428,16 +449,17 @@ def _chunks(trees: DataFrame) -> Iterator[list]:
 
 
 def held_out_sums(rows: DataFrame, trees: DataFrame, specs: Sequence[ForestSpec], d: int) -> DataFrame:
-    """``fit, key, y, p``: mean share of label 1 over a forest's trees for every row of the fold that it was grown without."""
+    """``fit, key, y, p, rows``: mean share of label 1 over a forest's trees for every row of the fold that it was grown
+    without.  Rows that share a key and a label (equal rows, where the key is a hash of the row) are one row with its count."""
     specs, out = list(specs), None
-    for chunk in _chunks(trees):
+    for number, chunk in enumerate(_chunks(trees)):
         shared = rows.sparkSession.sparkContext.broadcast(chunk)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for keys, fold, y, x in _blocks(batches, d):
                 for fit in sorted({t[0] for t in shared.value}):  # noqa: B023
                     at = np.flatnonzero(fold == specs[fit].without_fold)
-                    part = np.ascontiguousarray(x[at])
+                    part = np.ascontiguousarray(specs[fit].columns(x)[at])
                     s = np.zeros(len(at))
                     for t in shared.value:  # noqa: B023
                         if t[0] == fit:
@@ -445,10 +467,17 @@ def held_out_sums(rows: DataFrame, trees: DataFrame, specs: Sequence[ForestSpec]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), fit), pa.int32()), pa.array(keys[at]), pa.array(y[at], pa.int32()), pa.array(s)],
                                                      ["fit", "key", "y", "s"])
 
-        part = rows.mapInArrow(score, "fit int, key long, y int, s double")
+        part = rows.mapInArrow(score, "fit int, key long, y int, s double").withColumn("chunk", F.lit(number))
         out = part if out is None else out.unionByName(part)
     n = F.element_at(F.array(*[F.lit(s.trees) for s in specs]), F.col("fit") + 1)
-    return out.groupBy("fit", "key").agg(F.max("y").alias("y"), F.sum("s").alias("s")).select("fit", "key", "y", (F.col("s") / n).alias("p"))
+    each = out.groupBy("fit", "key", "y", "chunk").agg(F.avg("s").alias("s"), F.count(F.lit(1)).alias("rows"))
+    return each.groupBy("fit", "key", "y").agg((F.sum("s") / F.first(n)).alias("p"), F.max("rows").alias("rows"))
+
+
+def fold_accuracy(held: DataFrame) -> dict[int, float]:
+    """Accuracy of each forest of ``held_out_sums`` on the rows that it was grown without."""
+    right = ((F.col("p") > 0.5).cast("int") == F.col("y")).cast("long") * F.col("rows")
+    return {r["fit"]: r["a"] for r in held.groupBy("fit").agg((F.sum(right) / F.sum("rows")).alias("a")).collect()}
 
 
 def importances(trees: DataFrame, names: Sequence[str]) -> DataFrame:

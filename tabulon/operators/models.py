@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,11 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.operators import forest as FO
+from tabulon.operators.search import search_forest
 from tabulon.plans.ordering import running_totals
 from tabulon.session import by_key, cut_lineage
 
@@ -94,10 +96,10 @@ def logistic_regression(n_rows: int, max_iter: int = 1000, c: float = 1.0) -> Lo
                               regParam=1.0 / (c * max(n_rows, 1)), elasticNetParam=0.0, standardization=False)
 
 
-def extra_trees(trees: int = 100, seed: int = 42, depth: int = 10) -> RandomForestClassifier:
-    """Re-aimed: no bootstrap, sqrt feature subsets (Spark has no random-threshold trees), ``depth`` levels at most."""
-    return RandomForestClassifier(featuresCol=FEATURES, labelCol="label", numTrees=trees, maxDepth=depth, bootstrap=False,
-                                  featureSubsetStrategy="sqrt", seed=seed)
+def extra_trees(trees: int = 100, seed: int = 42, depth: int | None = None) -> FO.Forest:
+    """Extremely randomised trees: no bootstrap, sqrt feature subsets, one random threshold a feature, grown until leaves are
+    pure (or ``depth`` levels)."""
+    return FO.Forest(FO.ForestSpec(trees=trees, depth=depth, extra=True, bootstrap=False, seed=seed))
 
 
 def rbf_svm_stages(n_features: int, components: int = 200, gamma: float | None = None, c: float = 1.0,
@@ -187,58 +189,62 @@ def fold_column(df: DataFrame, label: str, key: str, folds: int, seed: int = 42)
     return rt.withColumn("fold", ((F.col("_one_cum") - 1) % folds).cast("int")).drop("_h", "_one", "_one_cum", "_one_total")
 
 
-def stacking(train: DataFrame, test: DataFrame, base_factories: dict, key: str, folds: int = 5,
+def stacking(train: DataFrame, test: DataFrame, bases: dict, key: str, folds: int = 5,
              seed: int = 42) -> tuple[DataFrame, dict, object]:
     """Out-of-fold base probabilities → logistic-regression meta model; bases refit on all rows.
 
-    Returns (test scored with ``score``/``prediction``, refit base models, meta model).
+    A base is a ``ForestSpec``, or a function that makes an estimator.  All forests, those of every fold and those on all rows,
+    are grown together.  Returns (test scored with ``score``/``prediction``, refit base models, meta model).
     """
-    tf = fold_column(train, "label", key, folds, seed)
-    tf = by_key(tf, key)   # every fold fit reads this table
-    oof = None
-    for k in range(folds):
-        fit_part, hold = tf.where(F.col("fold") != k), tf.where(F.col("fold") == k)
-        cols = _member_probabilities({n: make().fit(fit_part) for n, make in base_factories.items()}, hold)
-        cols = cols.select(key, "label", *[f"p_{n}" for n in base_factories])
-        oof = cols if oof is None else oof.unionByName(cols)
-    names = [f"p_{n}" for n in base_factories]
-    meta_in = VectorAssembler(inputCols=names, outputCol="meta").transform(oof)
-    meta = LogisticRegression(featuresCol="meta", labelCol="label", maxIter=1000).fit(meta_in)
-    bases = {n: make().fit(train) for n, make in base_factories.items()}
-    scored = _member_probabilities(bases, test).select(key, "label", *names)
+    tf = by_key(fold_column(train, "label", key, folds, seed), key)   # every fit reads this table
+    forests = {n: b for n, b in bases.items() if isinstance(b, FO.ForestSpec)}
+    parts, models = [], {}
+    if forests:
+        wide, cols = FO.vector_columns(tf)
+        edges = FO.feature_edges(wide, cols)
+        rows = FO.binned_rows(wide, cols, edges, "label", key, "fold")
+        specs = [replace(s, without_fold=k) for s in forests.values() for k in (*range(folds), None)]
+        trees = FO.grow_forests(rows, specs, len(cols))
+        name = F.element_at(F.array(*[F.lit(n) for n in forests for _ in range(folds + 1)]), F.col("fit") + 1)
+        held = FO.held_out_sums(rows, trees.where((F.col("fit") + 1) % (folds + 1) != 0), specs, len(cols))
+        parts.append(held.select(F.col("key").alias(key), name.alias("base"), "p"))
+        models |= {n: FO.ForestModel.of(trees.where(F.col("fit") == i * (folds + 1) + folds), edges) for i, n in enumerate(forests)}
+    for n, make in bases.items():
+        if n not in forests:
+            for k in range(folds):
+                out = make().fit(tf.where(F.col("fold") != k)).transform(tf.where(F.col("fold") == k))
+                parts.append(out.select(key, F.lit(n).alias("base"), vector_to_array(F.col("probability"))[1].alias("p")))
+            models[n] = make().fit(train)
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    names = [f"p_{n}" for n in bases]
+    oof = long.groupBy(key).agg(*[F.max(F.when(F.col("base") == n, F.col("p"))).alias(f"p_{n}") for n in bases])
+    meta_in = VectorAssembler(inputCols=names, outputCol="meta").transform(oof.join(tf.select(key, "label"), key))
+    meta = LogisticRegression(featuresCol="meta", labelCol="label", maxIter=1000).fit(cut_lineage(meta_in.select("meta", "label")))
+    models = {n: models[n] for n in bases}
+    scored = _member_probabilities(models, test).select(key, "label", *names)
     out = meta.transform(VectorAssembler(inputCols=names, outputCol="meta").transform(scored))
-    out = positive_probability(out, "score")
-    return out.select(key, "label", "score", "prediction"), bases, meta
+    return positive_probability(out, "score").select(key, "label", "score", "prediction"), models, meta
 
 
 # ---------------------------------------------------------------- #92, #99
-# The random-forest search space (54 points); the least splits 2, 5 and 10 become least leaf sizes.
-RF_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 5],
-           "featureSubsetStrategy": ["sqrt", "log2"]}
+def tune_random_forest(train: DataFrame, folds: int = 3, seed: int = 42, fits: int = 30, key: str = "row_key",
+                       first: int = 10) -> tuple[DataFrame, FO.ForestModel]:
+    """Model-based search (``search.search_forest``) scored by k-fold accuracy, folds stratified by label.
 
-
-def tune_random_forest(train: DataFrame, folds: int = 3, seed: int = 42, draws: int | None = None,
-                       space: dict | None = None, key: str = "row_key"):
-    """Grid search (default 54 points) or a seeded random draw of it, scored by k-fold CV accuracy.
-
-    Every point is fitted and scored on all rows of ``train``; the folds are stratified by label and held in one
-    materialised table that all fits read.  Returns (cross-validation model, best model on all rows).  Fits run one after
-    another: each is a distributed job.
+    Returns the tried points (``point, trees, depth, min_split, min_leaf, max_features, cv_accuracy, model_based``) and the
+    best point's forest on all rows.
     """
-    rows = by_key(fold_column(train, "label", key, folds, seed), key)
-    rf = RandomForestClassifier(featuresCol=FEATURES, labelCol="label", seed=seed)
-    builder = ParamGridBuilder()
-    for name, values in (space or RF_GRID).items():
-        builder = builder.addGrid(getattr(rf, name), list(values))
-    grid = builder.build()
-    if draws is not None and draws < len(grid):
-        rng = np.random.default_rng(seed)
-        grid = [grid[i] for i in sorted(rng.choice(len(grid), size=draws, replace=False))]
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid,
-                        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
-                        numFolds=folds, seed=seed, parallelism=1, foldCol="fold")
-    model = cv.fit(rows)
-    return model, model.bestModel
+    tf = by_key(fold_column(train, "label", key, folds, seed), key)
+    wide, cols = FO.vector_columns(tf)
+    edges = FO.feature_edges(wide, cols)
+    rows = FO.binned_rows(wide, cols, edges, "label", key, "fold")
+    tried, best = search_forest(rows, len(cols), folds, fits, first, seed=seed)
+    model = FO.ForestModel.of(FO.grow_forests(rows, [best], len(cols)), edges)
+    table = [(i, *t["point"][:4], t["point"][4] or "all", t["score"], t["model_based"]) for i, t in enumerate(tried)]
+    return train.sparkSession.createDataFrame(table, "point long, trees long, depth long, min_split long, min_leaf long, max_features string, "
+                                                     "cv_accuracy double, model_based boolean"), model
 
 
 def cross_val_scores(estimator, data: DataFrame, folds: int = 3, seed: int = 42, key: str = "row_key") -> DataFrame:

@@ -1,8 +1,8 @@
 """Feature selection.
 
 Statistics-based selectors (variance, ANOVA F) are single aggregates over the
-feature table; model-based selectors fit ``pyspark.ml`` estimators, whose
-training is distributed.  Every selector returns a tidy
+feature table; model-based selectors grow forests in shared passes or follow a
+lasso path on cross-products.  Every selector returns a tidy
 ``(method, feature, score, selected)`` DataFrame; the vote is a grouped
 aggregate over their union.
 """
@@ -11,15 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from tabulon.operators import forest as FO
+from tabulon.operators.lasso import lasso_path
 from tabulon.operators.stats import anova
 from tabulon.plans.ordering import quantiles_of
 
@@ -91,91 +90,76 @@ def f_score_selection(df: DataFrame, cols: Sequence[str], target: str, k: int =
 
 
 # ---------------------------------------------------------------- #77, #78, #83
-def _importances(model, cols: Sequence[str]) -> list[tuple[str, float]]:
-    imp = model.featureImportances.toArray()
-    return [(c, float(imp[i])) for i, c in enumerate(cols)]
-
-
 def _scores_frame(spark, method: str, scores: list[tuple[str, float]], selected: set[str]) -> DataFrame:
     return spark.createDataFrame([(method, f, s, f in selected) for f, s in scores],
                                  "method string, feature string, score double, selected boolean")
 
 
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[_q(c) for c in df.columns])
+
+
+def _binned(df: DataFrame, cols: Sequence[str], target: str, fold: Column | None = None) -> DataFrame:
+    keyed = df.select("*", _row_hash(df).alias("_key"), (fold if fold is not None else F.lit(-1)).alias("_fold"))
+    return FO.binned_rows(keyed, cols, FO.feature_edges(keyed, cols), target, "_key", "_fold")
+
+
 def forest_importance(df: DataFrame, cols: Sequence[str], target: str, trees: int = 100, seed: int = 42,
-                      extra: bool = False, quantile: float | None = None, depth: int = 10) -> DataFrame:
-    """Random-forest impurity importance; keep features above the median (or the given quantile).
+                      extra: bool = False, quantile: float | None = None, depth: int | None = None) -> DataFrame:
+    """Random-forest impurity importance of fully grown trees; keep features above the median (or the given quantile).
 
-    ``extra=True`` is the re-aimed extra-trees variant: no bootstrap, all rows
-    per tree, sqrt feature subsets — Spark has no random-threshold trees, so
-    the importances approximate an extra-trees ranking.
+    ``extra=True`` are extremely randomised trees: no bootstrap, random thresholds, features above the third quartile.
     """
-    import numpy as np
-    data = assemble(df, cols, target)
-    rf = RandomForestClassifier(featuresCol=FEATURES, labelCol="label", numTrees=trees, maxDepth=depth, seed=seed,
-                                bootstrap=not extra, featureSubsetStrategy="sqrt")
-    model = rf.fit(data)
-    scores = _importances(model, cols)
+    spec = FO.ForestSpec(trees=trees, depth=depth, seed=seed, extra=extra, bootstrap=not extra)
+    grown = FO.grow_forests(_binned(df, cols, target), [spec], len(cols))
+    scores = sorted((r["feature"], r["importance"]) for r in FO.importances(grown, cols).collect())
     vals = np.array([s for _, s in scores])
     q = quantile if quantile is not None else (75.0 if extra else 50.0)
     cut = float(np.percentile(vals, q)) if len(vals) else 0.0
-    sel = {f for f, s in scores if s > cut}
-    return _scores_frame(df.sparkSession, "extra_trees" if extra else "random_forest", scores, sel)
+    return _scores_frame(df.sparkSession, "extra_trees" if extra else "random_forest", scores, {f for f, s in scores if s > cut})
 
 
 # ---------------------------------------------------------------- #79
-def lasso_selection(df: DataFrame, cols: Sequence[str], target: str, folds: int = 5, seed: int = 42,
-                    reg_params: Sequence[float] = (1e-4, 3e-4, 1e-3, 3e-3, 1e-2, 3e-2, 1e-1),
-                    tol: float = 1e-5) -> DataFrame:
-    """L1 linear regression of the 0/1 target, penalty chosen by k-fold CV; keep abs(coef) > tol."""
-    data = assemble(df, cols, target)
-    lr = LinearRegression(featuresCol=FEATURES, labelCol="label", elasticNetParam=1.0, standardization=True)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="mse"),
-                        numFolds=folds, seed=seed, parallelism=1)
-    best = cv.fit(data).bestModel
-    coefs = best.coefficients.toArray()
-    scores = [(c, float(abs(coefs[i]))) for i, c in enumerate(cols)]
+def lasso_selection(df: DataFrame, cols: Sequence[str], target: str, folds: int = 5, seed: int = 42, tol: float = 1e-5) -> DataFrame:
+    """L1 linear regression of the 0/1 target on features as they are, penalty of 100 chosen by k-fold error (rows are dealt to
+    folds by hash); keep abs(coef) > tol."""
+    path = lasso_path(df, cols, target, F.pmod(F.xxhash64(_row_hash(df), F.lit(seed)), F.lit(folds)))
+    scores = [(c, float(abs(w))) for c, w in zip(cols, path["coefficients"], strict=True)]
     return _scores_frame(df.sparkSession, "lasso", scores, {f for f, s in scores if s > tol})
 
 
 # ---------------------------------------------------------------- #80
 def recursive_elimination(df: DataFrame, cols: Sequence[str], target: str, min_features: int = 5, step: int = 1,
-                          folds: int = 3, trees: int = 50, seed: int = 42, depth: int = 10) -> DataFrame:
-    """Backward elimination by forest importance, scored by k-fold CV accuracy at every size.
+                          folds: int = 3, trees: int = 50, seed: int = 42, depth: int | None = None) -> DataFrame:
+    """Backward elimination by the importance of fully grown forests, scored by k-fold CV accuracy at every size.
 
-    The loop runs on the driver over feature *names* only (bounded by the
-    feature count); each fit and each CV is a distributed Spark job.
-    Returns (method, feature, score = elimination rank, selected).
+    The loop runs on the driver over feature *names* only (bounded by the feature count).  Rows are binned once; at every
+    size the forest on all rows and those of the folds are grown together.  Returns (method, feature, score = elimination
+    rank, selected).
     """
-    spark = df.sparkSession
-    names = {f"f{i}": c for i, c in enumerate(cols)}
-    data = df.select(*[_q(c).cast("double").alias(a) for a, c in names.items()],
-                     F.col(target).cast("double").alias("label")).cache()
-    active = list(names)
-    ranking: dict[str, int] = {}
-    history: list[tuple[list[str], float]] = []
-    ev = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
+    cols = list(cols)
+    rows = _binned(df, cols, target, F.pmod(F.xxhash64(_row_hash(df), F.lit(seed)), F.lit(folds)))
+    active = list(range(len(cols)))
+    ranking: dict[int, int] = {}
+    history: list[tuple[list[int], float]] = []
     while True:
-        sliced = VectorAssembler(inputCols=active, outputCol="sub", handleInvalid="keep").transform(data)
-        rf = RandomForestClassifier(featuresCol="sub", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
-        cv = CrossValidator(estimator=rf, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                            numFolds=folds, seed=seed, parallelism=1)
-        cvm = cv.fit(sliced)
-        history.append((list(active), float(cvm.avgMetrics[0])))
+        specs = [FO.ForestSpec(trees=trees, depth=depth, seed=seed, features=tuple(active), without_fold=k) for k in (None, *range(folds))]
+        grown = FO.grow_forests(rows, specs, len(cols))
+        right = FO.fold_accuracy(FO.held_out_sums(rows, grown.where("fit > 0"), specs, len(cols)))
+        history.append((list(active), float(np.mean(list(right.values()) or [0.0]))))
         if len(active) <= min_features:
             break
-        imp = cvm.bestModel.featureImportances.toArray()
-        order = sorted(range(len(active)), key=lambda i: (imp[i], active[i]))
-        drop = [active[i] for i in order[:min(step, len(active) - min_features)]]
+        score = {int(r["feature"]): r["importance"] for r in FO.importances(grown.where("fit = 0"), [str(a) for a in active]).collect()}
+        order = sorted(active, key=lambda i: (score[i], cols[i]))
+        drop = order[:min(step, len(active) - min_features)]
         for d in drop:
             ranking[d] = len(active)
         active = [a for a in active if a not in drop]
-    data.unpersist()
-    best_set, _ = max(history, key=lambda h: (h[1], -len(h[0])))
-    for a in best_set:
+    best, _ = max(history, key=lambda h: (h[1], -len(h[0])))
+    for a in best:
         ranking[a] = 1
-    scores = [(names[a], float(ranking.get(a, 1))) for a in names]
-    return _scores_frame(spark, "rfe", scores, {names[a] for a in best_set})
+    scores = [(c, float(ranking.get(i, 1))) for i, c in enumerate(cols)]
+    return _scores_frame(df.sparkSession, "rfe", scores, {cols[i] for i in best})
 
 
 # ---------------------------------------------------------------- #81–#83

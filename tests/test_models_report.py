@@ -1,5 +1,6 @@
 """Models (F4 invariants), quality profiles and report tables."""
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,31 +123,54 @@ def test_report_tables(survey):
 
 
 def test_tuning_searches_and_scores_all_training_rows(spark, monkeypatch):
-    from pyspark.ml.classification import RandomForestClassifier
+    from tabulon.operators import forest as FO
+    from tabulon.operators import search as SR
     from tabulon.plans import bind_models as B
     from tests.conftest import SF001
-    seen = {}
-
-    class Recording(M.CrossValidator):
-        def fit(self, dataset, params=None):
-            seen["rows"], seen["model"] = dataset, super().fit(dataset, params)
-            return seen["model"]
-
-    monkeypatch.setattr(M, "CrossValidator", Recording)
-    monkeypatch.setattr(M, "RF_GRID", {"numTrees": [3], "maxDepth": [2, 4]})
-    got = B._tuning(spark, SF001).first()
+    monkeypatch.setattr(SR, "RANGES", {"trees": (2, 4), "depth": (2, 5), "min_split": (2, 9), "min_leaf": (1, 5)})
     train, _ = B.split_frames(spark, SF001)
-    rows = seen["rows"]
-    assert train.count() == rows.count() > 4000
-    sizes = sorted(r["count"] for r in rows.groupBy("label", "fold").count().where("label = 1").collect())
+    seen = {}
+    real = M.search_forest
+    monkeypatch.setattr(M, "search_forest", lambda rows, *a, **k: seen.setdefault("out", (rows, real(rows, *a, **k)))[1])
+    tried, model = M.tune_random_forest(train, fits=5, first=3)
+    rows, (points, best) = seen["out"]
+    data = rows.collect()
+    assert train.count() == len(data) > 4000
+    sizes = sorted(r["count"] for r in rows.groupBy("y", "fold").count().where("y = 1").collect())
     assert len(sizes) == 3 and sizes[-1] - sizes[0] <= 1   # folds are stratified
-    by_hand = []
-    for depth in (2, 4):
-        rf = RandomForestClassifier(numTrees=3, maxDepth=depth, seed=42)
-        hits = [rf.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k))
-                .select(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] for k in range(3)]
-        by_hand.append(float(np.mean(hits)))
-    assert got["cv_best"] == pytest.approx(max(by_hand))
+    got = sorted(tried.collect(), key=lambda r: r["point"])
+    assert [r["model_based"] for r in got] == [False] * 3 + [True] * 2
+    x = np.stack([np.frombuffer(bytes(r["x"]), np.uint8) for r in data])
+    key, y, fold = (np.array([r[c] for r in data]) for c in ("key", "y", "fold"))
+    top = max(got, key=lambda r: (r["cv_accuracy"], -r["point"]))
+    hits = []
+    for k in range(3):   # by hand: every tree from all rows outside the fold, scored on all rows inside it
+        p, fit = np.zeros((fold == k).sum()), fold != k
+        for t in range(best.trees):
+            w = FO._weights(best, t, key)
+            on = fit & (w > 0)
+            tree = FO.grow_subtree(x[on], y[on], w[on], FO._root(best, t), 0, best)
+            p += tree["value"][FO._walk((tree["feature"], tree["cut"], tree["child"]), x[fold == k])]
+        hits.append(np.mean((p / best.trees > 0.5) == (y[fold == k] == 1)))
+    assert (top["trees"], top["depth"]) == (best.trees, best.depth) and top["cv_accuracy"] == pytest.approx(np.mean(hits))
+    assert model.state.count() == best.trees
+
+
+def test_search_goes_where_the_surrogate_expects_most():
+    from tabulon.operators import search as SR
+    rng = np.random.default_rng(3)
+    truth = lambda p: -((p[1] - 14) / 17) ** 2 - 0.1 * (p[4] is None)
+    tried = list(dict.fromkeys(SR.draw(rng, 10)))
+    scores = [truth(p) for p in tried]
+    for _ in range(4):
+        new = SR.propose(tried, scores, 5, rng)
+        assert len(set(new)) == 5 and not set(new) & set(tried)
+        tried, scores = tried + new, scores + [truth(p) for p in new]
+    assert max(scores) > -0.01 and max(scores) >= max(scores[:10])
+    x, y = SR.encode(tried[:12]), np.array(scores[:12])
+    mean, dev = SR.surrogate(x, y, x)
+    assert np.abs(mean - y).max() < 0.2 and (dev > 0).all()
+    assert SR.improvement(np.array([0.0, 1.0]), np.array([1e-6, 1e-6]), 0.5) == pytest.approx([0.0, 0.5])
 
 
 def test_ballots_follow_rewritten_tables(spark, tmp_path, monkeypatch):
@@ -154,7 +178,7 @@ def test_ballots_follow_rewritten_tables(spark, tmp_path, monkeypatch):
     from tabulon.plans import bind_models as B
     small, fits = lambda f, **fixed: lambda *a, **k: f(*a, **k | fixed), []
     monkeypatch.setattr(SEL, "forest_importance", small(SEL.forest_importance, trees=2, depth=2))
-    monkeypatch.setattr(SEL, "lasso_selection", small(SEL.lasso_selection, folds=2, reg_params=(1e-3,)))
+    monkeypatch.setattr(SEL, "lasso_selection", small(SEL.lasso_selection, folds=2))
     fixed = lambda df, cols, *a, **k: (fits.append(1), spark.createDataFrame(
         [("rfe", c, 1.0, True) for c in cols], "method string, feature string, score double, selected boolean"))[1]
     monkeypatch.setattr(SEL, "recursive_elimination", fixed)
@@ -174,15 +198,55 @@ def test_ballots_follow_rewritten_tables(spark, tmp_path, monkeypatch):
     assert "l_discount" in passing() - first and len(fits) == 2
 
 
-def test_forests_grow_past_the_library_depth(spark, monkeypatch):
-    from tabulon.operators import select as SEL
-    made, forest = [], SEL.RandomForestClassifier
-    monkeypatch.setattr(SEL, "RandomForestClassifier", lambda **k: made.append(forest(**k)) or made[-1])
+def test_forests_grow_past_the_library_depth(spark):
+    from tabulon.operators import forest as FO
+
+    def depths(trees):
+        out = []
+        for t in trees.collect():
+            _, feature, _, child, _ = FO._decoded(t)
+            depth = np.zeros(len(feature), int)
+            for i in np.flatnonzero(feature >= 0):   # children follow their parents
+                depth[child[i]] = depth[child[i] + 1] = depth[i] + 1
+            out.append(depth.max())
+        return out
+
     rng = np.random.default_rng(2)
-    rows = [(float(a), float(b), float(rng.random() < 0.5)) for a, b in rng.normal(0, 1, (1000, 2))]   # noise: trees grow to the limit
-    df = spark.createDataFrame(rows, "x0 double, x1 double, y double")
-    for how in ({}, {"depth": 7}):
-        SEL.recursive_elimination(df, ["x0", "x1"], "y", min_features=2, folds=2, trees=1, **how)
-    assert [f.getMaxDepth() for f in made] == [10, 7]
-    data = M.feature_frame(df, ["x0", "x1"], "y")
-    assert [max(t.depth for t in M.extra_trees(trees=2, **how).fit(data).trees) for how in ({}, {"depth": 7})] == [10, 7]
+    rows = [(i, float(a), float(b), float(rng.random() < 0.5)) for i, (a, b) in enumerate(rng.normal(0, 1, (1000, 2)))]   # noise
+    df = spark.createDataFrame(rows, "row_key long, x0 double, x1 double, y double")
+    data = M.feature_frame(df, ["x0", "x1"], "y", keep=["row_key"])
+    free, held = (depths(M.extra_trees(trees=2, **how).fit(data).state) for how in ({}, {"depth": 7}))
+    assert min(free) > 10 and held == [7, 7]
+
+
+def test_lasso_path_against_closed_cases(spark):
+    from tabulon.operators import lasso as L
+    rng = np.random.default_rng(5)
+    q, _ = np.linalg.qr(rng.normal(size=(400, 4)) - 0.0)
+    q = q - q.mean(axis=0)
+    x = np.column_stack([q[:, 0] * 30, q[:, 1] * 20, q[:, 2] * 10, rng.normal(size=400)])
+    y = 0.8 * x[:, 0] - 0.5 * x[:, 1] + rng.normal(0, 0.05, 400) + 100
+    pdf = pd.DataFrame(x, columns=list("abcd")).assign(y=y, fold=np.arange(400) % 5)
+    parts, means = L.products_by_fold(spark.createDataFrame(pdf).repartition(3), list("abcd"), "y", F.col("fold"))
+    assert sorted(parts) == [0, 1, 2, 3, 4] and np.allclose(means, [*x.mean(axis=0), y.mean()])
+    whole = sum(list(parts.values())[1:], list(parts.values())[0])
+    c = np.cov(np.column_stack([x, y]).T, bias=True) * 400
+    assert np.allclose(whole.centred(), c)
+    # no penalty: least squares; one feature: soft threshold
+    free = L.descend(whole, np.array([0.0]), tol=1e-12)[0]
+    assert np.allclose(free, np.linalg.lstsq(x - x.mean(axis=0), y - y.mean(), rcond=None)[0], atol=1e-6)
+    one = L.Products(whole.n, whole.s[[0, 4]], whole.g[np.ix_([0, 4], [0, 4])])
+    rho, xx = c[0, 4], c[0, 0]
+    for penalty in (0.1, 0.01):
+        assert L.descend(one, np.array([penalty]))[0, 0] == pytest.approx(np.sign(rho) * max(abs(rho) - 400 * penalty, 0) / xx)
+    # error by products against rows
+    rest, held = sum([parts[f] for f in (2, 3, 4)], parts[1]), parts[0]
+    w = L.descend(rest, np.array([0.02]))[0]
+    fit, out = pdf["fold"] != 0, pdf["fold"] == 0
+    b = y[fit].mean() - x[fit].mean(axis=0) @ w
+    assert L.error(rest, held, w) == pytest.approx(np.mean((y[out] - b - x[out] @ w) ** 2))
+    path = L.lasso_path(spark.createDataFrame(pdf), list("abcd"), "y", F.col("fold"))
+    assert len(path["penalties"]) == 100 and path["best"] == path["penalties"][np.argmin(path["errors"])]
+    assert abs(path["coefficients"][0] - 0.8) < 0.05 and abs(path["coefficients"][1] + 0.5) < 0.05
+    constant = L.lasso_path(spark.createDataFrame(pdf.assign(y=1.0)), list("abcd"), "y", F.col("fold"))
+    assert not constant["coefficients"].any()
