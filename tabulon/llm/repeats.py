@@ -27,7 +27,7 @@ from tabulon.llm.common import shared_path, text_bytes
 #: Different regions of one gram that are settled in one task; above, window by window.
 HOT = 3000
 #: Bytes of region text to a task.
-TASK_BYTES = 4 << 20
+TASK_BYTES = 2 << 20
 _SPAN = 1 << 23
 ANCHORS = "id long, th long, h long, c long, lo int, hi int"
 SPANS = "id long, th long, start int, stop int"

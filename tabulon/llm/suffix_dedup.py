@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +48,8 @@ def double(raw: np.ndarray, ends: np.ndarray, length: int, seed: int = SEED) ->
     ``length`` is ``seed`` times a power of two.  Ranks start as names of ``seed`` bytes; each round sorts pairs of ranks
     at the growing offset and keeps the positions whose pair is met again.
     """
-    at = np.flatnonzero(np.arange(len(raw)) + seed <= ends)
-    rank = np.full(len(raw), -1, np.int64)
+    at = np.flatnonzero(np.arange(len(raw), dtype=np.int32) + seed <= ends).astype(np.int32)   # a task's bytes fit in 32 bits
+    rank = np.full(len(raw), -1, np.int32)
     if not len(at):
         return rank >= 0
     key, size = all_pieces(running(raw), seed)[at], seed
@@ -62,17 +63,19 @@ def double(raw: np.ndarray, ends: np.ndarray, length: int, seed: int = SEED) ->
         at = at[often]
         at = at[at + 2 * size <= ends[at]]
         at = at[rank[at + size] >= 0]
-        key, size = rank[at] * (len(times) + 1) + rank[at + size], 2 * size
+        key, size = rank[at].astype(np.int64) * (len(times) + 1) + rank[at + size], 2 * size
 
 
 def _work(length: int):
     def work(table: pa.Table) -> pa.RecordBatch:
-        parts = table["region"].to_pylist()
-        raw = np.frombuffer(b"".join(parts), np.uint8)
-        sizes = np.array([len(p) for p in parts])
-        row = np.repeat(np.arange(len(parts)), sizes)
-        stops = np.cumsum(sizes)
-        return repeats.spans_of(double(raw, stops[row], length), table, row, np.arange(len(raw)) - (stops - sizes)[row], length)
+        region = table["region"].combine_chunks()
+        sizes = pc.binary_length(region).to_numpy()
+        offsets = np.frombuffer(region.buffers()[1], np.int32)[region.offset:region.offset + len(region) + 1]
+        raw = np.frombuffer(region.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]   # the regions one after another, not copied
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        stops = np.cumsum(sizes, dtype=np.int32)
+        hit = double(raw, stops[row], length)
+        return repeats.spans_of(hit, table, row, np.arange(len(raw), dtype=np.int32) - (stops - sizes.astype(np.int32))[row], length)
 
     return work
 
