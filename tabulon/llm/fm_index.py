@@ -45,14 +45,19 @@ class WaveletTree:
             self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(block).astype(np.int32))[:-1]]).astype(np.int32))
             self.zeros.append(self.n - int(bit.sum()))
             now = np.concatenate([now[bit == 0], now[bit == 1]])
+        # where each symbol's own run begins on the last level: place 0 taken down the tree, once for every symbol
+        self.begin = self._down(np.arange(symbols), np.zeros(symbols, np.int64))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Occurrences of ``symbol[j]`` before place ``at[j]``, counted from where the symbol's own run begins."""
-        low, high = np.zeros(len(at), np.int64), at.astype(np.int64)
+        return self._down(symbol, at.astype(np.int64)) - self.begin[symbol]
+
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the places ``at`` of the sequence lie on the last level, along their symbols' paths."""
         for k in range(self.levels):
-            one = ((symbol >> (self.levels - 1 - k)) & 1).astype(bool)
-            low, high = (np.where(one, self.zeros[k] + r, x - r) for x in (low, high) for r in (self._ones(k, x),))
-        return high - low
+            ones = self._ones(k, at)
+            at = np.where((symbol >> (self.levels - 1 - k)) & 1, self.zeros[k] + ones, at - ones)
+        return at
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         block = at >> 6
@@ -79,9 +84,14 @@ class FMIndex:
         self.n = len(text)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges of the patterns after one more symbol on their left."""
-        both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-        return self.first[symbol] + both[:len(low)], self.first[symbol] + both[len(low):]
+        """Suffix ranges of the patterns after one more symbol on their left.  An empty pattern's range needs no rank."""
+        begun = np.flatnonzero((low > 0) | (high < self.n))
+        lo, hi = self.first[symbol], self.first[symbol + 1]
+        if len(begun):
+            s = symbol[begun]
+            both = self.tree.rank(np.concatenate([s, s]), np.concatenate([low[begun], high[begun]]))
+            lo[begun], hi[begun] = self.first[s] + both[:len(s)], self.first[s] + both[len(s):]
+        return lo, hi
 
     def owner_below(self, low: np.ndarray, high: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Whether a suffix of each range lies in a document below ``own``."""
