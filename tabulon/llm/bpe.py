@@ -237,7 +237,7 @@ def decode_column(ids: Column, ranks_path: str) -> Column:
 
     @arrow_udf("binary")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        state = worker_state("bpe_tokens")
+        state = worker_state("bpe:tokens")
         if ranks_path not in state:
             state[ranks_path] = token_table(read_ranks(ranks_path))
         token = state[ranks_path]

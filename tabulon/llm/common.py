@@ -20,8 +20,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worker_state(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker process, shared by its tasks."""
-    return sys.__dict__.setdefault("_tabulon_llm", {}).setdefault(name, {})
+    """A dictionary that lives in the Python worker process, shared by its tasks; ``name`` is the operator's, with a part of
+    it after a colon.  When a task of another operator starts, what the ones before it hold is let go, and the memory given
+    back, so a worker that serves a pipeline holds one operator's memos at a time."""
+    held = sys.__dict__.setdefault("_tabulon_llm", {})
+    owner = name.partition(":")[0]
+    others = [k for k in held if k.partition(":")[0] != owner]
+    if others:
+        for k in others:
+            del held[k]
+        give_back()
+    return held.setdefault(name, {})
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):   # another C library
+        pass
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:

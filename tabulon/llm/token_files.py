@@ -86,7 +86,7 @@ class WordEncoder:
 
 
 def _encoder(path: str, dtype: str) -> WordEncoder:
-    state = worker_state("word_encoder")
+    state = worker_state("token_files:encoder")
     if (path, dtype) not in state:
         state[path, dtype] = WordEncoder(path, dtype)
     return state[path, dtype]
@@ -291,7 +291,7 @@ class TokenFiles:
 
 def _payload(folder: str, shard: int, first: int, n: int, dtype: str) -> np.ndarray:
     """A range of a payload file; the worker keeps its last few files open, as neighbours ask for neighbours."""
-    files = worker_state("payload_files")
+    files = worker_state("token_files:payload")
     if (folder, shard) not in files:
         if len(files) >= 4:
             files.pop(next(iter(files)))
