@@ -208,7 +208,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict_column(model, name: str, text: Column, switch: float = SWITCH) -> Column:
-    """Struct of ``lang_pred``, ``score`` and ``spans`` for each whole text; ``model`` is a broadcast model and
+    """Struct of ``lang_pred``, ``score`` and ``spans`` for each whole text; ``model`` is a broadcast of the model's fields and
     ``name`` tells workers whether the word table they hold was filled from it.
 
     A text that is null or has no letter is ``und`` with score 0 and no span; a text whose letters belong to no
@@ -223,7 +223,7 @@ def predict_column(model, name: str, text: Column, switch: float = SWITCH) -> Co
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         state = worker_state("language")
         if state.get("name") != name:
-            state.update(name=name, table=WordTable(model.value))
+            state.update(name=name, table=WordTable(LanguageModel(*model.value)))
         table = state["table"]
         for batch in batches:
             got = [label(WORDS((t or "").lower()), table, switch) for t in batch.to_pylist()]
@@ -237,5 +237,6 @@ def predict_column(model, name: str, text: Column, switch: float = SWITCH) -> Co
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language", switch: float = SWITCH) -> DataFrame:
     """``docs`` with struct column ``out`` (see ``predict_column``); an existing column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast is pickled by reference, and executors need not have this package
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.rows, model.logp, model.scripts))
     return docs.withColumn(out, predict_column(shared, uuid.uuid4().hex, F.col(f"`{text_col}`"), switch))
