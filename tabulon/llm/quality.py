@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import text_bytes, through_table
+from tabulon.llm.common import lowest_by_hash, text_bytes, through_table
 
 #: Rows to a tree and number of trees: the method's own bounded sample, taken by lowest id hash.
 PSI, TREES = 256, 128
@@ -173,8 +173,7 @@ def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", good_co
     every labelled row counts, through a histogram.  Null labels are passed over; without both kinds of labels
     nothing is rejected.  Several labels of one id count as its lowest.
     """
-    rows = (described.select("stats", F.col(f"`{id_col}`").alias("id")).orderBy(F.xxhash64("id"), "id").limit(trees * psi)
-            .select("stats").collect())
+    rows = lowest_by_hash(described.select("stats", F.col(f"`{id_col}`").alias("id")), "id", trees * psi).select("stats").collect()
     forest = grow(np.array([r["stats"] for r in rows]).reshape(len(rows), len(STATS)), trees, psi)
     known = (labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{good_col}`").cast("int").alias("good"))
              .filter("id is not null and good is not null").groupBy("id").agg(F.min("good").alias("good")))

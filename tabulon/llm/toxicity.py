@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Generations, held_out, through_table, worker_state
+from tabulon.llm.common import Generations, held_out, lowest_by_hash, through_table, worker_state
 
 #: Bounds of the sample that the classifier is fitted on: confirmed toxic, unlabelled and labelled rows.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_LABELLED = 4000, 12000, 6000
@@ -144,9 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior, confirmed = known.agg(F.avg("toxic"), F.sum("toxic")).first()
     if not confirmed:
         return ToxicityModel()
-    order = F.xxhash64("id")
     ids = docs.select(F.col(f"`{id_col}`").alias("id")).filter(F.col("id").isNotNull() & ~held_out("id"))
-    part = lambda df, n, kind: df.select("id").orderBy(order, "id").limit(n).withColumn("kind", F.lit(kind))
+    part = lambda df, n, kind: lowest_by_hash(df.select("id"), "id", n).withColumn("kind", F.lit(kind))
     # at most 2 * max_labelled + ... ids, so the broadcast is bounded by the parameters
     chosen = (part(known.filter("toxic = 1"), max_positive, "p").unionByName(part(ids.distinct(), max_unlabelled, "u"))
               .unionByName(part(known.filter("toxic = 1"), max_labelled // 2, "1"))
@@ -154,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = chosen.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
             met, n_words = [], []
             for t in batch.column(1).to_pylist():
                 words = Counter(WORDS((t or "").lower()))
@@ -187,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     slot = {f: i for i, f in enumerate(feats)}
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
             values = []
             for met in batch.column(1).to_pylist():
                 values.append([y for f, n in sorted(met) if f in slot for y in (slot[f], n)])
