@@ -13,17 +13,16 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.operators import forest as FO
+from tabulon.operators.ensemble import StackedModel, VotingModel, fit_rbf_svm, member_probabilities, save_model, side_by_side  # noqa: F401
 from tabulon.operators.search import search_forest
 from tabulon.plans.ordering import running_totals
 from tabulon.session import by_key, cut_lineage
@@ -102,83 +101,16 @@ def extra_trees(trees: int = 100, seed: int = 42, depth: int | None = None) -> F
     return FO.Forest(FO.ForestSpec(trees=trees, depth=depth, extra=True, bootstrap=False, seed=seed))
 
 
-def rbf_svm_stages(n_features: int, components: int = 200, gamma: float | None = None, c: float = 1.0,
-                   seed: int = 42, max_iter: int = 100):
-    """Re-aimed RBF SVM stages: standardise, random Fourier features (Rahimi & Recht 2007), linear SVM.
-
-    ``gamma='scale'`` on standardised inputs is 1 / n_features.  The random
-    projection is a fixed (components x n_features) matrix inlined in the plan.
-    """
-    g = gamma if gamma is not None else 1.0 / max(n_features, 1)
-    rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, math.sqrt(2.0 * g), size=(components, n_features))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=components)
-    scaler = StandardScaler(inputCol=FEATURES, outputCol="_scaled", withMean=True, withStd=True)
-    rff = _RandomFourier(W, b, "_scaled", "_rff")
-    svc = LinearSVC(featuresCol="_rff", labelCol="label", regParam=1.0 / max(c, 1e-12) / 1000.0, maxIter=max_iter)
-    return scaler, rff, svc
-
-
-class _RandomFourier:
-    """Stage computing z = sqrt(2/D) cos(W x + b) for a batch of rows with one matrix product.
-
-    Arrow-batched pandas UDF: the (D x d) projection is a closure constant
-    (bounded by the component count), and each batch is one numpy matmul.
-    """
-
-    def __init__(self, W: np.ndarray, b: np.ndarray, input_col: str, output_col: str):
-        self.W, self.b, self.input_col, self.output_col = W, b, input_col, output_col
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        W, b = self.W, self.b
-        scale = math.sqrt(2.0 / W.shape[0])
-
-        @F.pandas_udf("array<double>")
-        def project(x: pd.Series) -> pd.Series:
-            X = np.stack(x.to_numpy()) if len(x) else np.zeros((0, W.shape[1]))
-            Z = scale * np.cos(X @ W.T + b)
-            return pd.Series(list(Z))
-
-        return df.withColumn(self.output_col, array_to_vector(project(vector_to_array(F.col(self.input_col)))))
-
-
-def fit_rbf_svm(train: DataFrame, n_features: int, **kw):
-    """Fit the re-aimed RBF SVM; returns a callable model with ``transform``."""
-    scaler, rff, svc = rbf_svm_stages(n_features, **kw)
-    sm = scaler.fit(train)
-    z = rff.transform(sm.transform(train))
-    svm = svc.fit(z)
-
-    class _Model:
-        def transform(self, df: DataFrame) -> DataFrame:
-            out = svm.transform(rff.transform(sm.transform(df)))
-            # LinearSVC has no probability: squash the margin into (0, 1) for curves/voting
-            margin = vector_to_array(F.col("rawPrediction"))[1]
-            p1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-            prob = array_to_vector(F.array(F.lit(1.0) - p1, p1))
-            return out.withColumn("probability", prob).drop("_scaled", "_rff")
-
-    return _Model()
-
-
 # ---------------------------------------------------------------- #90, #91
 def positive_probability(scored: DataFrame, out: str) -> DataFrame:
     return scored.withColumn(out, vector_to_array(F.col("probability"))[1])
 
 
-def _member_probabilities(models: dict, df: DataFrame) -> DataFrame:
-    """``df`` with one column ``p_<name>`` a member: scoring is row-local, so the members chain and nothing is joined."""
-    for name, m in models.items():
-        keep = [F.col(f"`{c}`") for c in df.columns]
-        df = m.transform(df).select(*keep, vector_to_array(F.col("probability"))[1].alias(f"p_{name}"))
-    return df
-
-
 def soft_vote(models: dict, df: DataFrame, key: str) -> DataFrame:
     """Mean positive-class probability of the member models; prediction = argmax (> 0.5)."""
     probs = [F.col(f"p_{n}") for n in models]
     mean = sum(probs[1:], probs[0]) / len(probs)
-    return (_member_probabilities(models, df).withColumn("score", mean)
+    return (member_probabilities(models, df).withColumn("score", mean)
             .withColumn("prediction", (F.col("score") > 0.5).cast("double")).drop(*[f"p_{n}" for n in models]))
 
 
@@ -189,12 +121,12 @@ def fold_column(df: DataFrame, label: str, key: str, folds: int, seed: int = 42)
     return rt.withColumn("fold", ((F.col("_one_cum") - 1) % folds).cast("int")).drop("_h", "_one", "_one_cum", "_one_total")
 
 
-def stacking(train: DataFrame, test: DataFrame, bases: dict, key: str, folds: int = 5,
-             seed: int = 42) -> tuple[DataFrame, dict, object]:
+def stacking(train: DataFrame, test: DataFrame | None, bases: dict, key: str, folds: int = 5, seed: int = 42):
     """Out-of-fold base probabilities → logistic-regression meta model; bases refit on all rows.
 
     A base is a ``ForestSpec``, or a function that makes an estimator.  All forests, those of every fold and those on all rows,
-    are grown together.  Returns (test scored with ``score``/``prediction``, refit base models, meta model).
+    are grown together; the other fits run side by side.  Returns (test scored with ``score``/``prediction``, the
+    ``StackedModel``, its meta model), or the model alone where there is no ``test``.
     """
     tf = by_key(fold_column(train, "label", key, folds, seed), key)   # every fit reads this table
     forests = {n: b for n, b in bases.items() if isinstance(b, FO.ForestSpec)}
@@ -209,12 +141,14 @@ def stacking(train: DataFrame, test: DataFrame, bases: dict, key: str, folds: in
         held = FO.held_out_sums(rows, trees.where((F.col("fit") + 1) % (folds + 1) != 0), specs, len(cols))
         parts.append(held.select(F.col("key").alias(key), name.alias("base"), "p"))
         models |= {n: FO.ForestModel.of(trees.where(F.col("fit") == i * (folds + 1) + folds), edges) for i, n in enumerate(forests)}
-    for n, make in bases.items():
-        if n not in forests:
-            for k in range(folds):
-                out = make().fit(tf.where(F.col("fold") != k)).transform(tf.where(F.col("fold") == k))
-                parts.append(out.select(key, F.lit(n).alias("base"), vector_to_array(F.col("probability"))[1].alias("p")))
-            models[n] = make().fit(train)
+    others = [(n, k) for n in bases if n not in forests for k in (*range(folds), None)]
+    for (n, k), fitted in zip(others, side_by_side([lambda n=n, k=k: bases[n]().fit(tf if k is None else tf.where(F.col("fold") != k))
+                                                    for n, k in others]) if others else [], strict=True):
+        if k is None:
+            models[n] = fitted
+        else:
+            out = fitted.transform(tf.where(F.col("fold") == k))
+            parts.append(out.select(key, F.lit(n).alias("base"), vector_to_array(F.col("probability"))[1].alias("p")))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
@@ -222,10 +156,10 @@ def stacking(train: DataFrame, test: DataFrame, bases: dict, key: str, folds: in
     oof = long.groupBy(key).agg(*[F.max(F.when(F.col("base") == n, F.col("p"))).alias(f"p_{n}") for n in bases])
     meta_in = VectorAssembler(inputCols=names, outputCol="meta").transform(oof.join(tf.select(key, "label"), key))
     meta = LogisticRegression(featuresCol="meta", labelCol="label", maxIter=1000).fit(cut_lineage(meta_in.select("meta", "label")))
-    models = {n: models[n] for n in bases}
-    scored = _member_probabilities(models, test).select(key, "label", *names)
-    out = meta.transform(VectorAssembler(inputCols=names, outputCol="meta").transform(scored))
-    return positive_probability(out, "score").select(key, "label", "score", "prediction"), models, meta
+    stacked = StackedModel({n: models[n] for n in bases} | {"meta": meta})
+    if test is None:
+        return stacked
+    return positive_probability(stacked.transform(test), "score").select(key, "label", "score", "prediction"), stacked, meta
 
 
 # ---------------------------------------------------------------- #92, #99
@@ -257,6 +191,20 @@ def cross_val_scores(estimator, data: DataFrame, folds: int = 3, seed: int = 42,
                                              "fold long, accuracy double, cv_mean double, cv_std double")
 
 
+def train_models(train: DataFrame, key: str, n_features: int, folds: int = 5, svm: dict | None = None) -> dict:
+    """The seven models of the comparison by name, in the order in which ties are broken.  Forests of the stack grow together;
+    independent fits run side by side."""
+    n = train.count()
+    names = ["random_forest", "gradient_boosting", "svm", "logistic_regression", "extra_trees"]
+    fits = [lambda: random_forest().fit(train), lambda: gradient_boosting().fit(train), lambda: fit_rbf_svm(train, n_features, **(svm or {})),
+            lambda: logistic_regression(n).fit(train), lambda: extra_trees().fit(train)]
+    models = dict(zip(names, side_by_side(fits), strict=True))
+    models["voting_classifier"] = VotingModel({k: models[k] for k in ("random_forest", "gradient_boosting", "logistic_regression")})
+    models["stacking_classifier"] = stacking(train, None, {"rf": FO.ForestSpec(trees=50), "gb": lambda: gradient_boosting(iters=50, depth=3),
+                                                           "et": FO.ForestSpec(trees=50, extra=True, bootstrap=False)}, key, folds)
+    return models
+
+
 # ---------------------------------------------------------------- #98, #103, #4
 def feature_importance(model, names: Sequence[str]) -> list[tuple[str, float]]:
     """Tree importances, or absolute coefficients for linear models, paired with feature names."""
@@ -275,10 +223,6 @@ def predict(model, df: DataFrame) -> DataFrame:
     return out
 
 
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 

@@ -131,6 +131,25 @@ def _tuning(s, d):
 register(Query("tuned_random_forest_lineitem", _tuning, None, operators=(92,)))
 
 
+def _compare(s, d):
+    """Train the seven models, evaluate them on the held-out rows, compare, recommend and choose; the best by accuracy is
+    saved, loaded by name and predicts the held-out rows (#4, #90, #91, #99–#103, #119)."""
+    from tabulon.operators import ensemble as EN
+    train, test = split_frames(s, d)
+    models = M.train_models(train, "row_key", len(FEATS))
+    chosen = cut_lineage(EN.choose(EN.evaluate_models(models, test)))
+    best = chosen.where("section = 'best' AND name = 'accuracy'").first()["model"]
+    folder = f"{checkpoint_dir(s).rstrip('/')}/models/{uuid.uuid4().hex}"
+    EN.save_model(models[best], f"{folder}/{best}")
+    again = EN.predict_by_name(s, folder, best, test)
+    right = again.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("value"))
+    return chosen.unionByName(right.select(F.lit("predicted_by_name").alias("section"), F.lit("accuracy").alias("name"),
+                                           F.lit(best).alias("model"), "value"))
+
+
+register(Query("compare_models_lineitem", _compare, None, dbl=("value",), operators=(4, 90, 91, 93, 100, 101, 102, 103, 119)))
+
+
 def _cv(s, d):
     train, _ = split_frames(s, d)
     return M.cross_val_scores(M.logistic_regression(train.count()), train, folds=3)
