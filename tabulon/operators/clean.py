@@ -3,9 +3,10 @@
 Skew-safety: "keep first per key" uses ``min_by`` in a grouped aggregate
 (map-side partial aggregation) instead of a ``row_number`` window, so a key
 holding a third of all rows is reduced on every mapper before the shuffle.
-KNN imputation never pairs missing rows with all donors: donors get a global
-position in value order and each missing row joins exactly its 2k nearest
-positions (k below, k above).
+KNN imputation never pairs missing rows with all donors: of the donors of one
+value the k smallest ids stay, they get a global position in value order, and
+each distinct value asked for joins exactly its 2k nearest positions (k below,
+k above).
 """
 
 from __future__ import annotations
@@ -52,48 +53,47 @@ def binary_encode(df: DataFrame, mapping: dict[str, str], suffix: str = "_Binary
 
 # ---------------------------------------------------------------- #25
 def _knn_one(df: DataFrame, target: str, feature: str, id_col: str, k: int) -> DataFrame:
-    """Imputed ``target`` for rows missing it but having ``feature``: mean of k nearest donors by |feature|.
+    """``rv, imputed``: for every feature value of a row that misses ``target``, the mean of its k nearest donors by
+    ``abs(feature)``; ties in distance go to the smaller donor id.
 
-    Returns (id_col, imputed).  Ties in distance go to the smaller donor id.
+    Of the donors with one feature value only the k smallest ids can ever be among the nearest, so the table is first cut to
+    those (each task keeps k a value before anything moves, whatever share of all donors a value has); a feature value is
+    answered once, however many rows have it.
     """
+    one = F.lit(1)
     donors = df.where(F.col(target).isNotNull() & F.col(feature).isNotNull()).select(
         F.col(id_col).alias("d_id"), F.col(feature).cast("double").alias("dv"), F.col(target).cast("double").alias("dt"))
-    recv = df.where(F.col(target).isNull() & F.col(feature).isNotNull()).select(
-        F.col(id_col).alias("r_id"), F.col(feature).cast("double").alias("rv"))
-    one = F.lit(1)
+    least = F.row_number().over(Window.partitionBy("dv").orderBy("d_id"))
+    donors = cut_lineage(donors.withColumn("_r", least).where(F.col("_r") <= k).drop("_r"))
+    values = (df.where(F.col(target).isNull() & F.col(feature).isNotNull())
+              .select(F.col(feature).cast("double").alias("rv")).distinct())
     # position from the top of the value order: upward list (value asc, id asc), downward list (value desc, id asc)
-    up = running_totals(donors.withColumn("_u", one), "dv", ["_u"], tiebreak=[F.col("d_id").asc()]) \
+    up = running_totals(donors.withColumn("_u", one), "dv", ["_u"], tiebreak=[F.col("d_id").asc()], materialize=False) \
         .select("d_id", "dv", "dt", (F.col("_u_cum") - 1).alias("pos"))
-    down = running_totals(donors.withColumn("_d", one), "dv", ["_d"], descending=True, tiebreak=[F.col("d_id").asc()]) \
+    down = running_totals(donors.withColumn("_d", one), "dv", ["_d"], descending=True, tiebreak=[F.col("d_id").asc()], materialize=False) \
         .select("d_id", "dv", "dt", (F.col("_d_cum") - 1).alias("pos"))
-    # how many donors lie strictly below / at-or-above each receiver value: a rank lookup on distinct values
+    # how many donors lie strictly below / at-or-above each wanted value: a rank lookup on distinct values
     vals = donors.groupBy(F.col("dv").alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("side", F.lit(1))
-    rvals = recv.select(F.col("rv").alias("v")).distinct().withColumn("c", F.lit(0)).withColumn("side", F.lit(0))
-    both = vals.unionByName(rvals)
-    # receivers sort before donors of an equal value, so the running count excludes equal donors
+    both = vals.unionByName(values.select(F.col("rv").alias("v")).withColumn("c", F.lit(0)).withColumn("side", F.lit(0)))
+    # wanted values sort before donors of an equal value, so the running count excludes equal donors
     ranked = running_totals(both, "v", ["c"], tiebreak=[F.col("side").asc()])
-    lookup = ranked.where(F.col("side") == 0).select(F.col("v").alias("rv"), (F.col("c_cum")).alias("n_below"),
-                                                      F.col("c_total").alias("n_donors"))
-    recv = recv.join(lookup, "rv")
+    wanted = ranked.where(F.col("side") == 0).select(F.col("v").alias("rv"), F.col("c_cum").alias("n_below"), F.col("c_total").alias("n_donors"))
     # k candidates at or above (positions n_below .. n_below+k-1 in the upward list),
     # k candidates below (positions n_above .. n_above+k-1 in the downward list)
-    cand_up = recv.select("r_id", "rv", F.explode(F.sequence(F.col("n_below"), F.col("n_below") + k - 1)).alias("pos")) \
-        .join(up, "pos")
-    cand_dn = recv.select("r_id", "rv", F.explode(F.sequence(F.col("n_donors") - F.col("n_below"),
-                                                             F.col("n_donors") - F.col("n_below") + k - 1)).alias("pos")) \
-        .join(down.where(F.col("pos") >= 0), "pos")
-    cand = cand_up.unionByName(cand_dn).dropDuplicates(["r_id", "d_id"])
-    w = Window.partitionBy("r_id").orderBy(F.abs(F.col("dv") - F.col("rv")), F.col("d_id"))
+    place = lambda first: F.explode(F.sequence(first, first + k - 1)).alias("pos")
+    cand_up = wanted.select("rv", place(F.col("n_below"))).join(up, "pos")
+    cand_dn = wanted.select("rv", place(F.col("n_donors") - F.col("n_below"))).join(down, "pos")
+    cand = cand_up.unionByName(cand_dn).dropDuplicates(["rv", "d_id"])
+    w = Window.partitionBy("rv").orderBy(F.abs(F.col("dv") - F.col("rv")), F.col("d_id"))
     best = cand.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
-    return best.groupBy(F.col("r_id").alias(id_col)).agg(F.avg("dt").alias("_imp"))
+    return best.groupBy("rv").agg(F.avg("dt").alias("imputed"))
 
 
 def knn_impute(df: DataFrame, cols: tuple[str, str], id_col: str, k: int = 5) -> DataFrame:
     """KNN imputation (uniform weights) of two numeric columns from each other.
 
-    A row missing one column takes the mean of its k nearest donors (rows
-    with both present) by distance on the other column; a row missing both
-    takes the column means.  Per receiver at most 2k donors are touched.
+    A row missing one column takes the mean of its k nearest donors (rows with both present) by distance on the other
+    column; a row missing both takes the column means.  At most 2k donors are touched per distinct value asked for.
     """
     a, b = cols
     missing = df.where(F.col(a).isNull() | F.col(b).isNull()).limit(1).count()
@@ -101,9 +101,11 @@ def knn_impute(df: DataFrame, cols: tuple[str, str], id_col: str, k: int = 5) ->
         return df.withColumns({a: F.col(a).cast("double"), b: F.col(b).cast("double")})
     out = df
     means = df.agg(F.avg(F.col(a).cast("double")).alias("ma"), F.avg(F.col(b).cast("double")).alias("mb")).first()
-    for target, feature, mean in ((a, b, means["ma"]), (b, a, means["mb"])):
-        imp = _knn_one(df, target, feature, id_col, k).withColumnRenamed("_imp", f"_imp_{target}")
-        out = out.join(imp, id_col, "left")
+    for target, feature in ((a, b), (b, a)):
+        imp = _knn_one(df, target, feature, id_col, k).select(F.col("rv").alias(f"_rv_{target}"), F.col("imputed").alias(f"_imp_{target}"))
+        # rows that miss nothing get no key, so they don't take part in the join
+        key = F.when(F.col(target).isNull(), F.col(feature).cast("double"))
+        out = out.join(imp, key == F.col(f"_rv_{target}"), "left").drop(f"_rv_{target}")
     return out.withColumns({
         a: F.coalesce(F.col(a).cast("double"), F.col(f"_imp_{a}"), F.lit(means["ma"])),
         b: F.coalesce(F.col(b).cast("double"), F.col(f"_imp_{b}"), F.lit(means["mb"])),

@@ -4,7 +4,7 @@ Kendall's tau-b is computed exactly without emitting pairs: the count of
 concordant pairs is split into (1) pairs in different x- and y-range
 buckets, answered from a bucket-grid 2-D prefix sum, (2) pairs sharing a
 y-bucket and (3) pairs sharing an x-bucket, each answered inside its bucket
-by a sort + Fenwick-tree sweep over the *distinct cells* of that bucket.
+by a bitwise merge count over the *distinct cells* of that bucket.
 Values that equal a split point form their own bucket, so a hot value can
 never make a bucket large: a bucket holding a single x (or y) value has no
 pairs to count and is skipped.
@@ -23,7 +23,7 @@ from tabulon.functions import special
 from tabulon.functions.exprs import strength_label
 from tabulon.operators.stats import _pairs, pearson_matrix, spearman_matrix, with_corr_pvalues
 from tabulon.plans.ordering import global_positions, quantiles_of, range_splits, running_totals
-from tabulon.session import cut_lineage
+from tabulon.session import cut_lineage, shuffle_partitions
 
 
 # ---------------------------------------------------------------- #46
@@ -72,56 +72,56 @@ def _split_bucket(v, splits: list[float]):
     return F.when(hit, below * 2 + 1).otherwise(below * 2)
 
 
-def _fenwick_dominance(order_key: np.ndarray, rank_key: np.ndarray, w: np.ndarray) -> float:
-    """sum_j w_j * sum_{i: order_i < order_j, rank_i < rank_j} w_i (strict in both), O(m log m)."""
+def dominance(order_key: np.ndarray, rank_key: np.ndarray, w: np.ndarray) -> float:
+    """sum_j w_j * sum_{i: order_i < order_j, rank_i < rank_j} w_i (strict in both), O(m log m) in whole arrays.
+
+    Rows stand by order; the ranks' bits part them from the highest down.  Two ranks first differ at one bit, so on that
+    level, inside the group that shares the higher bits, every row with a 1 counts the rows with a 0 of lesser order.
+    """
     if len(w) < 2:
         return 0.0
-    idx = np.lexsort((rank_key, order_key))
-    ok, rk, ww = order_key[idx], rank_key[idx], w[idx]
-    _, ranks = np.unique(rk, return_inverse=True)
-    size = int(ranks.max()) + 2
-    tree = np.zeros(size + 1, dtype=np.float64)
-    total = 0.0
-    start = 0
-    m = len(ww)
-    while start < m:
-        end = start
-        while end < m and ok[end] == ok[start]:
-            end += 1
-        for t in range(start, end):            # query the whole tie batch before inserting it
-            i, s = int(ranks[t]), 0.0          # strictly smaller rank → prefix up to rank-1 (1-based: i)
-            while i > 0:
-                s += tree[i]
-                i -= i & (-i)
-            total += ww[t] * s
-        for t in range(start, end):
-            i = int(ranks[t]) + 1
-            while i <= size:
-                tree[i] += ww[t]
-                i += i & (-i)
-        start = end
+    _, o = np.unique(order_key, return_inverse=True)
+    _, r = np.unique(rank_key, return_inverse=True)
+    at = np.argsort(o, kind="stable")
+    o, r, w = o[at], r[at], np.asarray(w, np.float64)[at]
+    total, place = 0.0, np.arange(len(w))
+    for level in reversed(range(int(r.max()).bit_length())):
+        group, one = r >> (level + 1), (r >> level) & 1
+        zeros = np.where(one == 0, w, 0.0)
+        before = np.cumsum(zeros) - zeros
+        fresh = np.append(True, group[1:] != group[:-1])
+        block = fresh | np.append(True, o[1:] != o[:-1])
+        since = lambda starts: before[np.maximum.accumulate(np.where(starts, place, 0))]  # noqa: E731, B023
+        total += float((w * one * (since(block) - since(fresh))).sum())
+        at = np.argsort((group << 1) | one, kind="stable")
+        o, r, w = o[at], r[at], w[at]
     return total
 
 
 def _local_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     """Within-bucket dominance count for one bucket (applyInPandas body)."""
-    val = _fenwick_dominance(pdf["o"].to_numpy(), pdf["r"].to_numpy(), pdf["w"].to_numpy(dtype=np.float64))
+    val = dominance(pdf["o"].to_numpy(), pdf["r"].to_numpy(), pdf["w"].to_numpy(dtype=np.float64))
     return pd.DataFrame({"pair_id": [int(pdf["pair_id"].iloc[0])], "part": [float(val)]})
 
 
-def kendall_tau_b(df: DataFrame, pairs: Sequence[tuple[str, str]], n_buckets: int = 64) -> DataFrame:
+#: Distinct cells that a bucket holds about, and the most buckets a side (the grid has ``(2B + 1)^2`` cells at most).
+BUCKET_CELLS, MOST_BUCKETS = 100_000, 1024
+
+
+def kendall_tau_b(df: DataFrame, pairs: Sequence[tuple[str, str]], n_buckets: int | None = None) -> DataFrame:
     """Exact Kendall tau-b for each (x, y) pair, with the tie-corrected asymptotic z.
 
-    Columns: var1, var2, n, tau_b, s (concordant − discordant), z.
-    ``n_buckets`` bounds the bucket grid at ``(2B+1)^2`` cells.
+    Columns: var1, var2, n, tau_b, s (concordant − discordant), z.  The number of buckets follows from the number of distinct
+    cells: about ``BUCKET_CELLS`` to a bucket, which one task counts in whole arrays; beyond ``MOST_BUCKETS`` buckets they grow.
     """
     results = []
     for pid, (xc, yc) in enumerate(pairs):
         base = df.select(F.col(xc).cast("double").alias("x"), F.col(yc).cast("double").alias("y"))
         base = base.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
         cells = cut_lineage(base.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))  # reused by every term
-        xs = range_splits(cells, "x", n_buckets)
-        ys = range_splits(cells, "y", n_buckets)
+        buckets = n_buckets or min(MOST_BUCKETS, max(2 * shuffle_partitions(df.sparkSession), -(-cells.count() // BUCKET_CELLS)))
+        xs = range_splits(cells, "x", buckets)
+        ys = range_splits(cells, "y", buckets)
         cells = cells.withColumns({"bx": _split_bucket(F.col("x"), xs), "by": _split_bucket(F.col("y"), ys),
                                    "pair_id": F.lit(pid).cast("long")})
         t1 = _grid_term(cells, 2 * len(xs) + 1, 2 * len(ys) + 1)

@@ -136,3 +136,37 @@ def test_knn_matches_brute_force(spark):
     for i in (5, 9):
         assert got[i][1] == pytest.approx(brute(b_m, a_m, i))
     assert got[30][0] == pytest.approx(np.nanmean(a_m))
+
+
+def test_knn_with_a_hot_donor_value_and_rows_missing_both(spark):
+    """Against brute force: 40 % of the donors share one value, many rows ask for the same value, ties go to smaller ids."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(600):
+        x = 7.0 if rng.random() < 0.4 else float(rng.integers(0, 30))
+        y = float(rng.integers(0, 100))
+        gone = rng.random()
+        rows.append((int(i * 7 % 601), None if gone < 0.1 or 0.2 <= gone < 0.23 else x, None if 0.1 <= gone < 0.23 else y))
+    both = [r for r in rows if r[1] is not None and r[2] is not None]
+    mean = [np.mean([r[c] for r in rows if r[c] is not None]) for c in (1, 2)]
+
+    def near(value, at, of, k=5):
+        return np.mean([r[of] for r in sorted(both, key=lambda r: (abs(r[at] - value), r[0]))[:k]])
+
+    got = {r["id"]: r for r in C.knn_impute(spark.createDataFrame(rows, "id long, x double, y double").repartition(4), ("x", "y"), "id").collect()}
+    assert len(got) == len(rows)
+    for i, x, y in rows:
+        want_x = x if x is not None else (near(y, 2, 1) if y is not None else mean[0])
+        want_y = y if y is not None else (near(x, 1, 2) if x is not None else mean[1])
+        assert got[i]["x"] == pytest.approx(want_x) and got[i]["y"] == pytest.approx(want_y)
+
+
+def test_dominance_against_all_pairs():
+    import numpy as np
+    from tabulon.operators.dependence import dominance
+    rng = np.random.default_rng(12)
+    for n, k in ((2, 2), (50, 4), (200, 30), (200, 1000), (1, 1)):
+        o, r, w = rng.integers(0, k, n).astype(float), rng.normal(size=n).round(1), rng.integers(1, 5, n).astype(float)
+        want = sum(w[j] * w[(o < o[j]) & (r < r[j])].sum() for j in range(n))
+        assert dominance(o, r, w) == pytest.approx(want)
