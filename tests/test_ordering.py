@@ -78,3 +78,24 @@ def test_quantiles_of_small_groups(spark):
     for r in got:
         assert np.allclose(list(r)[1:], np.quantile([v for g, v in rows if g == r["g"]], [0.25, 0.5, 0.9]))
     assert len(got) == 39
+
+
+def test_quantiles_of_several_columns_and_groups(spark, monkeypatch):
+    """Brackets that hold more rows than allowed are narrowed, brackets that miss their rank are widened."""
+    from tabulon.plans import ordering as O
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=30_000), np.full(20_000, 0.25)])
+    g = rng.integers(0, 2, len(x))
+    df = spark.createDataFrame(pd.DataFrame({"v": x, "u": np.round(x * 3), "g": g})).repartition(4)
+    probs, real = [0.0, 0.003, 0.25, 0.5, 0.97, 1.0], F.expr
+    names = [f"p{i}" for i in range(len(probs))]
+    for few, sketch in ((200_000, "20000"), (40, "20000"), (200_000, "30")):
+        monkeypatch.setattr(O, "_FEW", few)
+        monkeypatch.setattr(O.F, "expr", lambda s, k=sketch: real(s.replace(", 20000)", f", {k})")))
+        for r in O.quantiles_of(df, ["v", "u"], probs, names=names).collect():
+            assert np.allclose(list(r)[1:], np.quantile(x if r["variable"] == "v" else np.round(x * 3), probs), rtol=1e-12, atol=0)
+    for r in O.quantiles_of(df, ["v", "u"], probs, by=["g"], names=names).collect():
+        mine = x[g == r["g"]]
+        assert np.allclose(list(r)[2:], np.quantile(mine if r["variable"] == "v" else np.round(mine * 3), probs), rtol=1e-12, atol=0)
+    empty = O.quantiles_of(df.where("v > 99"), ["v"], [0.5], names=["m"]).collect()
+    assert [(r["variable"], r["m"]) for r in empty] == [("v", None)]
