@@ -43,7 +43,7 @@ def target(spark):
     return spark.createDataFrame([(1, "w1 w2 w3 W4 w5"), (2, None), (3, ""), (4, "Ärger über w7, w1 w2")], "item_id long, text string")
 
 
-@pytest.mark.parametrize("runs,head", [(1, 20_000), (1, 3), (1, 0), (2, 20_000), (2, 5), (2, 0), (3, 50)])
+@pytest.mark.parametrize("runs,head", [(1, 20_000), (1, 0), (2, 5), (3, 50)])
 def test_brute_force(spark, docs, target, corpus, monkeypatch, runs, head):
     """Whole, small and empty heads give the same totals; odd rows (nulls, repeats, long texts, clashing columns)."""
     monkeypatch.setattr(resampling.head, "__defaults__", ("text", 1, head, head))
