@@ -198,10 +198,12 @@ def train_models(train: DataFrame, key: str, n_features: int, folds: int = 5, sv
     names = ["random_forest", "gradient_boosting", "svm", "logistic_regression", "extra_trees"]
     fits = [lambda: random_forest().fit(train), lambda: gradient_boosting().fit(train), lambda: fit_rbf_svm(train, n_features, **(svm or {})),
             lambda: logistic_regression(n).fit(train), lambda: extra_trees().fit(train)]
-    models = dict(zip(names, side_by_side(fits), strict=True))
+    stack = {"rf": FO.ForestSpec(trees=50), "gb": lambda: gradient_boosting(iters=50, depth=3),
+             "et": FO.ForestSpec(trees=50, extra=True, bootstrap=False)}
+    *base, stacked = side_by_side([*fits, lambda: stacking(train, None, stack, key, folds)])
+    models = dict(zip(names, base, strict=True))
     models["voting_classifier"] = VotingModel({k: models[k] for k in ("random_forest", "gradient_boosting", "logistic_regression")})
-    models["stacking_classifier"] = stacking(train, None, {"rf": FO.ForestSpec(trees=50), "gb": lambda: gradient_boosting(iters=50, depth=3),
-                                                           "et": FO.ForestSpec(trees=50, extra=True, bootstrap=False)}, key, folds)
+    models["stacking_classifier"] = stacked
     return models
 
 

@@ -98,8 +98,8 @@ register(Query("svm_rbf_lineitem", _svm, None, operators=(87, 93)))
 def _voting(s, d):
     train, test = split_frames(s, d)
     n = train.count()
-    models = {"rf": M.random_forest().fit(train), "gb": M.gradient_boosting().fit(train),
-              "lr": M.logistic_regression(n).fit(train)}
+    made = {"rf": M.random_forest(), "gb": M.gradient_boosting(), "lr": M.logistic_regression(n)}
+    models = dict(zip(made, M.side_by_side([lambda e=e: e.fit(train) for e in made.values()]), strict=True))
     voted = M.soft_vote(models, test, "row_key")
     return V.classification_metrics(voted, score="score").select(F.lit("voting").alias("model"), "*")
 
