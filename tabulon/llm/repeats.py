@@ -26,8 +26,8 @@ from tabulon.llm.common import shared_path, text_bytes
 
 #: Different regions of one gram that are settled in one task; above, window by window.
 HOT = 3000
-#: Bytes of region text to a task.
-TASK_BYTES = 2 << 20
+#: Bytes of region text to a task, where an operator sets no other number.
+TASK_BYTES = 4 << 20
 _SPAN = 1 << 23
 ANCHORS = "id long, th long, h long, c long, lo int, hi int"
 SPANS = "id long, th long, start int, stop int"
@@ -149,10 +149,10 @@ def region_texts(texts: DataFrame, need: DataFrame, cut: Callable[[bytes, list[i
         rows, "id long, th long, h long, lo int, hi int, hot boolean, region binary")
 
 
-def settle(regions: DataFrame, work: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+def settle(regions: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], task_bytes: int = TASK_BYTES) -> DataFrame:
     """Bring regions that share a gram together and let ``work`` find the spans to remove among a task's regions."""
     total = regions.agg(F.sum(F.octet_length("region"))).first()[0] or 0
-    parts = max(1, -(-int(total) // TASK_BYTES))
+    parts = max(1, -(-int(total) // task_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)

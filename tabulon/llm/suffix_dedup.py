@@ -21,6 +21,8 @@ from tabulon.llm.wordhash import all_pieces, pieces, running
 
 #: Bytes of a string that must not repeat, of a sampled name and of the first rank.
 LENGTH, GRAM, SEED = 200, 32, 25
+#: Bytes of region text to a task: doubling holds some 30 bytes for each.
+TASK_BYTES = 2 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -107,7 +109,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = lambda text, lo, hi: [text[a:b + length] for a, b in zip(lo, hi, strict=True)]
     regions, _ = repeats.write(repeats.region_texts(texts, need, cut), "regions")
     spans = told.filter("equal").select("id", "th", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    spans = spans.unionByName(repeats.settle(regions.filter("not hot"), _work(length)))
+    spans = spans.unionByName(repeats.settle(regions.filter("not hot"), _work(length), TASK_BYTES))
     hot = regions.filter("hot")
     if not hot.isEmpty():
         rows = repeats.window_rows(hot, lambda data: all_pieces(running(np.frombuffer(data, np.uint8)), length))
