@@ -62,11 +62,6 @@ def right_closed_code(x: str | Column, inner_edges: Sequence[Column | float]) ->
     return F.when(v.isNotNull(), code)
 
 
-def safe_ratio(num: str | Column, den: str | Column) -> Column:
-    """Division that yields NULL (not an ANSI error) on a zero denominator."""
-    return F.try_divide(col_(num).cast("double"), col_(den).cast("double"))
-
-
 def title_trim(c: str | Column) -> Column:
     """Strip surrounding whitespace and capitalise each word."""
     return F.initcap(F.regexp_replace(col_(c), r"^\s+|\s+$", ""))

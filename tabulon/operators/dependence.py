@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import special
 from tabulon.functions.exprs import strength_label
-from tabulon.operators.stats import _pairs, pearson_matrix, spearman_matrix, with_corr_pvalues
+from tabulon.operators.stats import pearson_matrix, spearman_matrix, with_corr_pvalues
 from tabulon.plans.ordering import global_positions, quantiles_of, range_splits, running_totals
 from tabulon.session import cut_lineage, shuffle_partitions
 
@@ -327,7 +327,3 @@ def correlation_clusters(edges: DataFrame, src: str = "var1", dst: str = "var2")
         if changed == 0:
             break
     return labels.select(F.col("node").alias("variable"), F.col("label").alias("cluster"))
-
-
-def all_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
-    return _pairs(cols)

@@ -44,3 +44,15 @@ def test_bins_and_groups(features):
     assert groups == {"Young": 63, "Adult": 65, "Middle_Age": 69, "Senior": 63, "Elder": 60}
     assert feat.where("Late_Career_Start = 1").count() == 103
     assert feat.where("Career_Start_Age < 0").count() == 52
+
+
+def test_new_rows_get_what_the_training_rows_taught(features):
+    """A few rows alone get the features that they have in the whole table: nothing is learned from them."""
+    feat, model = features
+    raw = [*SV.REQUIRED, *[f"{c}_Binary" for c in (*SV.YES_NO, "Gender")], "is_outlier"]
+    few = feat.where("Artisan_ID < 1005")
+    out = {r["Artisan_ID"]: r for r in SV.transform_new_data(few.select(*raw), model).collect()}
+    assert len(out) == 4
+    for r in few.collect():
+        for c in ("State_Encoded", "State_Frequency", "Age_Bin_5", "Age_Quartiles", "Age_scaled", "Gender_GI_Rate", "Late_Career_Start"):
+            assert out[r["Artisan_ID"]][c] == pytest.approx(r[c]), c
