@@ -141,3 +141,12 @@ def test_held_out_accuracy(spark):
     good = [got[r["doc_id"]]["predicted"] for r in labels if r["quality"] == 1]
     bad = [got[r["doc_id"]]["predicted"] for r in labels if r["quality"] == 0]
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.2
+
+
+def test_a_worker_holds_one_operators_state():
+    from tabulon.llm.common import worker_state
+    one = worker_state("first:memo")
+    one["k"] = 1
+    assert worker_state("first:other") == {} and worker_state("first:memo") is one
+    worker_state("second")
+    assert worker_state("first:memo") == {}
