@@ -116,3 +116,16 @@ def test_model_saved_and_loaded(spark, tmp_path):
     a, b = (sorted((r["row_key"], r["prediction"], tuple(r["probability"])) for r in m.transform(df).collect()) for m in (model, again))
     assert a == b and np.mean([p == y[k] for k, p, _ in a]) > 0.9
     assert sum(model.featureImportances.toArray()) == pytest.approx(1.0)
+
+
+def test_recursive_elimination_drops_noise_first(spark):
+    from tabulon.operators import select as SEL
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 5))
+    pdf = pd.DataFrame(x, columns=list("abcde")).assign(y=((x[:, 1] > 0) ^ (x[:, 3] > 0.3)).astype(int), row_key=np.arange(500))
+    df = spark.createDataFrame(pd.concat([pdf, pdf.head(20)]))   # some rows twice
+    got = {r["feature"]: (r["score"], r["selected"]) for r in SEL.recursive_elimination(df, list("abcde"), "y", min_features=2, trees=8).collect()}
+    assert got["b"] == got["d"] == (1.0, True)
+    assert sorted(got[c][0] for c in "ace") in ([3.0, 4.0, 5.0], [1.0, 4.0, 5.0], [1.0, 1.0, 5.0], [1.0, 1.0, 1.0])
+    forest = {r["feature"]: r["score"] for r in SEL.forest_importance(df, list("abcde"), "y", trees=8).collect()}
+    assert min(forest["b"], forest["d"]) > max(forest[c] for c in "ace")
