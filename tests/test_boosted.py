@@ -72,3 +72,30 @@ def test_trees_of_cells_are_trees_of_rows():
 def test_random_forest_is_grown_on_cells_to_its_depth(task):
     model = M.random_forest(trees=3, depth=2).fit(task)
     assert isinstance(model, FO.ForestModel) and max(len(FO._decoded(t)[1]) for t in model.state.collect()) <= 7
+
+
+def test_svm_fits_follow_one_another(task, monkeypatch):
+    """Each fit holds its rows' mapped features in memory; no two do at a time."""
+    from pyspark.ml.classification import LinearSVC
+    from tabulon.operators import ensemble as EN
+    running, most = [], []
+    fit = LinearSVC.fit
+
+    def one(self, df, *a):
+        running.append(1)
+        most.append(len(running))
+        try:
+            return fit(self, df, *a)
+        finally:
+            running.pop()
+
+    monkeypatch.setattr(LinearSVC, "fit", one)
+    EN.fit_rbf_svm(task, 3, components=8, max_iter=3, folds=2)
+    assert most == [1, 1, 1]
+
+
+def test_missing_labels_and_features_are_refused(task):
+    broken = task.withColumn("label", F.when(F.col("row_key") > 5, F.col("label")))
+    for estimator in (M.random_forest(trees=2, depth=2), M.gradient_boosting(iters=1, depth=2)):
+        with pytest.raises(Exception, match="(?i)label"):
+            estimator.fit(broken)
