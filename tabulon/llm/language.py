@@ -14,7 +14,8 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ MAX_DOCS, ORDER, MIN_COUNT = 1500, 3, 2
 MIN_SCRIPT = 0.01
 #: Cost in nats of a change of language between two words.
 SWITCH = 8.0
-#: Words remembered by a worker.
-MEMO = 300_000
+#: Words remembered by a worker, and codes of n-grams that may take a plain table.
+MEMO, DIRECT = 300_000, 1 << 22
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+").findall
 #: First code point of each range, and its script; other letters count as script "other".
@@ -53,7 +54,68 @@ def script(char: str) -> str:
 def grams(word: str) -> list[str]:
     """The word itself (marked) and its n-grams with its ends marked."""
     w = f"^{word}$"
-    return [f"={word}", *(w[i:i + n] for n in range(1, ORDER + 1) for i in range(len(w) - n + 1) if n > 1 or 0 < i < len(w) - 1)]
+    out, now = [f"={word}", *word], list(w)
+    for n in range(1, ORDER):
+        now = list(map(add, now, w[n:]))   # every gram with the letter after it
+        out += now
+    return out
+
+
+class GramCoder:
+    """Rows of the n-grams of many words at once: a gram's code is its letters' numbers in base ``k``, and codes are looked up
+    in whole arrays.  Letters that no learned n-gram has are 0 and make a gram unseen."""
+
+    def __init__(self, rows: dict[str, int]):
+        self.rows, self.unseen = rows, len(rows)
+        grams_ = [(g, i) for g, i in rows.items() if g[0] != "="]
+        self.letters = np.unique([0, *(ord(c) for c in set(chain.from_iterable(g for g, _ in grams_)))]).astype(np.int64)
+        self.k, self.tables = len(self.letters), []
+        for n in range(1, ORDER + 1):
+            own = [(g, i) for g, i in grams_ if len(g) == n]
+            number = self.numbers("".join(g for g, _ in own)).reshape(-1, n)
+            code = number @ (np.int64(self.k) ** np.arange(n - 1, -1, -1, dtype=np.int64))
+            row = np.array([i for _, i in own], np.int64)
+            if self.k**n <= DIRECT:
+                table = np.full(self.k**n, self.unseen, np.int32)
+                table[code] = row
+                self.tables.append((None, table))
+            else:
+                order = np.argsort(code)
+                self.tables.append((code[order], row[order]))
+
+    def numbers(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.letters, points), self.k - 1)
+        return np.where(self.letters[at] == points, at, 0)
+
+    def found(self, n: int, code: np.ndarray) -> np.ndarray:
+        codes, rows = self.tables[n - 1]
+        if codes is None:
+            return rows[code]
+        if not len(codes):
+            return np.full(len(code), self.unseen)
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        return np.where(codes[at] == code, rows[at], self.unseen)
+
+    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all words' grams one after another, each word's in the order of ``grams``, and where each word starts."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        number = self.numbers("".join([f"^{w}$" for w in words]))
+        counts = [sizes, *(sizes + 3 - n for n in range(2, ORDER + 1))]
+        all_ = 1 + sum(counts)
+        starts = np.cumsum(all_) - all_
+        out = np.full(int(all_.sum()), self.unseen, np.int64)
+        out[starts] = np.fromiter(map(self.rows.get, [f"={w}" for w in words], repeat(self.unseen)), np.int64, len(words))
+        before, code = starts + 1, number
+        first = np.cumsum(sizes + 2) - (sizes + 2)   # of each word in ``number``
+        for n, count in enumerate(counts, 1):
+            if n > 1:
+                code = code[:-1] * self.k + number[n - 1:]
+            many = np.maximum(count, 0)
+            step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            out[np.repeat(before, many) + step] = self.found(n, code[np.repeat(first + (n == 1), many) + step])
+            before = before + many
+        return out, starts
 
 
 @dataclass
@@ -64,16 +126,18 @@ class LanguageModel:
     rows: dict[str, int] = field(default_factory=dict)
     logp: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
     scripts: dict[str, list[bool]] = field(default_factory=dict)
+    coder: GramCoder | None = field(default=None, compare=False)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log scores (words by languages) over all n-grams of each word, -inf outside the candidates of its script; a script
         of no language makes every language a non-candidate."""
-        get, unseen = self.rows.get, len(self.logp) - 1
-        found = [[get(g, unseen) for g in grams(w)] for w in words]
-        starts = np.cumsum([0, *(len(f) for f in found[:-1])])
-        s = np.add.reduceat(self.logp[np.fromiter(chain.from_iterable(found), np.int64)], starts, axis=0) / ORDER
-        none = [False] * len(self.langs)
-        return np.where(np.array([self.scripts.get(script(w[0]), none) for w in words]), s, -np.inf)
+        if self.coder is None:
+            self.coder = GramCoder(self.rows)
+        at, starts = self.coder.places(words)
+        s = np.add.reduceat(self.logp[at], starts, axis=0) / ORDER
+        none, firsts = [False] * len(self.langs), [w[0] for w in words]
+        fits = {c: self.scripts.get(script(c), none) for c in set(firsts)}
+        return np.where(np.array([fits[c] for c in firsts]), s, -np.inf)
 
 
 class WordTable(dict):

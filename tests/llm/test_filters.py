@@ -115,6 +115,21 @@ def test_language_spans_of_mixed_text(tongues):
     assert [s[1] for s in spans] == [0, 30, 55, 67] and spans[-1][2] == len(words) - 1
 
 
+@pytest.mark.parametrize("direct", [1 << 22, 0])
+def test_gram_rows_of_many_words_at_once(monkeypatch, direct):
+    """Codes and letters give the rows that looking up every n-gram by its text gives."""
+    monkeypatch.setattr(language, "DIRECT", direct)
+    known = ["straße", "a", "été", "日本語", "слово", "𐐀𐐁"]
+    rows = {g: i for i, g in enumerate(sorted({g for w in known for g in language.grams(w)}))}
+    words = [*known, "b", "ab", "étés", "日", "zzz", "𐐀", "словоa"]
+    at, starts = language.GramCoder(rows).places(words)
+    want = [[rows.get(g, len(rows)) for g in language.grams(w)] for w in words]
+    assert at.tolist() == [x for f in want for x in f]
+    assert starts.tolist() == np.cumsum([0, *map(len, want[:-1])]).tolist()
+    none, _ = language.GramCoder({}).places(words)
+    assert set(none.tolist()) == {0}
+
+
 def test_viterbi_against_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(300):
