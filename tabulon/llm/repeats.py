@@ -10,7 +10,9 @@ does.  The passages of one document fall into regions, runs of starts with the s
   is brought together, by gram, for the operator to settle exactly.
 
 Rows are counted and joined by gram hash after partial aggregation, so a passage that a third of all documents share
-stays spread.  Grams with more different regions than ``HOT`` are settled window by window in grouped aggregates.
+stays spread.  Regions of grams with more different regions than ``HOT`` are first cut into pieces, runs of starts that lie
+about as far before the gram; a piece is named by what all its starts' passages share, and equal pieces stand for each other
+as equal regions do.  Only pieces whose name is still hot are settled window by window, in grouped aggregates.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import shared_path, text_bytes
+from tabulon.llm.wordhash import mix, pieces
 
 #: Different regions of one gram that are settled in one task; above, window by window.
 HOT = 3000
@@ -220,3 +223,42 @@ def window_rows(regions: DataFrame, names: Callable[[bytes], np.ndarray]) -> Dat
                      pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], ["id", "th", "start", "name"])
 
     return regions.select("id", "th", "lo", "region").mapInArrow(rows, "id long, th long, start int, name long")
+
+
+def piece_rows(regions: DataFrame, cut: Callable[[bytes], tuple]) -> DataFrame:
+    """For hot grams: the pieces of each region, ``id, th, h, c, lo, hi, region``.  ``cut`` gives each piece's name, content
+    hash, first and last start in the region, and bytes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                found = [cut(x.as_py()) for x in part.column(3)]
+                counts = np.array([len(f[0]) for f in found])
+                which = np.repeat(np.arange(len(part)), counts)
+                before = part.column(2).to_numpy()[which]
+                h, c, lo, hi = (np.concatenate([f[k] for f in found]) for k in range(4))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(which)), part.column(1).take(pa.array(which)), pa.array(h.view(np.int64)),
+                     pa.array(c.view(np.int64)), pa.array((before + lo).astype(np.int32)), pa.array((before + hi).astype(np.int32)),
+                     pa.array([b for f in found for b in f[4]], pa.binary())], ["id", "th", "h", "c", "lo", "hi", "region"])
+
+    return regions.select("id", "th", "lo", "region").mapInArrow(rows, f"{ANCHORS}, region binary")
+
+
+def piece_bounds(at: int, last: int, width: int, size: int) -> tuple[np.ndarray, ...]:
+    """Pieces of a region of starts 0 to ``last`` whose gram lies at ``at``; ``width`` places in a passage can hold the gram.
+
+    Starts fall into classes of ``size`` neighbouring distances to the gram.  Gives each piece's number, its first and last
+    start, and those of its whole class, which may reach past the region; starts ascend."""
+    number = np.arange(at // size, (at - last) // size - 1, -1)
+    far, near = np.minimum(number * size + size, width) - 1, number * size
+    return number, np.maximum(at - far, 0), np.minimum(at - near, last), at - far, at - near
+
+
+def named_pieces(sums: np.ndarray, grams: np.ndarray, length: int, width: int, size: int) -> tuple[np.ndarray, ...]:
+    """Names, content hashes, first and last starts of a hot region's pieces, from its units' running sums and its grams: a
+    name covers the units that the passages from all starts of the class share, and the place of the class."""
+    at = int(minimizers(grams, width)[0][0])
+    number, lo, hi, first, last = piece_bounds(at, len(grams) - width, width, size)
+    return mix(pieces(sums, last, first + length) ^ number.astype(np.uint64)), pieces(sums, lo, hi + length), lo, hi

@@ -17,6 +17,8 @@ from tabulon.llm.wordhash import pieces, running, windows, word_bounds, word_has
 
 #: Words of a passage and of a sampled gram.
 LENGTH, GRAM = 50, 8
+#: Starts to a piece of a hot gram's region at most.
+PIECE = 8
 RESULT = "doc_id long, n_words long, n_removed long, kept binary"
 
 
@@ -66,6 +68,33 @@ def _work(length: int):
     return work
 
 
+def _pieces(length: int):
+    cut = _cut(length)
+
+    def pieces_of(region: bytes) -> tuple:
+        words = word_hashes(region)
+        name, whole, lo, hi = repeats.named_pieces(running(words), windows(words, GRAM), length, length - GRAM + 1, PIECE)
+        return name, whole, lo, hi, cut(region, lo.tolist(), hi.tolist())
+
+    return pieces_of
+
+
+def _told(rep: DataFrame, *more: str) -> DataFrame:
+    """Regions that settle their gram or have to be looked at: ``equal`` (an earlier document holds the same), ``open`` (of the
+    least document of their content, of a gram with differing regions) and ``hot``."""
+    classes, _ = repeats.write(rep.groupBy("h", "c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    per_gram = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("least").alias("from"), F.max("least").alias("to"))
+    # a gram whose regions all begin in one document has nothing earlier inside
+    classes = repeats.matched(classes, per_gram, ["h"]).withColumn("open", (F.col("k") > 1) & (F.col("from") < F.col("to")))
+    return repeats.matched(rep, classes.filter("n > 1 or open"), ["h", "c"]).select(
+        "id", "th", "h", "lo", "hi", *more, (F.col("id") > F.col("least")).alias("equal"),
+        (F.col("open") & (F.col("id") == F.col("least"))).alias("open"), (F.col("k") > repeats.HOT).alias("hot"))
+
+
+def _equal(told: DataFrame, length: int) -> DataFrame:
+    return told.filter("equal").select("id", "th", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+
+
 def remove_seen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept``.
 
@@ -79,21 +108,18 @@ def remove_seen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found, found_at = repeats.write(repeats.anchors(named, _anchors(length)), "anchors")
     rep, rep_at = repeats.write(repeats.repeated(found), "repeated")
     repeats.remove(found, found_at)
-    classes, _ = repeats.write(rep.groupBy("h", "c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
-    per_gram = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("least").alias("from"), F.max("least").alias("to"))
-    # a gram whose regions all begin in one document has nothing earlier inside
-    classes = repeats.matched(classes, per_gram, ["h"]).withColumn("open", (F.col("k") > 1) & (F.col("from") < F.col("to")))
-    told, _ = repeats.write(repeats.matched(rep, classes.filter("n > 1 or open"), ["h", "c"]).select(
-        "id", "th", "h", "lo", "hi", (F.col("id") > F.col("least")).alias("equal"),
-        (F.col("open") & (F.col("id") == F.col("least"))).alias("open"), (F.col("k") > repeats.HOT).alias("hot")), "told")
+    told, _ = repeats.write(_told(rep), "told")
     repeats.remove(rep, rep_at)
     need = told.filter("open").select("id", "th", "h", "lo", "hi", "hot").distinct()
     regions, _ = repeats.write(repeats.region_texts(named, need, _cut(length)), "regions")
-    spans = told.filter("equal").select("id", "th", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    spans = spans.unionByName(repeats.settle(regions.filter("not hot"), _work(length)))
+    spans = _equal(told, length).unionByName(repeats.settle(regions.filter("not hot"), _work(length)))
     hot = regions.filter("hot")
     if not hot.isEmpty():
-        rows = repeats.window_rows(hot, _names(length))
+        parts, _ = repeats.write(repeats.piece_rows(hot, _pieces(length)), "pieces")
+        told, _ = repeats.write(_told(repeats.repeated(parts), "region"), "told")
+        left = told.filter("open")
+        spans = spans.unionByName(_equal(told, length)).unionByName(repeats.settle(left.filter("not hot"), _work(length)))
+        rows, _ = repeats.write(repeats.window_rows(left.filter("hot"), _names(length)), "windows")
         least = rows.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
         seen = rows.join(least, "name").filter("id > least")
         spans = spans.unionByName(seen.select("id", "th", "start", (F.col("start") + length).alias("stop")))

@@ -21,6 +21,8 @@ from tabulon.llm.wordhash import all_pieces, pieces, running
 
 #: Bytes of a string that must not repeat, of a sampled name and of the first rank.
 LENGTH, GRAM, SEED = 200, 32, 25
+#: Starts to a piece of a hot gram's region at most.
+PIECE = 32
 #: Bytes of region text to a task: doubling holds some 30 bytes for each.
 TASK_BYTES = 2 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -82,6 +84,32 @@ def _work(length: int):
     return work
 
 
+def _pieces(length: int):
+    def cut(data: bytes) -> tuple:
+        sums = running(np.frombuffer(data, np.uint8))
+        name, whole, lo, hi = repeats.named_pieces(sums, all_pieces(sums, GRAM), length, length - GRAM + 1, PIECE)
+        return name, whole, lo, hi, [data[a:b + length] for a, b in zip(lo, hi, strict=True)]
+
+    return cut
+
+
+def _told(rep: DataFrame, *more: str) -> DataFrame:
+    """Regions that settle their gram or have to be looked at: ``equal`` (another one holds the same), ``open`` (the first of its
+    content, of a gram with differing regions) and ``hot``."""
+    one = F.min(F.struct("id", "th", "lo")).alias("one")
+    classes, _ = repeats.write(rep.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), one), "classes")
+    per_gram = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("n") == 1).cast("int")).alias("alone"))
+    classes = repeats.matched(classes, per_gram, ["h"]).withColumn("open", (F.col("k") > 1) & (F.col("alone") > 0))
+    told = repeats.matched(rep, classes.filter("n > 1 or open"), ["h", "c"])
+    first = F.struct("id", "th", "lo") == F.col("one")
+    return told.select("id", "th", "h", "lo", "hi", *more, (F.col("n") > 1).alias("equal"),
+                       (F.col("open") & first).alias("open"), (F.col("k") > repeats.HOT).alias("hot"))
+
+
+def _equal(told: DataFrame, length: int) -> DataFrame:
+    return told.filter("equal").select("id", "th", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rounds: int = 3) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept``; strings have ``seed * 2**rounds`` bytes.
 
@@ -96,23 +124,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rep, rep_at = repeats.write(repeats.repeated(found), "repeated")
     repeats.remove(found, found_at)
     one = F.min(F.struct("id", "th", "lo")).alias("one")
-    classes, _ = repeats.write(rep.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), one), "classes")
-    per_gram = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("n") == 1).cast("int")).alias("alone"))
-    classes = repeats.matched(classes, per_gram, ["h"]).withColumn("open", (F.col("k") > 1) & (F.col("alone") > 0))
-    told = repeats.matched(rep, classes.filter("n > 1 or open"), ["h", "c"])
-    first = F.struct("id", "th", "lo") == F.col("one")
-    told, told_at = repeats.write(told.select("id", "th", "h", "lo", "hi", (F.col("n") > 1).alias("equal"),
-                                              (F.col("open") & first).alias("open"), (F.col("k") > repeats.HOT).alias("hot")), "told")
+    told, _ = repeats.write(_told(rep), "told")
     repeats.remove(rep, rep_at)
     # passages lie inside one region's start range, so equal rows of one document may be listed once
     need = told.filter("open").select("id", "th", "h", "lo", "hi", "hot").distinct()
     cut = lambda text, lo, hi: [text[a:b + length] for a, b in zip(lo, hi, strict=True)]
     regions, _ = repeats.write(repeats.region_texts(texts, need, cut), "regions")
-    spans = told.filter("equal").select("id", "th", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    spans = spans.unionByName(repeats.settle(regions.filter("not hot"), _work(length), TASK_BYTES))
+    spans = _equal(told, length).unionByName(repeats.settle(regions.filter("not hot"), _work(length), TASK_BYTES))
     hot = regions.filter("hot")
     if not hot.isEmpty():
-        rows = repeats.window_rows(hot, lambda data: all_pieces(running(np.frombuffer(data, np.uint8)), length))
+        parts, _ = repeats.write(repeats.piece_rows(hot, _pieces(length)), "pieces")
+        met, _ = repeats.write(repeats.repeated(parts), "pieces")
+        told, _ = repeats.write(_told(met, "region"), "told")
+        left = told.filter("open")
+        spans = spans.unionByName(_equal(told, length)).unionByName(repeats.settle(left.filter("not hot"), _work(length), TASK_BYTES))
+        rows, _ = repeats.write(repeats.window_rows(left.filter("hot"), lambda data: all_pieces(running(np.frombuffer(data, np.uint8)), length)), "windows")
         again = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
         spans = spans.unionByName(rows.join(again, "name").select("id", "th", "start", (F.col("start") + length).alias("stop")))
 
