@@ -141,13 +141,24 @@ def _confirm(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent:
             .filter(_similar(percent)(F.col("s"), F.col("t"))).select("u", "v"))
 
 
+def _still_open(members: DataFrame, pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members ``band, least, id`` of the buckets that hold several parts: those with a member whose part is not that of the bucket's
+    least.  A pair of a least and a member stands once for all the buckets that it shares, so parts meet pairs, not members."""
+    of = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part")).hint("merge")
+    apart = (pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+             .filter(F.coalesce("u_part", "u") != F.coalesce("v_part", "v")).select(F.col("u").alias("least"), F.col("v").alias("id")))
+    open_ = members.join(apart.hint("merge"), ["least", "id"], "left_semi").select("band").distinct()
+    return members.join(open_.hint("merge"), "band", "left_semi")
+
+
 def _open_blocks(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Blocks of the buckets that hold several parts: ``band, across, down, id, part, asks, asker``.
 
-    ``members`` has ``band, id`` of buckets of three or more.  Members outside a bucket's largest part ask; askers and
+    ``members`` has ``band, id`` of such buckets (``_still_open``).  Members outside a bucket's largest part ask; askers and
     members are cut into blocks, and every block of askers meets every block of members.
     """
-    placed = members.join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    placed = members.select("band", "id").join(parts.withColumnRenamed("component", "part"), "id", "left")
+    placed = through_table(placed.withColumn("part", F.coalesce("part", "id")), "placed")
     sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("band").agg(F.max(F.struct("k", "part")).alias("main"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts"))
     main = main.filter("parts > 1").select(
@@ -254,9 +265,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = through_table(components(links), "parts")
     # buckets with the same members say the same: one of them is enough
     once = buckets.filter("size > 2").groupBy("least", "size", "mark").agg(F.min("band").alias("band"))
-    rest = members.select("band", "id").join(once.select("band"), "band", "left_semi")
+    rest = through_table(members.select("band", "least", "id").join(once.select("band"), "band", "left_semi"), "rest")
     tried = pairs
     for most in (*ASKS, None):
+        rest = through_table(_still_open(rest, pairs, parts), "open_members")
         blocks = through_table(_open_blocks(rest, parts), "open_blocks")
         if blocks.isEmpty():
             break

@@ -115,6 +115,17 @@ def test_near_duplicates_chains_and_large_buckets(spark, monkeypatch):
     assert {tuple(r) for r in near_dedup.near_duplicates(df, words=4).collect()} == brute_components(rows, 4, 80)
 
 
+def test_only_buckets_of_several_parts_stay_open(spark):
+    """Members of settled buckets are not joined with their parts again."""
+    members = spark.createDataFrame([(b, 1, i) for b in (10, 11, 12) for i in range(1, 30)] + [(11, 1, 99), (13, 40, 40), (13, 40, 41), (13, 40, 42)],
+                                    "band long, least long, id long")
+    pairs = members.filter("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
+    parts = spark.createDataFrame([(i, 1) for i in range(1, 30)], "id long, component long")
+    got = near_dedup._still_open(members, pairs, parts)
+    assert {r["band"] for r in got.collect()} == {11, 13} and got.count() == 33
+    assert near_dedup._still_open(members, pairs, parts.unionByName(spark.createDataFrame([(99, 1)], parts.schema))).count() == 3
+
+
 def test_signature_cut_loses_less_than_the_bands():
     from fractions import Fraction
     from math import comb
@@ -188,6 +199,33 @@ def test_suffix_dedup_against_brute_force(docs, corpus, monkeypatch, hot):
     assert sorted(got, key=str) == brute_repeats(corpus, 200)
 
 
+@pytest.mark.parametrize("hot", [3, 25])
+def test_hot_grams_are_settled_by_pieces(spark, monkeypatch, hot):
+    """Near copies of one text: a gram with many differing regions must not give a row for each window of each region."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in rng.integers(0, 3000, 120)]
+    rows = []
+    for i in range(60):
+        copy = base[:]
+        for k in rng.integers(0, 120, 2):
+            copy[k] = f"x{i}"
+        rows.append((i if i % 9 else None, " ".join(copy[i % 4:])))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(repeats, "HOT", hot)
+    counts, windows, pieces = [], repeats.window_rows, repeats.piece_rows
+    told = lambda df: counts.append(df.count()) or df
+    monkeypatch.setattr(repeats, "window_rows", lambda regions, names: counts.append(windows(regions, names).count()) or windows(regions, names))
+    monkeypatch.setattr(repeats, "piece_rows", lambda regions, cut: told(pieces(regions, cut)))
+    got = [(*r[:4], bytes(r[4])) for r in suffix_dedup.remove_repeats(df).collect()]
+    assert sorted(got, key=str) == brute_repeats(rows, 200)
+    if hot == 25:   # most windows are settled in pieces; before, every window of every region was a row
+        starts = sum(len(t) - 199 for _, t in rows)
+        assert len(counts) == 2 and 0 < sum(counts) < starts / 8
+    words = [(*r[:3], bytes(r[3])) for r in substring_dedup.remove_seen(df).collect()]
+    assert sorted(words, key=str) == brute_seen(rows, 50)
+
+
 def test_repeat_removal_empty(empty):
     assert substring_dedup.remove_seen(empty).count() == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
