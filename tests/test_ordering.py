@@ -99,3 +99,19 @@ def test_quantiles_of_several_columns_and_groups(spark, monkeypatch):
         assert np.allclose(list(r)[2:], np.quantile(mine if r["variable"] == "v" else np.round(mine * 3), probs), rtol=1e-12, atol=0)
     empty = O.quantiles_of(df.where("v > 99"), ["v"], [0.5], names=["m"]).collect()
     assert [(r["variable"], r["m"]) for r in empty] == [("v", None)]
+
+
+def test_quantiles_between_frequent_values_need_no_more_passes(spark, monkeypatch):
+    """A rank between two values of many rows has a bracket that can't be narrowed; it is ranked as it is, not tried again."""
+    from tabulon.plans import ordering as O
+    steps, real = [], O._Brackets.step
+    monkeypatch.setattr(O, "_FEW", 1_000)
+    monkeypatch.setattr(O._Brackets, "step", lambda self, *a: (steps.append(1), real(self, *a))[1])
+    df = spark.range(60_000).selectExpr("id % 3 AS g", "CAST(id % 2 AS DOUBLE) + 1 AS v")
+    assert list(exact_quantiles(df, "v", [0.25, 0.5, 0.75]).first()) == [1.0, 1.5, 2.0]
+    assert len(steps) == 2
+    steps.clear()
+    monkeypatch.setattr(O, "_ACCURACY", 10_000)
+    got = exact_quantiles(df, "v", [0.25, 0.5, 0.75], by=["g"]).orderBy("g").collect()
+    assert [list(r) for r in got] == [[g, 1.0, 1.5, 2.0] for g in range(3)]
+    assert len(steps) == 2
