@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import through_table
 
+#: Rows to a task and file of a round at least.
+TASK_ROWS = 100_000
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows at most in no more tasks than these need: most rounds are short, and each task leaves a file."""
+    return df.coalesce(rows // TASK_ROWS + 1)
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least node of the neighbourhood."""
@@ -36,6 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(state) == mark or not state[0]:
             break
         mark = tuple(state)
-        now = through_table(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = through_table(_few(_small_star(_large_star(now).distinct()).distinct(), 2 * state[0]), "edges")
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
+    return _few(stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct()), 2 * state[0])

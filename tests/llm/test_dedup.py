@@ -146,6 +146,30 @@ def test_components_of_paths_and_loops(spark):
     assert got == {(k, 0) for k in range(41)} | {(200, 200), (250, 200), (300, 200)}
 
 
+def test_short_rounds_of_components_end_in_one_file(spark, monkeypatch):
+    from tabulon.llm import components as c
+    files, real = [], c.through_table
+
+    def written(df, kind):
+        out = real(df, kind)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(c, "through_table", written)
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    try:
+        found = c.components(spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long"))
+        assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(41)}
+        assert set(files[1:]) == {1} and len(real(found, "parts").inputFiles()) == 1
+        monkeypatch.setattr(c, "TASK_ROWS", 20)   # more rows, more tasks
+        found = c.components(spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long"))
+        assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(41)}
+        assert len(real(found, "parts").inputFiles()) > 1
+    finally:
+        spark.conf.unset(coalesced)
+
+
 # ------------------------------------------------------------------ repeated passages
 
 def brute_seen(rows, length):
